@@ -1,2 +1,55 @@
+"""The corpus pipeline: five stages over `documents`, each reading what the one before wrote.
+
+Needs the table `labels` beside `documents` for the first stage. An empty table of
+documents runs through all stages and gives no rows; extra columns of documents are
+carried along by all stages but the last.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from wharfline.llm.bpe import token_digests
+from wharfline.llm.common import documents, labels, stage
+from wharfline.llm.exact_dedup import drop_duplicates
+from wharfline.llm.mixing import mixed_documents
+from wharfline.llm.quality_classifier import keep_good
+from wharfline.llm.simhash import keep_one_of_each
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_good(docs, labels(spark, sf_dir))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest id stays."""
+    return drop_duplicates(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return keep_one_of_each(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources meet their target weights; a document stands there as often as the mix takes it."""
+    return mixed_documents(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each document of the mix: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return token_digests(docs)
+
+
+STAGES = [("quality classifier", quality), ("exact dedup", exact), ("SimHash near-dedup", near), ("mixing", mixing), ("BPE", encoding)]
+
+#: Fingerprints, ridge scores and tokens are beyond SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
