@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from wharfline.plans import case_queries
+
+QUERIES: dict = {**case_queries.QUERIES}
+ORACLES: dict = {**case_queries.ORACLES}
