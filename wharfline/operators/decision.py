@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wharfline.operators.facts import HEADER, LISTS, column_of, list_type
-from wharfline.operators.rules import OK, REREAD, UNCHECKABLE, VIOLATED, first
+from wharfline.operators.rules import OK, REREAD, RULES, UNCHECKABLE, VIOLATED, first, results
 from wharfline.sources.catalog import Catalog, condition
 
 READY, WARNINGS, READ_AGAIN, BLOCKED = "freigabereif", "freigabe_mit_warnungen", "nachextraktion_erforderlich", "blockiert"
@@ -40,8 +40,8 @@ def in_scope(scope: dict | None) -> Column:
     return fits
 
 
-def evidence(cases: DataFrame, catalog: Catalog) -> DataFrame:
-    """A row for each case in scope and entry that applies: akte_id, id, status, haerte, quelle, ..."""
+def entries(catalog: Catalog) -> list[Column]:
+    """A struct for each entry of the matrix, null where it doesn't apply to the case."""
     found = []
     for k, entry in enumerate(catalog.evidence["entries"]):
         value, source = _value(entry["required_data"])
@@ -60,15 +60,38 @@ def evidence(cases: DataFrame, catalog: Catalog) -> DataFrame:
                 ),
             )
         )
-    rows = cases.where(in_scope(catalog.evidence.get("scope"))).select("akte_id", F.explode(F.array_compact(F.array(*found))).alias("e"))
+    return found
+
+
+def evidence(cases: DataFrame, catalog: Catalog) -> DataFrame:
+    """A row for each case in scope and entry that applies: akte_id, id, status, haerte, quelle, ..."""
+    rows = cases.where(in_scope(catalog.evidence.get("scope"))).select("akte_id", F.explode(F.array_compact(F.array(*entries(catalog)))).alias("e"))
     return rows.select("akte_id", "e.*").withColumn("fassung", F.lit(catalog.evidence_version))
 
 
-def all_findings(rule_findings: DataFrame, evidence_findings: DataFrame) -> DataFrame:
-    """Both kinds as one long table: akte_id, kennung, art, status, haerte, fassung."""
-    return rule_findings.select("akte_id", F.col("regel").alias("kennung"), F.lit("regel").alias("art"), "status", F.col("haerte_effektiv").alias("haerte"), F.col("regelversion").alias("fassung")).unionByName(
-        evidence_findings.select("akte_id", F.col("id").alias("kennung"), F.lit("nachweis").alias("art"), "status", "haerte", "fassung")
-    )
+def all_findings(cases: DataFrame, catalog: Catalog) -> DataFrame:
+    """Findings of rules in force and of the matrix as one long table, from one pass over the cases:
+    akte_id, kennung, art, status, haerte, fassung."""
+    checked, found = results(cases, catalog, [r for r in catalog.rules["rules"] if r["id"] in RULES])
+    of = {r["id"]: r for r in catalog.rules["rules"]}
+    day = lambda d: F.lit(d).cast("date")
+    all_ = []
+    for f, r in zip(found, [r for r in of.values() if r["id"] in RULES], strict=True):
+        valid = F.lit(True)
+        if r.get("valid_from"):
+            valid &= F.col("stichtag") >= day(r["valid_from"])
+        if r.get("valid_to"):
+            valid &= F.col("stichtag") < day(r["valid_to"])
+        fassung = F.lit(f"{catalog.version}@{r.get('valid_from')}")
+        all_.append(F.when(valid, _common(F.lit(r["id"]), "regel", f["status"], F.coalesce(f["haerte_effektiv"], F.lit(r["hardness"])), fassung)))
+    scope = in_scope(catalog.evidence.get("scope"))
+    for entry, e in zip(catalog.evidence["entries"], entries(catalog), strict=True):
+        all_.append(F.when(scope & e.isNotNull(), _common(F.lit(entry["id"]), "nachweis", e["status"], F.lit(entry["hardness"]), F.lit(catalog.evidence_version))))
+    return checked.select("akte_id", F.explode(F.array_compact(F.array(*all_))).alias("x")).select("akte_id", "x.*")
+
+
+def _common(kennung: Column, art: str, status: Column, haerte: Column, fassung: Column) -> Column:
+    return F.struct(kennung.alias("kennung"), F.lit(art).alias("art"), status.alias("status"), haerte.alias("haerte"), fassung.alias("fassung"))
 
 
 def reason_ok(reason: Column) -> Column:

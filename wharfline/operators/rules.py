@@ -10,6 +10,7 @@ confidence below the threshold asks for reading again instead.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +23,11 @@ OK, VIOLATED, UNCHECKABLE, REREAD = "ok", "verletzt", "nicht_pruefbar", "re_extr
 PATHS = "array<string>"
 INVOLVED = "array<struct<pfad: string, konf: double>>"
 
-RULES: dict[str, Callable[[Catalog, dict], Column]] = {}
+RULES: dict[str, Callable[[Catalog, dict], Check]] = {}
 
 
 def register_rule(rule_id: str) -> Callable:
-    def put(f: Callable[[Catalog, dict], Column]) -> Callable[[Catalog, dict], Column]:
+    def put(f: Callable[[Catalog, dict], Check]) -> Callable[[Catalog, dict], Check]:
         RULES[rule_id] = f
         return f
 
@@ -62,30 +63,24 @@ def item_involved(path: str, item: Column, field: str) -> Column:
     return involved(F.concat(F.lit(f"{path}."), item["idx"].cast("string"), F.lit(f".{field}")), item[field]["konf"])
 
 
-def paths(*found: Column) -> Column:
-    return F.array(*found).cast(PATHS)
+@dataclass
+class Check:
+    """What a rule says about a case row, as expressions.
 
+    fine: the rule has nothing to say; gaps: paths that are missing, if any; unchecked: it can't be
+    checked though nothing is missing; on: what a violation rests on; bad: there is one (default: it
+    rests on something); certain: confidence plays no part; hardness: of a certain violation."""
 
-def finding(status: Column | str, missing: Column | None = None, reread: Column | None = None, hardness: Column | None = None, rests_on: Column | None = None) -> Column:
-    none = F.lit(None)
-    return F.struct(
-        (F.lit(status) if isinstance(status, str) else status).alias("status"),
-        (none if hardness is None else hardness).cast("string").alias("haerte_effektiv"),
-        (none if missing is None else missing).cast(PATHS).alias("fehlende_pfade"),
-        (none if reread is None else reread).cast(PATHS).alias("nachzulesende_pfade"),
-        (none if rests_on is None else rests_on).cast(PATHS).alias("pfade"),
-    )
+    gaps: Column | None = None
+    on: Column | None = None
+    bad: Column | None = None
+    fine: Column | None = None
+    unchecked: Column | None = None
+    hardness: Column | None = None
 
 
-def violated_if_certain(catalog: Catalog, bad: Column, rests_on: Column, hardness: Column | None = None) -> Column:
-    """ok unless bad; then violated, or to be read again where a value it rests on is uncertain."""
-    unsure = F.filter(rests_on, lambda p: p["konf"] < catalog.low_confidence_below)
-    names = F.transform(rests_on, lambda p: p["pfad"])
-    return (
-        F.when(~bad, finding(OK))
-        .when(F.size(unsure) > 0, finding(REREAD, reread=F.transform(unsure, lambda p: p["pfad"]), rests_on=names))
-        .otherwise(finding(VIOLATED, hardness=hardness, rests_on=names))
-    )
+def no_items() -> Column:
+    return F.array().cast(INVOLVED)
 
 
 def missing(*found: tuple[str, Column]) -> Column:
@@ -93,10 +88,6 @@ def missing(*found: tuple[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(is_missing, F.lit(p)) for p, is_missing in found]))
 
 
-def unless_missing(gaps: Column, otherwise: Column) -> Column:
-    return F.when(F.size(gaps) > 0, finding(UNCHECKABLE, missing=gaps)).otherwise(otherwise)
-
-
 def null_paths(*names: str) -> Column:
     return missing(*[(p, fact(p).isNull()) for p in names])
 
@@ -107,28 +98,28 @@ def first(array: Column, matches: Callable[[Column], Column]) -> Column:
 
 
 @register_rule("VAL-01")
-def invoice_total(catalog: Catalog, rule: dict) -> Column:
+def invoice_total(catalog: Catalog, rule: dict) -> Check:
     lines = rows("rechnung.positionen")
     total = F.aggregate(lines, F.lit(0.0), lambda s, p: s + F.coalesce(p["netto"]["v"], F.lit(0.0)))
     total = total + F.coalesce(fact("rechnung.zuschlaege"), F.lit(0.0)) - F.coalesce(fact("rechnung.rabatte"), F.lit(0.0))
     equal = F.abs(total - fact("rechnung.gesamt")) <= rule["tolerance"]["amount"] + 1e-9
     rests_on = F.concat(F.array(head_involved("rechnung.gesamt")), F.transform(lines, lambda p: item_involved("rechnung.positionen", p, "netto")))
     gaps = missing(("rechnung.positionen", items("rechnung.positionen").isNull()), ("rechnung.gesamt", fact("rechnung.gesamt").isNull()))
-    return unless_missing(gaps, violated_if_certain(catalog, ~equal, rests_on))
+    return Check(gaps, rests_on, ~equal)
 
 
 @register_rule("VAL-03")
-def free_lines_valued(catalog: Catalog, rule: dict) -> Column:
+def free_lines_valued(catalog: Catalog, rule: dict) -> Check:
     bare = F.filter(
         rows("rechnung.positionen"),
         lambda p: F.coalesce((p["einzelpreis"]["v"] == 0) & ~F.coalesce(p["zollwert"]["v"] > 0, F.lit(False)) & (F.coalesce(p["bewertungsmethode"]["v"], F.lit("")) == ""), F.lit(False)),
     )
     rests_on = F.flatten(F.transform(bare, lambda p: F.array(item_involved("rechnung.positionen", p, "einzelpreis"), item_involved("rechnung.positionen", p, "zollwert"))))
-    return unless_missing(missing(("rechnung.positionen", items("rechnung.positionen").isNull())), violated_if_certain(catalog, F.size(bare) > 0, rests_on))
+    return Check(missing(("rechnung.positionen", items("rechnung.positionen").isNull())), rests_on)
 
 
 @register_rule("ORG-02")
-def origin_covers_goods(catalog: Catalog, rule: dict) -> Column:
+def origin_covers_goods(catalog: Catalog, rule: dict) -> Check:
     digits = catalog.rule("CLS-01")["parameters"]["digits"]
     proof = country_code(fact("praeferenznachweis.ursprung"))
     scope = F.transform(rows("praeferenznachweis.warenkreis"), lambda w: commodity_code(w["hs6"]["v"], digits))
@@ -147,19 +138,19 @@ def origin_covers_goods(catalog: Catalog, rule: dict) -> Column:
         ("praeferenznachweis.warenkreis", items("praeferenznachweis.warenkreis").isNull()),
     )
     claimed = F.coalesce(F.col("sachverhalt.praeferenz_beansprucht"), F.lit(False))
-    return F.when(~claimed, finding(OK)).otherwise(unless_missing(gaps, violated_if_certain(catalog, F.size(rests_on) > 0, rests_on)))
+    return Check(gaps, rests_on, fine=~claimed)
 
 
 @register_rule("ORG-03")
-def atr_is_no_origin(catalog: Catalog, rule: dict) -> Column:
+def atr_is_no_origin(catalog: Catalog, rule: dict) -> Check:
     typ = F.coalesce(fact("praeferenznachweis.typ"), F.lit(""))
     atr = F.coalesce(F.exists("dokumente", lambda d: d["typ"] == "atr"), F.lit(False))
     claimed = F.coalesce(F.col("sachverhalt.praeferenz_beansprucht"), F.lit(False))
-    return F.when((typ == "atr") | (claimed & atr & (typ == "")), finding(VIOLATED)).otherwise(finding(OK))
+    return Check(bad=(typ == "atr") | (claimed & atr & (typ == "")))
 
 
 @register_rule("ORG-06")
-def origin_value_limit(catalog: Catalog, rule: dict) -> Column:
+def origin_value_limit(catalog: Catalog, rule: dict) -> Check:
     limit = rule["parameters"]["threshold"]
     value, rex = fact("praeferenznachweis.ursprungswert"), fact("praeferenznachweis.rex_nummer")
     currency = fact("rechnung.waehrung")
@@ -169,16 +160,14 @@ def origin_value_limit(catalog: Catalog, rule: dict) -> Column:
         | F.coalesce(fact("praeferenznachweis.ermaechtigter_ausfuehrer"), F.lit(False))
     )
     rests_on = F.array(head_involved("praeferenznachweis.ursprungswert"), head_involved("praeferenznachweis.rex_nummer"))
-    return (
-        F.when(~fact("praeferenznachweis.typ").eqNullSafe("origin_declaration"), finding(OK))
-        .when(~there("praeferenznachweis.ursprungswert"), finding(UNCHECKABLE, missing=paths(F.lit("praeferenznachweis.ursprungswert"))))
-        .when(F.coalesce((currency != limit["currency"]) & (currency != ""), F.lit(False)), finding(UNCHECKABLE, missing=paths(F.lit("rechnung.waehrung"))))
-        .otherwise(violated_if_certain(catalog, ~fine, rests_on))
-    )
+    no_value = ~there("praeferenznachweis.ursprungswert")
+    foreign = F.coalesce((currency != limit["currency"]) & (currency != ""), F.lit(False))
+    gaps = missing(("praeferenznachweis.ursprungswert", no_value), ("rechnung.waehrung", ~no_value & foreign))
+    return Check(gaps, rests_on, ~fine, fine=~fact("praeferenznachweis.typ").eqNullSafe("origin_declaration"))
 
 
 @register_rule("CLS-01")
-def commodity_codes_agree(catalog: Catalog, rule: dict) -> Column:
+def commodity_codes_agree(catalog: Catalog, rule: dict) -> Check:
     digits = rule["parameters"]["digits"]
     none = F.array().cast(INVOLVED)
 
@@ -195,11 +184,11 @@ def commodity_codes_agree(catalog: Catalog, rule: dict) -> Column:
         return F.when(code.isNull(), F.array(item_involved("rechnung.positionen", p, "hs6"))).otherwise(both)
 
     rests_on = F.flatten(F.transform(rows("rechnung.positionen"), of_line))
-    return unless_missing(missing(("rechnung.positionen", items("rechnung.positionen").isNull())), violated_if_certain(catalog, F.size(rests_on) > 0, rests_on))
+    return Check(missing(("rechnung.positionen", items("rechnung.positionen").isNull())), rests_on)
 
 
 @register_rule("CLS-02")
-def commodity_code_length(catalog: Catalog, rule: dict) -> Column:
+def commodity_code_length(catalog: Catalog, rule: dict) -> Check:
     way, codes = F.col("anmeldung.richtung"), F.col("anmeldung.warennummern")
     expected = F.lit(None).cast("int")
     for name, length in rule["parameters"]["length_by_direction"].items():
@@ -207,11 +196,11 @@ def commodity_code_length(catalog: Catalog, rule: dict) -> Column:
     clean = lambda n: F.regexp_replace(n, r"\s", "")
     wrong = F.exists(codes, lambda n: (F.length(clean(n)) != expected) | ~clean(n).rlike("^[0-9]+$"))
     gaps = missing(("anmeldung.richtung", F.coalesce(way, F.lit("")) == ""), ("anmeldung.warennummern", codes.isNull()))
-    return unless_missing(gaps, F.when(expected.isNull(), finding(UNCHECKABLE, missing=F.array())).when(F.coalesce(wrong, F.lit(False)), finding(VIOLATED)).otherwise(finding(OK)))
+    return Check(gaps, bad=F.coalesce(wrong, F.lit(False)), unchecked=expected.isNull())
 
 
 @register_rule("QTY-01")
-def quantities_agree(catalog: Catalog, rule: dict) -> Column:
+def quantities_agree(catalog: Catalog, rule: dict) -> Check:
     none = F.array().cast(INVOLVED)
 
     def of_line(p: Column) -> Column:
@@ -225,22 +214,22 @@ def quantities_agree(catalog: Catalog, rule: dict) -> Column:
     lines = F.transform(rows("rechnung.positionen"), of_line)
     gaps = missing(("rechnung.positionen", items("rechnung.positionen").isNull()), ("packliste.positionen", items("packliste.positionen").isNull()))
     rests_on = F.flatten(F.transform(lines, lambda x: x["on"]))
-    return unless_missing(gaps, violated_if_certain(catalog, F.exists(lines, lambda x: x["bad"]), rests_on))
+    return Check(gaps, rests_on, F.exists(lines, lambda x: x["bad"]))
 
 
 @register_rule("QTY-02")
-def gross_weights_agree(catalog: Catalog, rule: dict) -> Column:
+def gross_weights_agree(catalog: Catalog, rule: dict) -> Check:
     pack, bl = fact("packliste.brutto_gesamt_kg"), fact("bill_of_lading.brutto_kg")
     apart = F.abs(pack - bl)
     tolerance = F.greatest(F.lit(float(rule["tolerance"]["absolute_kg"])), rule["tolerance"]["relative"] * pack)
     relative = F.when(pack > 0, apart / F.when(pack > 0, pack)).otherwise(F.lit(float("inf")))
     hardness = F.when(relative >= rule["escalate_to_hard_at"]["relative"], "hard").otherwise("soft")
     names = ("packliste.brutto_gesamt_kg", "bill_of_lading.brutto_kg")
-    return unless_missing(null_paths(*names), violated_if_certain(catalog, ~(apart <= tolerance), F.array(*map(head_involved, names)), hardness))
+    return Check(null_paths(*names), F.array(*map(head_involved, names)), ~(apart <= tolerance), hardness=hardness)
 
 
 @register_rule("QTY-03")
-def package_weights(catalog: Catalog, rule: dict) -> Column:
+def package_weights(catalog: Catalog, rule: dict) -> Check:
     path, none = "packliste.packstuecke", F.array().cast(INVOLVED)
 
     def of_package(p: Column) -> Column:
@@ -258,34 +247,34 @@ def package_weights(catalog: Catalog, rule: dict) -> Column:
     over = there("packliste.brutto_gesamt_kg") & (total > F.coalesce(fact("packliste.brutto_gesamt_kg"), F.lit(0.0)))
     all_gross = F.concat(F.array(head_involved("packliste.brutto_gesamt_kg")), F.transform(rows(path), lambda p: item_involved(path, p, "brutto_kg")))
     rests_on = F.concat(single, F.when(over, all_gross).otherwise(none))
-    return unless_missing(missing((path, items(path).isNull())), violated_if_certain(catalog, F.size(rests_on) > 0, rests_on))
+    return Check(missing((path, items(path).isNull())), rests_on)
 
 
 CONTAINERS = ("bill_of_lading.container_id", "packliste.container_id")
 
 
 @register_rule("TRN-01")
-def containers_agree(catalog: Catalog, rule: dict) -> Column:
+def containers_agree(catalog: Catalog, rule: dict) -> Check:
     a, b = (container_id(fact(p)) for p in CONTAINERS)
-    return unless_missing(null_paths(*CONTAINERS), violated_if_certain(catalog, a != b, F.array(*map(head_involved, CONTAINERS))))
+    return Check(null_paths(*CONTAINERS), F.array(*map(head_involved, CONTAINERS)), a != b)
 
 
 @register_rule("TRN-02")
-def container_digits(catalog: Catalog, rule: dict) -> Column:
+def container_digits(catalog: Catalog, rule: dict) -> Check:
     wrong = F.array_compact(F.array(*[F.when(fact(p).isNotNull() & ~container_ok(fact(p)), head_involved(p)) for p in CONTAINERS]))
     nothing = fact(CONTAINERS[0]).isNull() & fact(CONTAINERS[1]).isNull()
-    return F.when(nothing, finding(UNCHECKABLE, missing=paths(*map(F.lit, CONTAINERS)))).otherwise(violated_if_certain(catalog, F.size(wrong) > 0, wrong))
+    return Check(missing(*[(p, nothing) for p in CONTAINERS]), wrong)
 
 
 @register_rule("REF-03")
-def final_documents_only(catalog: Catalog, rule: dict) -> Column:
+def final_documents_only(catalog: Catalog, rule: dict) -> Check:
     final = F.transform(F.filter(F.coalesce(F.col("dokumente"), F.array().cast("array<struct<ord: int, id: string, typ: string, status: string>>")), lambda d: d["status"] == FINAL), lambda d: d["typ"])
     bad = F.exists("nicht_final", lambda a: ~F.exists(final, lambda t: t.eqNullSafe(a["dok_typ"])))
-    return F.when(F.coalesce(bad, F.lit(False)), finding(VIOLATED)).otherwise(finding(OK))
+    return Check(bad=F.coalesce(bad, F.lit(False)))
 
 
 @register_rule("CUS-05")
-def export_document_covers(catalog: Catalog, rule: dict) -> Column:
+def export_document_covers(catalog: Catalog, rule: dict) -> Check:
     digits, none = rule["parameters"]["digits"], F.array().cast(INVOLVED)
     declared, invoiced = rows("abd.positionen"), rows("rechnung.positionen")
 
@@ -309,15 +298,50 @@ def export_document_covers(catalog: Catalog, rule: dict) -> Column:
     )
     nothing = items("abd.positionen").isNull() & (F.coalesce(abd, F.lit("")) == "")
     gaps = missing(("abd.positionen", nothing), ("abd.container_id", nothing), ("rechnung.positionen", ~nothing & items("rechnung.positionen").isNull()))
-    return unless_missing(gaps, violated_if_certain(catalog, F.size(rests_on) > 0, rests_on))
+    return Check(gaps, rests_on)
+
+
+def results(cases: DataFrame, catalog: Catalog, wanted: list[dict]) -> tuple[DataFrame, list[Column]]:
+    """cases with each rule's parts as columns, worked out once, and an expression of each rule's finding over them."""
+    parts, found = {}, []
+    for r in wanted:
+        check, k = RULES[r["id"]](catalog, r), r["id"]
+        none, no, on = F.lit(None), F.lit(False), f"_on_{k}"
+        parts[on] = no_items() if check.on is None else check.on
+        parts[f"_gaps_{k}"] = (none if check.gaps is None else F.when(F.size(check.gaps) > 0, check.gaps)).cast(PATHS)
+        if check.bad is not None:
+            parts[f"_bad_{k}"] = F.coalesce(check.bad, no)
+        fine = no if check.fine is None else check.fine
+        unchecked = no if check.unchecked is None else check.unchecked
+        bad = F.size(F.col(f"`{on}`")) > 0 if check.bad is None else F.col(f"`_bad_{k}`")
+        unsure = F.exists(F.col(f"`{on}`"), lambda p: p["konf"] < catalog.low_confidence_below)
+        gaps = F.col(f"`_gaps_{k}`")
+        status = F.when(fine, OK).when(gaps.isNotNull() | unchecked, UNCHECKABLE).when(~bad, OK).when(unsure, REREAD).otherwise(VIOLATED)
+        parts[f"_s_{k}"], s = status, F.col(f"`_s_{k}`")
+        names = F.transform(F.col(f"`{on}`"), lambda p: p["pfad"])
+        reread = F.transform(F.filter(F.col(f"`{on}`"), lambda p: p["konf"] < catalog.low_confidence_below), lambda p: p["pfad"])
+        found.append(
+            F.struct(
+                F.lit(k).alias("regel"), s.alias("status"), F.when(s == VIOLATED, none if check.hardness is None else check.hardness).cast("string").alias("haerte_effektiv"),
+                F.when(s == UNCHECKABLE, F.coalesce(gaps, F.array().cast(PATHS))).alias("fehlende_pfade"), F.when(s == REREAD, reread).alias("nachzulesende_pfade"),
+                F.when(s.isin(VIOLATED, REREAD), names).alias("pfade"),
+            )
+        )
+    status = {c: e for c, e in parts.items() if c.startswith("_s_")}
+    rest = {c: e for c, e in parts.items() if c not in status}
+    return cases.withColumns(rest).withColumns(status), found
 
 
 def findings(cases: DataFrame, catalog: Catalog, only: list[str] | None = None) -> DataFrame:
     """A row for each case and rule that is in force on the case's date, with the rule's data from the catalogue."""
-    spark = cases.sparkSession
     wanted = [r for r in catalog.rules["rules"] if r["id"] in RULES and (only is None or r["id"] in only)]
-    results = F.array(*[F.struct(F.lit(r["id"]).alias("regel"), RULES[r["id"]](catalog, r).alias("r")) for r in wanted])
-    long = cases.select("akte_id", "stichtag", F.explode(results).alias("x")).select("akte_id", "stichtag", F.col("x.regel").alias("regel"), "x.r.*")
+    checked, found = results(cases, catalog, wanted)
+    return with_catalog(checked.select("akte_id", "stichtag", F.explode(F.array(*found)).alias("x")).select("akte_id", "stichtag", "x.*"), catalog)
+
+
+def with_catalog(long: DataFrame, catalog: Catalog) -> DataFrame:
+    """Findings of rules that are in force, with the rule's data; hard rules first, each in catalogue order."""
+    spark = long.sparkSession
     valid = (F.col("valid_from").isNull() | (F.col("stichtag") >= F.col("valid_from"))) & (F.col("valid_to").isNull() | (F.col("stichtag") < F.col("valid_to")))
     return (
         long.join(F.broadcast(catalog.rule_table(spark)), "regel").where(valid)

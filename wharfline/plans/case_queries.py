@@ -117,7 +117,7 @@ SELECT c.akte_id, {NAME.format("l.a")} AS freigabe, {NAME.format("l.b")} AS frei
 
 
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(OVERRIDES_SQL.replace("FROM cases", "FROM {cases}"), cases=mapping.tables(spark, sf_dir)["cases"]).withColumns({"ord": F.lit(0), "erzeugt_am": F.lit(None).cast("string"), "identitaet": F.lit(None).cast("string")})
+    return spark.sql(OVERRIDES_SQL.replace("FROM cases", "FROM {cases}"), cases=mapping.cases(spark, sf_dir)).withColumns({"ord": F.lit(0), "erzeugt_am": F.lit(None).cast("string"), "identitaet": F.lit(None).cast("string")})
 
 
 def rule_query(rule: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,13 +131,13 @@ def evidence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(case rows, all findings with their overrides)."""
     cases, catalog = mapping.case_rows(spark, sf_dir), load_catalog()
-    found = decision.all_findings(rules.findings(cases, catalog), decision.evidence(cases, catalog))
+    found = decision.all_findings(cases, catalog)
     return cases, decision.attach_overrides(found, overrides(spark, sf_dir))
 
 
 def decision_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases, found = judged(spark, sf_dir)
-    return decision.decide(found, mapping.tables(spark, sf_dir)["cases"])
+    return decision.decide(found, mapping.cases(spark, sf_dir))
 
 
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

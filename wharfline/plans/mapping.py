@@ -5,7 +5,9 @@ the oracle both run; the rules on top of it are written apart for each.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wharfline.operators.facts import HEADER, LISTS, column_of, fact_type, list_type
@@ -58,12 +60,17 @@ SELECT akte_id, nr, hs_konf, CASE WHEN (akte_id + nr) % 79 = 0 THEN '77777700' E
 FROM lines WHERE (akte_id + nr) % 73 <> 0
 """
 
+SUMS = """
+SELECT l.akte_id, CAST(sum(CAST(round(l.netto * 100) AS BIGINT)) AS DOUBLE) / 100 AS netto_summe, count(*) AS n_lines, sum(p.brutto_kg) AS brutto_summe
+FROM lines l LEFT JOIN packing p ON p.akte_id = l.akte_id AND p.nr = l.nr GROUP BY l.akte_id
+"""
+
 HEADS = """
-SELECT c.akte_id, s.netto_summe, s.n_lines, p.brutto_summe,
+SELECT c.akte_id, s.netto_summe, s.n_lines, s.brutto_summe,
        s.netto_summe + c.akte_id % 5 - c.akte_id % 3 + CASE WHEN c.akte_id % 41 = 0 THEN 1 ELSE 0 END AS gesamt,
        CAST(c.akte_id % 5 AS DOUBLE) AS zuschlaege, CAST(c.akte_id % 3 AS DOUBLE) AS rabatte,
-       p.brutto_summe - CASE WHEN c.akte_id % 47 = 0 THEN 1 ELSE 0 END AS brutto_gesamt,
-       CASE WHEN c.akte_id % 29 = 0 THEN NULL ELSE p.brutto_summe * (1 + (c.akte_id % 7) * 0.02E0) END AS bl_brutto,
+       s.brutto_summe - CASE WHEN c.akte_id % 47 = 0 THEN 1 ELSE 0 END AS brutto_gesamt,
+       CASE WHEN c.akte_id % 29 = 0 THEN NULL ELSE s.brutto_summe * (1 + (c.akte_id % 7) * 0.02E0) END AS bl_brutto,
        CASE WHEN c.akte_id % 29 = 0 THEN NULL ELSE container END AS bl_container,
        CASE WHEN c.akte_id % 33 = 0 THEN 'HLXU8765430' ELSE container END AS pack_container,
        CASE WHEN c.akte_id % 101 = 0 THEN 'HLXU8765430' ELSE container END AS abd_container,
@@ -81,11 +88,10 @@ FROM (
     FROM (SELECT akte_id, lpad(CAST(akte_id % 1000000 AS STRING), 6, '0') AS ziffern FROM cases) digits
   ) checked
 ) c
-LEFT JOIN (SELECT akte_id, CAST(sum(CAST(round(netto * 100) AS BIGINT)) AS DOUBLE) / 100 AS netto_summe, count(*) AS n_lines FROM lines GROUP BY akte_id) s ON c.akte_id = s.akte_id
-LEFT JOIN (SELECT akte_id, sum(brutto_kg) AS brutto_summe FROM packing GROUP BY akte_id) p ON c.akte_id = p.akte_id
+LEFT JOIN sums s ON c.akte_id = s.akte_id
 """
 
-VIEWS = {"cases": CASES, "lines": LINES, "packing": PACKING, "scope": SCOPE, "declared": DECLARED, "heads": HEADS}
+VIEWS = {"cases": CASES, "lines": LINES, "packing": PACKING, "scope": SCOPE, "declared": DECLARED, "sums": SUMS, "heads": HEADS}
 SOURCES = ("orders", "lineitem", "supplier", "nation")
 
 
@@ -96,66 +102,92 @@ def oracle(query: str, *names: str) -> str:
     return f"WITH {parts}{',' if query.lstrip().startswith('+') else ''}\n{query.lstrip().removeprefix('+')}"
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    found = {s: spark.read.parquet(f"{sf_dir}/{s}.parquet") for s in SOURCES}
-    out: dict[str, DataFrame] = {}
-    for name, sql in VIEWS.items():
-        text = sql.format(**{s: f"{{{s}}}" for s in SOURCES})
-        for other in out:
-            text = text.replace(f"FROM {other}", f"FROM {{{other}}}")
-        used = {k: v for k, v in (found | out).items() if f"{{{k}}}" in text}
-        out[name] = spark.sql(text, **used)
-    return out
+def _sql(spark: SparkSession, sql: str, **found: DataFrame) -> DataFrame:
+    """A view's SQL over given tables."""
+    text = sql.format(**{s: f"{{{s}}}" for s in SOURCES})
+    for name in found:
+        text = re.sub(rf"(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", text)
+    return spark.sql(text, **{k: v for k, v in found.items() if f"{{{k}}}" in text})
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, CASES, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoice lines, each with what the packing list, the proof of origin and the export document say of it."""
+    found = {s: spark.read.parquet(f"{sf_dir}/{s}.parquet") for s in ("lineitem", "supplier", "nation")}
+    # a nation has a few bytes; a supplier table beyond a broadcast's size is left to a shuffle join
+    own = _sql(spark, LINES, **found)
+    at = F.col("akte_id") + F.col("nr")
+    return own.withColumns(
+        {
+            "packed": at % 71 != 0, "p_menge": F.when(at % 53 == 0, F.col("menge") - 1).otherwise(F.col("menge")), "p_hs6": F.when(at % 61 == 0, "999999").otherwise(F.col("hs6")),
+            "brutto_kg": F.when(at % 83 == 0, F.col("menge")).otherwise(F.col("menge") * 2 + 1), "netto_kg": F.col("menge") * 2, "offen": F.when(at % 67 == 0, 1.0),
+            "in_scope": F.col("akte_id") % 13 != 0, "s_hs6": F.when(at % 59 == 0, "888888").otherwise(F.col("hs6")),
+            "declared": at % 73 != 0, "warennummer": F.when(at % 79 == 0, "77777700").otherwise(F.concat("hs6", F.lit("00"))),
+        }
+    )
 
 
-def _fact(kind: str, value, konf, dok: str):  # noqa: ANN001, ANN202
-    c = lambda x: F.col(x) if isinstance(x, str) else x
-    return F.when(c(value).isNotNull(), F.struct(c(value).cast(kind).alias("v"), c(konf).alias("konf"), F.lit(dok).alias("dok_typ"), F.lit(dok).alias("dok"), F.lit(True).alias("da"))).cast(fact_type(kind))
+def _fact(kind: str, value: Column, konf: Column, dok: str) -> Column:
+    return F.when(value.isNotNull(), F.struct(value.cast(kind).alias("v"), konf.alias("konf"), F.lit(dok).alias("dok_typ"), F.lit(dok).alias("dok"), F.lit(True).alias("da"))).cast(fact_type(kind))
 
 
-def _list(table: DataFrame, path: str, order: str, values: dict[str, tuple], dok: str) -> DataFrame:
-    """One array of a case's items; the index is the place in the list, as lines may be missing."""
+def _list(path: str, keep: str | None, values: dict[str, tuple[str, str | None]], dok: str) -> Column:
+    """A list of the case from its gathered lines; the index is the place in the list, as lines may be missing."""
     kinds = LISTS[path]
-    item = F.struct(F.col(order).alias("_o"), *[_fact(kind, *values.get(f, (F.lit(None), F.lit(1.0))), dok).alias(f) for f, kind in kinds.items()])
-    gathered = table.groupBy("akte_id").agg(F.array_sort(F.collect_list(item)).alias("_a"))
-    indexed = F.transform("_a", lambda x, i: F.struct(i.cast("int").alias("idx"), *[x[f].alias(f) for f in kinds]))
-    return gathered.select("akte_id", indexed.cast(list_type(path)).alias(column_of(path)))
+    rows = F.col("_lines") if keep is None else F.filter("_lines", lambda x: x[keep] if keep != "offen" else x["packed"] & x["offen"].isNotNull())
+
+    def item(x: Column, i: Column) -> Column:
+        fields = {f: (x[v], x[k] if k else F.lit(0.99)) for f, (v, k) in values.items()}
+        return F.struct(i.cast("int").alias("idx"), *[_fact(kind, *fields[f], dok).alias(f) for f, kind in kinds.items()])
+
+    made = F.transform(rows, item)
+    return F.when(F.size(made) > 0, made).cast(list_type(path))
 
 
 def case_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Case rows, the input of the rules, from the star-schema tables."""
-    t = tables(spark, sf_dir)
-    lines, one = t["lines"], F.lit(0.99)
-    lists = [
-        _list(lines, "rechnung.positionen", "nr", {"nr": ("nr", one), "hs6": ("hs6", "hs_konf"), "ursprung": ("ursprung", one), "menge": ("menge", "konf"), "einzelpreis": ("einzelpreis", "konf"), "netto": ("netto", "konf"), "zollwert": ("zollwert", one), "bewertungsmethode": ("methode", one)}, "handelsrechnung"),
-        _list(t["packing"], "packliste.positionen", "nr", {"nr": ("nr", one), "hs6": ("hs6", one), "menge": ("menge", one)}, "packliste"),
-        _list(t["packing"], "packliste.packstuecke", "nr", {"id": (F.concat(F.lit("P"), "nr"), one), "brutto_kg": ("brutto_kg", "konf"), "netto_kg": ("netto_kg", one)}, "packliste"),
-        _list(t["packing"].where("offen is not null"), "packliste.backorders", "nr", {"nr": ("nr", one), "menge": ("offen", one)}, "packliste"),
-        _list(t["scope"], "praeferenznachweis.warenkreis", "pos", {"pos": ("pos", one), "hs6": ("hs6", one)}, "origin_declaration"),
-        _list(t["declared"], "abd.positionen", "nr", {"nr": ("nr", one), "warennummer": ("warennummer", "hs_konf")}, "abd"),
-    ]
-    codes = lines.groupBy("akte_id").agg(F.collect_list(F.when((F.col("akte_id") % 31 == 0) & (F.col("nr") == 1), F.col("hs6")).otherwise(F.concat("hs6", F.lit("00")))).alias("warennummern"))
-    head = t["heads"].withColumn("_k", F.col("konf"))
+    """Case rows, the input of the rules, from the star-schema tables. Lines are shuffled by their case once and
+    gathered there; the other documents' lists are made from the gathered lines."""
+    every = lines(spark, sf_dir)
+    fields = [c for c in every.columns if c != "akte_id"]
+    gathered = every.groupBy("akte_id").agg(
+        F.array_sort(F.collect_list(F.struct("nr", *[c for c in fields if c != "nr"]))).alias("_lines"),
+        (F.sum(F.round(F.col("netto") * 100).cast("long")).cast("double") / 100).alias("netto_summe"), F.count("*").alias("n_lines"), F.sum(F.when(F.col("packed"), F.col("brutto_kg"))).alias("brutto_summe"),
+    )
+    own = cases(spark, sf_dir)
+    head = _sql(spark, HEADS, cases=own, sums=gathered.select("akte_id", "netto_summe", "n_lines", "brutto_summe"))
+    col, one = F.col, F.lit(0.99)
     value = {
-        "rechnung.waehrung": ("waehrung", one, "handelsrechnung"), "rechnung.zuschlaege": ("zuschlaege", one, "handelsrechnung"), "rechnung.rabatte": ("rabatte", one, "handelsrechnung"), "rechnung.gesamt": ("gesamt", "_k", "handelsrechnung"),
-        "packliste.container_id": ("pack_container", one, "packliste"), "packliste.brutto_gesamt_kg": ("brutto_gesamt", one, "packliste"),
-        "bill_of_lading.container_id": ("bl_container", "_k", "bill_of_lading"), "bill_of_lading.brutto_kg": ("bl_brutto", "_k", "bill_of_lading"),
-        "praeferenznachweis.typ": ("nachweis_typ", one, "origin_declaration"), "praeferenznachweis.ursprung": ("nachweis_ursprung", one, "origin_declaration"), "praeferenznachweis.rex_nummer": ("rex", one, "origin_declaration"),
-        "praeferenznachweis.ermaechtigter_ausfuehrer": ("ermaechtigt", one, "origin_declaration"), "praeferenznachweis.ursprungswert": ("gesamt", "_k", "origin_declaration"),
-        "abd.mrn": (F.concat(F.lit("26DE"), F.col("akte_id").cast("string")), one, "abd"), "abd.container_id": ("abd_container", one, "abd"),
+        "rechnung.waehrung": (col("waehrung"), one, "handelsrechnung"), "rechnung.zuschlaege": (col("zuschlaege"), one, "handelsrechnung"), "rechnung.rabatte": (col("rabatte"), one, "handelsrechnung"), "rechnung.gesamt": (col("gesamt"), col("konf"), "handelsrechnung"),
+        "packliste.container_id": (col("pack_container"), one, "packliste"), "packliste.brutto_gesamt_kg": (col("brutto_gesamt"), one, "packliste"),
+        "bill_of_lading.container_id": (col("bl_container"), col("konf"), "bill_of_lading"), "bill_of_lading.brutto_kg": (col("bl_brutto"), col("konf"), "bill_of_lading"),
+        "praeferenznachweis.typ": (col("nachweis_typ"), one, "origin_declaration"), "praeferenznachweis.ursprung": (col("nachweis_ursprung"), one, "origin_declaration"), "praeferenznachweis.rex_nummer": (col("rex"), one, "origin_declaration"),
+        "praeferenznachweis.ermaechtigter_ausfuehrer": (col("ermaechtigt"), one, "origin_declaration"), "praeferenznachweis.ursprungswert": (col("gesamt"), col("konf"), "origin_declaration"),
+        "abd.mrn": (F.concat(F.lit("26DE"), col("akte_id").cast("string")), one, "abd"), "abd.container_id": (col("abd_container"), one, "abd"),
+    }
+    heads = [(_fact(kind, *value[p]) if p in value else F.lit(None).cast(fact_type(kind))).alias(column_of(p)) for p, kind in HEADER.items()]
+    none = None
+    lists = {
+        "rechnung.positionen": (none, {"nr": ("nr", none), "hs6": ("hs6", "hs_konf"), "ursprung": ("ursprung", none), "menge": ("menge", "konf"), "einzelpreis": ("einzelpreis", "konf"), "netto": ("netto", "konf"), "zollwert": ("zollwert", none), "bewertungsmethode": ("methode", none)}, "handelsrechnung"),
+        "packliste.positionen": ("packed", {"nr": ("nr", none), "hs6": ("p_hs6", none), "menge": ("p_menge", none)}, "packliste"),
+        "packliste.packstuecke": ("packed", {"id": ("nr", none), "brutto_kg": ("brutto_kg", "konf"), "netto_kg": ("netto_kg", none)}, "packliste"),
+        "packliste.backorders": ("offen", {"nr": ("nr", none), "menge": ("offen", none)}, "packliste"),
+        "praeferenznachweis.warenkreis": ("in_scope", {"pos": ("nr", none), "hs6": ("s_hs6", none)}, "origin_declaration"),
+        "abd.positionen": ("declared", {"nr": ("nr", none), "warennummer": ("warennummer", "hs_konf")}, "abd"),
     }
-    heads = head.select("akte_id", *[(_fact(kind, *value[p]) if p in value else F.lit(None).cast(fact_type(kind))).alias(column_of(p)) for p, kind in HEADER.items()])
-    draft = F.col("akte_id") % 29 == 0
+    draft = col("akte_id") % 29 == 0
+    codes = F.transform("_lines", lambda x: F.when((col("akte_id") % 31 == 0) & (x["nr"] == 1), x["hs6"]).otherwise(F.concat(x["hs6"], F.lit("00"))))
     doc = lambda k, typ, status: F.struct(F.lit(k).alias("ord"), F.lit(typ).alias("id"), F.lit(typ).alias("typ"), status.alias("status"))
     final = F.lit("final")
-    cases = t["cases"].join(codes, "akte_id", "left").select(
+    wide = own.join(head, "akte_id").join(gathered.select("akte_id", "_lines"), "akte_id", "left")
+    return wide.select(
         "akte_id",
-        F.date_add(F.lit("2026-09-12").cast("date"), F.col("tag").cast("int")).alias("stichtag"),
-        F.struct("richtung", "verkehrstraeger", F.col("praeferenz").alias("praeferenz_beansprucht"), F.struct(F.col("incoterm").alias("code")).alias("incoterm")).alias("sachverhalt"),
-        F.struct(F.col("anm_richtung").alias("richtung"), "warennummern").alias("anmeldung"),
-        F.array_compact(F.array(doc(1, "handelsrechnung", final), doc(2, "packliste", final), doc(3, "bill_of_lading", F.when(draft, "draft").otherwise("final")), F.when(F.col("akte_id") % 17 == 0, doc(4, "atr", final)), doc(5, "abd", final))).alias("dokumente"),
+        F.date_add(F.lit("2026-09-12").cast("date"), col("tag").cast("int")).alias("stichtag"),
+        F.struct("richtung", "verkehrstraeger", col("praeferenz").alias("praeferenz_beansprucht"), F.struct(col("incoterm").alias("code")).alias("incoterm")).alias("sachverhalt"),
+        F.struct(col("anm_richtung").alias("richtung"), codes.alias("warennummern")).alias("anmeldung"),
+        F.array_compact(F.array(doc(1, "handelsrechnung", final), doc(2, "packliste", final), doc(3, "bill_of_lading", F.when(draft, "draft").otherwise("final")), F.when(col("akte_id") % 17 == 0, doc(4, "atr", final)), doc(5, "abd", final))).alias("dokumente"),
         F.when(draft, F.array(F.struct(F.lit("bill_of_lading").alias("dokument"), F.lit("bill_of_lading").alias("dok_typ"), F.lit("draft").alias("dok_status"), F.lit("bill_of_lading.container_id").alias("pfad")))).alias("nicht_final"),
+        *heads, *[_list(p, *how).alias(column_of(p)) for p, how in lists.items()],
     )
-    for part in [heads, *lists]:
-        cases = cases.join(part, "akte_id", "left")
-    return cases
