@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wharfline.functions import identifiers, parsing
-from wharfline.operators import documents, metrics, requests
+from wharfline.operators import documents, geometry, metrics, requests
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -206,13 +206,79 @@ MAIL_ROUTE_SQL = """
 SELECT CASE WHEN conv_id % 3 <> 0 THEN 'keine Vorgangsnummer' WHEN anhaenge = 0 THEN 'keine Anhänge' WHEN k IS NULL THEN 'unbekannte Akte' ELSE 'zugeordnet' END AS ergebnis, count(*) AS n
 FROM (""" + plain(MAILS, "conversations") + ") m LEFT JOIN (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey < 5000) o ON o.k = m.conv_id % 10000 GROUP BY 1"
 
+
+# words of documents, set on pages of 40 lines: a word every 30 points, a line every 12, tops that waver by 2
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and words that the page geometry finds in each document."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("z", "zeile"))
+    found = lines.select("doc_id", F.floor(F.col("z") / 40).cast("int").alias("page"), "z", F.posexplode(F.filter(F.split("zeile", " "), lambda w: w != "")).alias("k", "text"))
+    x0, top = F.col("k") * 30.0, (F.col("z") % 40) * 12.0 + F.col("k") % 3
+    words = found.select("doc_id", "page", "text", x0.alias("x0"), top.alias("top"), (x0 + 20).alias("x1"), (top + 8).alias("bottom"), F.lit(0.9).alias("conf"))
+    return geometry.lines_by_anchor(words).groupBy("doc_id").agg(F.count("*").alias("zeilen"), F.sum(F.size("words")).alias("woerter"))
+
+
+PAGE_SQL = """
+SELECT doc_id, count(*) AS zeilen, sum(n) AS woerter
+FROM (SELECT doc_id, len(list_filter(string_split(zeile, ' '), lambda w: w <> '')) AS n FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS zeile FROM documents) l) c
+WHERE n > 0 GROUP BY doc_id"""
+
+REQUESTS = "SELECT l_orderkey AS akte_id, CASE WHEN l_returnflag = 'R' THEN 'erledigt' ELSE 'offen' END AS status, CASE WHEN l_linestatus = 'F' THEN 'stufe' || CAST(l_linenumber AS STRING) END AS stufe, CAST(l_partkey AS BIGINT) * 100000 + CAST(l_suppkey AS BIGINT) AS letzter_versand_am FROM {lineitem}"
+CHECKS = "SELECT o_orderkey AS akte_id, CASE o_orderkey % 4 WHEN 0 THEN 'blockiert' WHEN 1 THEN 'freigabereif' ELSE 'freigabe_mit_warnungen' END AS freigabe, o_orderdate AS geprueft_am FROM {orders} WHERE o_orderkey % 5 <> 0"
+
+
+def _overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("akte_id"))
+    docs = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("akte_id"))
+    return metrics.overview(cases, docs, derived(spark, sf_dir, REQUESTS, "lineitem"), derived(spark, sf_dir, CHECKS, "orders"))
+
+
+def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overview(spark, sf_dir).select("akte_id", "dokumente", "offene_faelle", F.coalesce("letzter_versand", F.lit(0)).alias("letzter_versand"), "freigabe")
+
+
+def overview_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.totals(_overview(spark, sf_dir))
+
+
+OVERVIEW_SQL = f"""
+SELECT o.o_orderkey AS akte_id, coalesce(d.n, 0) AS dokumente, coalesce(r.n, 0) AS offene_faelle, coalesce(r.letzter_versand, 0) AS letzter_versand, c.freigabe
+FROM orders o LEFT JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) d ON d.k = o.o_orderkey
+LEFT JOIN (SELECT akte_id, count(*) FILTER (status = 'offen') AS n, max(letzter_versand_am) AS letzter_versand FROM ({plain(REQUESTS, "lineitem")}) q GROUP BY 1) r ON r.akte_id = o.o_orderkey
+LEFT JOIN ({plain(CHECKS, "orders")}) c ON c.akte_id = o.o_orderkey"""
+
+
+def append_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an idempotent append adds: lines of odd suppliers against stored lines of even ones, one for each part."""
+    rows = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey")
+    batch, stored = rows.where("l_suppkey % 2 = 1"), rows.where("l_suppkey % 2 = 0 AND l_orderkey % 3 = 0")
+    return metrics.append_new(batch, stored, ["l_partkey"], "l_orderkey").select("l_partkey", "l_orderkey")
+
+
+APPEND_SQL = """SELECT l_partkey, min(l_orderkey) AS l_orderkey FROM lineitem WHERE l_suppkey % 2 = 1
+  AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_suppkey % 2 = 0 AND l_orderkey % 3 = 0) GROUP BY 1"""
+
+
+def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open requests (orders of three weekdays) against new ones: opened, kept, closed by priority."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("akte_id"), F.col("o_orderpriority").alias("grund"), F.lit("f").alias("feld"), F.lit(0).alias("ord"))
+    texts = {c: F.lit("x") for c in ("betreff", "text", "adressat", "adressat_kopie")}
+    held = rows.where("akte_id % 7 < 3").drop("ord").withColumns({"stufe": F.lit(None).cast("string"), "letzter_versand_am": F.lit(None).cast("timestamp"), "eroeffnet_am": F.lit(None).cast("timestamp"), **texts})
+    new = rows.where("akte_id % 7 > 1").withColumns(texts)
+    return requests.reconcile(held, new, F.lit("2026-09-13").cast("timestamp")).groupBy("grund", "aktion").agg(F.count("*").alias("n"))
+
+
+RECONCILE_SQL = """SELECT o_orderpriority AS grund, CASE WHEN o_orderkey % 7 < 2 THEN 'schliessen' WHEN o_orderkey % 7 = 2 THEN 'behalten' ELSE 'eroeffnen' END AS aktion, count(*) AS n FROM orders GROUP BY 1, 2"""
+
 QUERIES = {
+    "page_lines": page_lines, "case_overview": overview, "overview_totals": overview_totals, "idempotent_append": append_once, "request_reconciliation": reconciled,
     "identifier_quality": identifier_quality, "amount_parsing": amounts, "date_parsing": dates, "country_parsing": countries, "company_names": companies,
     "document_classes": classes, "mail_pseudonyms": mail_addresses, "errors_by_workflow": errors_by_workflow, "retries_by_entrance": retries_by_entrance, "last_check_age": last_check_age,
     "latest_retry": latest_retry, "error_windows": error_windows, "value_histogram": value_histogram, "sustained_values": sustained_errors, "extraction_quality": extraction_quality, "mail_routes": mail_routes,
 }
 E_SQL = "(" + plain(EVENTS, "events") + ") e"
 ORACLES = {
+    "page_lines": PAGE_SQL, "case_overview": OVERVIEW_SQL, "idempotent_append": APPEND_SQL, "request_reconciliation": RECONCILE_SQL,
+    "overview_totals": f"SELECT count(*) AS akten, count(*) FILTER (freigabe = 'blockiert') AS blockiert, count(*) FILTER (freigabe = 'freigabereif') AS freigabereif, sum(offene_faelle) AS offene_faelle FROM ({OVERVIEW_SQL}) o",
     "identifier_quality": IDENTIFIER_SQL, "amount_parsing": AMOUNT_SQL, "date_parsing": DATE_SQL, "country_parsing": COUNTRY_SQL, "company_names": COMPANY_SQL,
     "document_classes": CLASS_SQL, "mail_pseudonyms": MAIL_SQL,
     "errors_by_workflow": f"SELECT coalesce(workflow_name, 'unbekannt') AS workflow_name, count(*) AS anzahl FROM {E_SQL} WHERE event_type = 'error' GROUP BY 1",
