@@ -47,10 +47,13 @@ def lines_by_neighbour(words: DataFrame) -> DataFrame:
     return words.groupBy("doc_id", "page").applyInPandas(_neighbours, ", ".join([*columns, "line_no int"]))
 
 
-def value_after_label(lines: DataFrame, label: str) -> DataFrame:
-    """doc_id, page, wert, conf: words right of the label up to the first gap, else the words below it on the next line."""
-    last = F.size(F.split(F.regexp_extract("text", f"(?i)^(.*?{label})", 1), " "))
-    hit = lines.where(F.col("text").rlike(f"(?i){label}")).withColumn("_n", last)
+def value_after_label(lines: DataFrame, label: str | Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, page, wert, conf (and the columns in keep): words right of the label up to the first gap, else the words
+    below it on the next line. The label is a pattern, or a column of patterns."""
+    label = F.lit(label) if isinstance(label, str) else label
+    pattern = F.concat(F.lit("(?i)^(.*?(?<![A-Za-z])(?:"), label, F.lit(r")\s*[:.]?)"))
+    lines = lines.withColumn("_label", pattern)
+    hit = lines.where(F.regexp_like("text", F.col("_label"))).withColumn("_n", F.size(F.split(F.trim(F.call_function("regexp_extract", F.col("text"), F.col("_label"), F.lit(1))), " ")))
     rest = F.slice("words", F.col("_n") + 1, F.size("words"))
     end = F.get("words", F.col("_n") - 1)
     # a word after the first counts while no gap before it is too wide
@@ -58,13 +61,37 @@ def value_after_label(lines: DataFrame, label: str) -> DataFrame:
         rest, F.struct(F.array().cast(f"array<{WORD}>").alias("w"), F.lit(True).alias("on"), F.lit(None).cast("double").alias("x1")),
         lambda a, w: F.when(a["on"] & (a["x1"].isNull() | (w["x0"] - a["x1"] <= VALUE_GAP)), F.struct(F.concat(a["w"], F.array(w)).alias("w"), F.lit(True).alias("on"), w["x1"].alias("x1"))).otherwise(F.struct(a["w"].alias("w"), F.lit(False).alias("on"), a["x1"].alias("x1"))),
     )["w"]
-    same = hit.select("doc_id", "page", "line_no", taken.alias("w"), F.get("words", F.lit(0))["x0"].alias("_x0"), end["x1"].alias("_x1"))
-    below = lines.select("doc_id", "page", (F.col("line_no") - 1).alias("line_no"), F.col("words").alias("_below"))
+    same = hit.select("doc_id", "page", "line_no", *keep, taken.alias("w"), F.get("words", F.lit(0))["x0"].alias("_x0"), end["x1"].alias("_x1"))
+    below = lines.select("doc_id", "page", (F.col("line_no") - 1).alias("line_no"), F.col("words").alias("_below")).dropDuplicates(["doc_id", "page", "line_no"])
     both = same.join(below, ["doc_id", "page", "line_no"], "left")
     under = F.filter("_below", lambda w: (w["x1"] >= F.col("_x0")) & (w["x0"] <= F.col("_x1") + VALUE_GAP))
     chosen = F.when(F.size("w") > 0, F.col("w")).otherwise(under)
     text = F.regexp_replace(F.array_join(F.transform(chosen, lambda w: w["text"]), " "), "^[ :]+|[ :]+$", "")
-    return both.select("doc_id", "page", "line_no", text.alias("wert"), F.array_min(F.transform(chosen, lambda w: w["conf"])).alias("conf")).where("wert <> ''")
+    return both.select("doc_id", "page", "line_no", *keep, text.alias("wert"), F.array_min(F.transform(chosen, lambda w: w["conf"])).alias("conf")).where("wert <> ''")
+
+
+BLOCK_LINES, BLOCK_GAP, COLUMN_TOLERANCE = 8, 1.8, 4.0
+
+
+def block_after_label(lines: DataFrame, label: str) -> DataFrame:
+    """doc_id, page, zeile, wert: up to eight lines below a label, of the words in its column, until the distance grows or a line has none."""
+    pattern = f"(?i)^(.*?(?<![A-Za-z])(?:{label})\\s*[:.]?)"
+    hit = lines.where(F.col("text").rlike(pattern))
+    n = F.size(F.split(F.trim(F.regexp_extract("text", pattern, 1)), " "))
+    start = F.size(F.split(F.trim(F.regexp_extract("text", f"(?i)^(.*?)(?<![A-Za-z])(?:{label})", 1)), " ")) - F.when(F.trim(F.regexp_extract("text", f"(?i)^(.*?)(?<![A-Za-z])(?:{label})", 1)) == "", 1).otherwise(0)
+    left = F.get("words", start)["x0"] - COLUMN_TOLERANCE
+    end = F.get("words", n - 1)["x1"]
+    beyond = F.array_min(F.transform(F.filter("words", lambda w: w["x0"] > end + VALUE_GAP), lambda w: w["x0"]))
+    spot = hit.select("doc_id", "page", F.col("line_no").alias("_at"), left.alias("_l"), F.coalesce(beyond - COLUMN_TOLERANCE, F.lit(float("inf"))).alias("_r"))
+    bottom, top = F.array_max(F.transform("words", lambda w: w["bottom"])), F.array_min(F.transform("words", lambda w: w["top"]))
+    turn = Window.partitionBy("doc_id", "page").orderBy("line_no")
+    spaced = lines.withColumns({"_gap": top - F.lag(bottom).over(turn), "_high": F.greatest(F.lag(bottom - top).over(turn), F.lit(1.0))})
+    after = spaced.join(spot, ["doc_id", "page"]).where((F.col("line_no") > F.col("_at")) & (F.col("line_no") <= F.col("_at") + BLOCK_LINES))
+    inside = F.filter("words", lambda w: (w["x0"] >= F.col("_l")) & (w["x0"] < F.col("_r")))
+    block = Window.partitionBy("doc_id", "page", "_at").orderBy("line_no")
+    broken = F.max(F.when((F.size("_in") == 0) | (F.col("_gap") > BLOCK_GAP * F.col("_high")), 1).otherwise(0)).over(block)
+    kept = after.withColumn("_in", inside).withColumn("_off", broken).where("_off = 0")
+    return kept.select("doc_id", "page", (F.col("line_no") - F.col("_at")).alias("zeile"), F.array_join(F.transform("_in", lambda w: w["text"]), " ").alias("wert"))
 
 
 def table_rows(words: DataFrame, header: DataFrame, first: str) -> DataFrame:
