@@ -41,8 +41,8 @@ from wharfline.llm.common import chunks, documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: States and pieces that a worker keeps.
-MAX_STATES = 1 << 18
-MAX_PIECES = 1 << 19
+MAX_STATES = 1 << 17
+MAX_PIECES = 1 << 18
 #: ids that the decoder takes at a time.
 FEED = 1 << 14
 NEVER = 1 << 40
@@ -59,7 +59,8 @@ class State:
     def __init__(self, members: tuple) -> None:
         self.members = members
         self.arcs: dict[int, tuple[State, tuple[int, ...]]] = {}
-        self.end: tuple[int, ...] = next((out for out, _, node in members if not node), ())
+        out, _, node = members[-1]
+        self.end: tuple[int, ...] = () if node else out
 
 
 class Transducer:
@@ -149,7 +150,7 @@ class Transducer:
                 key = (last + 1) << 32 | rank
                 apart = borders.get(key)
                 if apart is None:
-                    if len(borders) > 4 * self.max_states:
+                    if len(borders) > 2 * self.max_states:
                         borders.clear()
                     apart = borders[key] = self._border(last, rank)
                 if apart:
@@ -184,11 +185,12 @@ class Transducer:
             return (whole,)
         state, out = self.start, []
         for byte in piece:
-            arc = state.arcs.get(byte)
-            if arc is None:
-                arc = self._arc(state, byte)
-            state, given = arc
-            out += given
+            try:
+                state, given = state.arcs[byte]
+            except KeyError:
+                state, given = self._arc(state, byte)
+            if given:
+                out += given
         return (*out, *state.end)
 
 
