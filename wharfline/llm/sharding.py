@@ -71,10 +71,12 @@ def propagate(rows: DataFrame, shards: int, n: int, rounds: int = ROUNDS) -> Dat
     for _ in range(rounds):
         held = rows.where(F.col("unit").isNotNull()).groupBy("unit", "shard").agg(F.count("*").alias("_n"))
         home = held.groupBy("unit").agg(F.max_by("shard", F.struct("_n", F.xxhash64("unit", "shard"))).alias("home"))
-        wanting = rows.join(home.hint("merge"), "unit", "left").withColumn(
-            "_class",
-            F.when(F.col("unit").isNull(), F.lit(shards * shards) + F.col("shard"))
-            .when(F.col("home") != F.col("shard"), F.col("shard") * shards + F.col("home")),
+        single, linked = F.col("unit").isNull(), F.col("unit").isNotNull()
+        wanting = (
+            rows.where(linked).join(home.hint("merge"), "unit")
+            .withColumn("_class", F.when(F.col("home") != F.col("shard"), F.col("shard") * shards + F.col("home")))
+            .select(*rows.columns, "_class")
+            .unionByName(rows.where(single).withColumn("_class", F.lit(shards * shards) + F.col("shard")))
         )
         wanting = stage(wanting, "shard-wishes")
         counts = {r[0]: r[1] for r in wanting.where("_class is not null").groupBy("_class").count().collect()}  # shards * (shards + 1) rows at most
