@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import base64
 import gc
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache, partial
 from itertools import chain
 
@@ -41,11 +41,13 @@ from wharfline.llm.common import chunks, documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: States and pieces that a worker keeps.
-MAX_STATES = 1 << 17
+MAX_STATES = 60_000
 MAX_PIECES = 1 << 18
 #: ids that the decoder takes at a time.
 FEED = 1 << 14
 NEVER = 1 << 40
+#: Marks of arcs that were met once.
+DOOR = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -84,6 +86,7 @@ class Transducer:
             self.token_at[node] = rank
         self.borders: dict[int, bool] = {}
         self.spines: tuple[dict, dict] = ({}, {})
+        self.met = bytearray(DOOR)
         self.states: dict[tuple, State] = {}
         self.start = self._state((((), -1, 0),))
 
@@ -135,11 +138,12 @@ class Transducer:
                         return False
         return True
 
-    def _arc(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        """Members stay in the order of where their token under way begins, so equal sets are equal tuples."""
+    def _step(self, members: Sequence[tuple], byte: int) -> tuple[list[tuple], tuple[int, ...]]:
+        """Members after a byte, and the output they agree on. They stay in the order of where their token
+        under way begins, so equal sets are equal sequences."""
         after, steps, borders = [], self.steps, self.borders
         ended = None
-        for out, last, node in state.members:
+        for out, last, node in members:
             node = steps.get(node << 8 | byte)
             if node is None:
                 continue
@@ -171,11 +175,16 @@ class Transducer:
             agreed = agreed[:same]
         if agreed:
             after = [(out[len(agreed) :], last, node) for out, last, node in after]
+        return after, agreed
+
+    def _arc(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+        after, agreed = self._step(state.members, byte)
         if len(self.states) > self.max_states:
             for old in self.states.values():  # states point at each other
                 old.arcs.clear()
             self.states.clear()
             self.states[self.start.members] = self.start
+            self.met = bytearray(DOOR)
         arc = state.arcs[byte] = (self._state(tuple(after)), agreed)
         return arc
 
@@ -183,11 +192,20 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        state, out = self.start, []
-        for byte in piece:
+        state, out, rest = self.start, [], iter(piece)
+        for byte in rest:
             try:
                 state, given = state.arcs[byte]
             except KeyError:
+                door = ((id(state) >> 4) * 257 + byte) % DOOR
+                if not self.met[door]:  # most arcs are never needed again: an arc is kept from its second use on
+                    self.met[door] = 1
+                    members, given = self._step(state.members, byte)
+                    out += given
+                    for byte in rest:
+                        members, given = self._step(members, byte)
+                        out += given
+                    return (*out, *members[-1][0]) if not members[-1][2] else tuple(out)
                 state, given = self._arc(state, byte)
             if given:
                 out += given
@@ -195,16 +213,21 @@ class Transducer:
 
 
 class Pieces(dict):
-    """piece -> ids, worked out on first use."""
+    """piece -> ids, worked out on first use. When half the limit is full it becomes the older half, and pieces of
+    that which are used again come over; the rest goes with the next turn."""
 
     def __init__(self, encode, limit: int = MAX_PIECES) -> None:  # noqa: ANN001
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.older = encode, limit, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= self.limit:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(piece.encode())
+        if 2 * len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        ids = self[piece] = self.encode(piece.encode())
+        self[piece] = ids
         return ids
 
 

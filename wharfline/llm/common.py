@@ -6,6 +6,7 @@ import math
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,3 +106,4 @@ def chunks(batches: Iterator, limit: int = 4 << 20) -> Iterator[tuple[list, list
             held += len(text) + 64
     if ids:
         yield ids, texts
+    pa.default_memory_pool().release_unused()  # workers are kept; what this task's batches took goes back
