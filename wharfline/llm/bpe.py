@@ -41,7 +41,7 @@ from wharfline.llm.common import chunks, documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: States and pieces that a worker keeps.
-MAX_STATES = 60_000
+MAX_STATES = 100_000
 MAX_PIECES = 1 << 18
 #: ids that the decoder takes at a time.
 FEED = 1 << 14
