@@ -50,3 +50,43 @@ def test_empty_table(spark):
     for _, step in corpus_pipeline.STAGES:
         docs = step(spark, docs, SF)
     assert docs.count() == 0
+
+
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+
+
+def brute_kept(rows):
+    """Ids of the least row of each group linked by a five-word Jaccard similarity of 0.8 or more."""
+    sets, root = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+
+    def top(k):
+        return k if root[k] == k else top(root[k])
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[top(a)] = top(b)
+    groups = {}
+    for k, (doc_id, _) in enumerate(rows):
+        groups.setdefault(top(k), []).append(doc_id)
+    return sorted(map(min, groups.values()))
+
+
+def test_near_stage_finds_every_similar_pair(spark):
+    random = np.random.default_rng(7)
+    texts = ["", " \n", "a b", "A  b", "a b c"]
+    for size in (30, 60, 200, 400):
+        for _ in range(3):
+            base = [f"w{k}" for k in random.integers(0, 5000, size)]
+            for edits in (0, 1, 1, 2, 3, 4, 6, 8, 10):
+                near = list(base)
+                for k in random.integers(0, size, edits * size // 200 + (edits > 0)):
+                    near[k] = f"x{random.integers(0, 5000)}"
+                texts.append(" ".join(near))
+    common = " ".join(f"c{k}" for k in range(40))
+    texts += [f"{common} {' '.join(f'v{k}' for k in random.integers(0, 5000, extra))}" for extra in (1, 3, 5, 7, 9, 11, 40, 80) for _ in range(6)]
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ids(simhash.keep_one_of_each(frame)) == brute_kept(rows)

@@ -17,12 +17,16 @@ Defined results: null and wordless texts have fingerprint zero and link like any
 other; fewer words than a shingle make one shingle; equal ids or rows repeat in
 the result as often as in the input; null ids stay out of the choice of the
 component's name unless all are null; an empty table gives an empty result.
+
+The pipeline's stage links texts by the exact Jaccard similarity of their five-word
+shingles instead, 0.8 or more (`similar_rows`): fingerprints give candidates within
+the radius, a prefix join (`shingle_join`) all pairs beyond it.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 from itertools import repeat
 
@@ -36,31 +40,44 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from wharfline.llm.common import chunks, documents, stage
 from wharfline.llm.components import connected_components
+from wharfline.llm.shingle_join import crossing_pairs, shared_prefixes, similar, star_pairs
 
 SHINGLE = 3
 RADIUS = 2
+#: Words of a shingle where the pipeline compares texts.
+STAGE_SHINGLE = 5
 #: Buckets of up to this many distinct fingerprints are compared pair by pair.
 PAIRWISE = 24
 SLICE = 1 << 16
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the text's word shingles, repeats included, a slice at a time; none for a wordless text."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return
     whole = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     starts, ends = starts[:n].tolist(), (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
-    counts = np.zeros(64, np.int64)
     for at in range(0, n, SLICE):
         parts = [whole[a:b] for a, b in zip(starts[at : at + SLICE], ends[at : at + SLICE], strict=True)]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), "<u8", len(parts))
+        yield np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), "<u8", len(parts))
+
+
+def majority(slices: Iterable[np.ndarray]) -> int:
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in slices:
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], id_type: pa.DataType, shingle: int) -> Iterator[pa.RecordBatch]:
     for ids, texts in chunks(batches):
         yield pa.RecordBatch.from_arrays(
@@ -133,7 +150,39 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for rows, texts in chunks(batches):
+        prints, sets = [], []
+        for text in texts:
+            slices = list(shingle_hashes(text, shingle))
+            prints.append(majority(slices))
+            sets.append(np.unique(np.concatenate(slices)).view(np.int64) if slices else np.zeros(1, np.int64))
+        sizes = [len(s) for s in sets]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(sets)))
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), lists], ["row", "fp", "n", "set"])
+
+
+def similar_rows(rows: DataFrame, text_col: str = "text", shingle: int = STAGE_SHINGLE, radius: int = RADIUS, pairwise: int = PAIRWISE) -> DataFrame:
+    """rows with a distinct long `_row` -> (node, component) of the rows linked by a similarity of 0.8 or more, rows without a link left out.
+
+    Fingerprints within the radius and the least row of each shared prefix shingle
+    give first candidates, linear in the input. What they link isn't compared
+    again; all other pairs that share a prefix shingle are.
+    """
+    sets = stage(rows.select("_row", text_col).mapInArrow(partial(_shingle_sets, shingle=shingle), "row long, fp long, n int, set array<long>"), "shingle-sets")
+    reps = stage(sets.groupBy("fp").agg(F.min("row").alias("rep")), "stage-reps")
+    equal = sets.select("fp", "row").join(reps.hint("merge"), "fp").where("row <> rep").select(F.col("rep").alias("u"), F.col("row").alias("v"))
+    within = linked_pairs(reps, radius, pairwise).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    shared = shared_prefixes(sets)
+    first = stage(equal.unionByName(within).unionByName(star_pairs(shared)).distinct(), "first-pairs")
+    links = stage(similar(first, sets), "first-links")
+    rest = crossing_pairs(shared, connected_components(links), first)
+    return connected_components(links.unionByName(stage(similar(rest, sets), "rest-links")))
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their component: one document of each group stays."""
-    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    """The rows of docs whose id is the least of their group of similar texts: one document of each group stays."""
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    named = rows.select("_row", F.col(id_col).alias("_id")).join(similar_rows(rows, text_col).hint("merge"), F.col("_row") == F.col("node"), "left").select("_id", F.coalesce("component", "_row").alias("_component"))
+    kept = named.groupBy("_component").agg(F.min("_id").alias("_kept")).select("_kept").distinct()
+    return rows.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").drop("_row")
