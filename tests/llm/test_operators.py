@@ -74,6 +74,14 @@ def test_lm_rare_words_take_the_shuffled_way(spark, docs):
     assert many == few
 
 
+def pair_scores(docs, **bounds):
+    return sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 6)) for r in lm_scoring.score_texts(docs, **bounds).collect())
+
+
+def test_lm_pairs_count_after_rare_words_too(docs):
+    assert pair_scores(docs, hot=3) == pair_scores(docs) == pair_scores(docs, hot=0)
+
+
 def test_log_frequency_filter():
     keys = np.arange(1, 5001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.tile([1, 2, 3, 9, 200], 1000)
