@@ -82,6 +82,12 @@ def test_lm_pairs_count_after_rare_words_too(docs):
     assert pair_scores(docs, hot=3) == pair_scores(docs) == pair_scores(docs, hot=0)
 
 
+def test_lm_pairs_beyond_the_filter_count_too(docs):
+    many = docs.union(docs).union(docs.where("doc_id < 4"))
+    whole = pair_scores(many)
+    assert pair_scores(many, filter_bits=0) == whole == pair_scores(many, filter_bits=12 * 60, hot=3)
+
+
 def test_log_frequency_filter():
     keys = np.arange(1, 5001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.tile([1, 2, 3, 9, 200], 1000)
