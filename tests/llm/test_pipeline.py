@@ -90,3 +90,13 @@ def test_near_stage_finds_every_similar_pair(spark):
     rows = list(enumerate(texts))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert ids(simhash.keep_one_of_each(frame)) == brute_kept(rows)
+
+
+def test_near_stage_tells_rows_apart_where_ids_are_null_or_repeat(spark):
+    base = [f"w{k}" for k in range(50)]
+    near = [" ".join([*base[:-1], f"x{k}"]) for k in range(4)]
+    other = " ".join(f"o{k}" for k in range(50))
+    rows = [(None, near[0]), (None, near[1]), (7, near[2]), (7, near[3]), (7, other), (None, other + " o"), (None, "alone without a name"), (None, "one more of these by itself")]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 4
+    assert sorted((r.doc_id or 0, r.text[:2]) for r in kept) == [(0, "al"), (0, "on"), (7, "o0"), (7, "w0")]

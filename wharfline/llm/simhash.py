@@ -181,8 +181,9 @@ def similar_rows(rows: DataFrame, text_col: str = "text", shingle: int = STAGE_S
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the least of their group of similar texts: one document of each group stays."""
+    """Of each group of similar texts the row with the least id; null ids come last, and rows are told apart by a key of their own."""
     rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    named = rows.select("_row", F.col(id_col).alias("_id")).join(similar_rows(rows, text_col).hint("merge"), F.col("_row") == F.col("node"), "left").select("_id", F.coalesce("component", "_row").alias("_component"))
-    kept = named.groupBy("_component").agg(F.min("_id").alias("_kept")).select("_kept").distinct()
-    return rows.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").drop("_row")
+    named = rows.select("_row", F.col(id_col).alias("_id")).join(similar_rows(rows, text_col).hint("merge"), F.col("_row") == F.col("node"), "left").select("_row", "_id", F.coalesce("component", "_row").alias("_component"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_row")).alias("_first")
+    kept = named.groupBy("_component").agg(first).select(F.col("_first._row").alias("_row"))
+    return rows.join(kept.hint("merge"), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
