@@ -357,6 +357,12 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixed_rows_of_one_id_have_their_own_counts(spark):
+    frame = spark.createDataFrame([(k, f"a{j} b", "s0") for k in (1, None) for j in range(20)] + [(2, "c d", "s1")] * 40, "doc_id long, text string, source string")
+    want = sum((2 * r.taken + r.size) // (2 * r.size) for r in mixing.mix(frame).collect())
+    assert mixing.mixed_documents(frame).count() == want
+
+
 # 9
 def test_sharding(spark, docs, empty):
     texts = [f"text {k % 97}" if k % 3 else f"own {k}" for k in range(1500)] + ["hot"] * 800

@@ -57,14 +57,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
     return level.withColumn("target", F.when(F.col("is_capped"), cap).otherwise(final * F.col("w"))).select("source", "src", "source_size", "target")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = "mix") -> DataFrame:
-    """id, size, source_size, target, taken, and whole_epochs (how often all of the source is taken)."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, size, source_size, target, taken, whole_epochs (how often all of the source is taken) and the columns to carry."""
     sized = stage(
         docs.select(
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             random_key(F.col(id_col), seed=seed).alias("key"),
+            *carry,
         ),
         "mix-sizes",
     )
@@ -72,7 +73,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     small = targets.count() <= BROADCAST_SOURCES
     targets = F.broadcast(targets) if small else targets.hint("merge")
     keyed = sized.withColumnRenamed("source", "_source").join(targets, F.col("_source").eqNullSafe(F.col("source")))
-    keyed = keyed.select("id", "size", "key", "src", "source_size", "target")
+    keyed = keyed.select("id", "size", "key", "src", "source_size", "target", *carry)
     placed = prefix_sum(keyed, "src", "key", "size", "before", sized.count(), ties=("id", "size"))
     budget = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
@@ -80,7 +81,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
     return placed.select(
         F.col("id").alias(id_col), "size", "source_size", "target",
-        (whole * F.col("size") + part).cast("long").alias("taken"), whole.alias("whole_epochs"),
+        (whole * F.col("size") + part).cast("long").alias("taken"), whole.alias("whole_epochs"), *carry,
     )
 
 
@@ -90,10 +91,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken: the part of the boundary document counts as a copy from half its size on."""
-    taken = mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int").alias("_copies"))
-    # ids that repeat: each row carries its own count, so the counts of an id are shared out evenly
-    taken = taken.groupBy("_id").agg(F.max("_copies").alias("_copies")).where("_copies > 0")
-    joined = docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    # rows are joined by a key of their own: where ids repeat, each row has its own count
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    taken = mix(rows, carry=("_row",)).where("taken > 0").select("_row", F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int").alias("_copies")).where("_copies > 0")
+    joined = rows.join(taken.hint("merge"), "_row")
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
 
 
