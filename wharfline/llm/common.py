@@ -16,6 +16,8 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Random keys are uniform over this many bits.
 KEY_BITS = 60
+#: Rows that a range of a prefix sum holds about.
+RANGE_ROWS = 10_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +29,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a default of our own only where none is set."""
+    """The folder all executors share; a default of our own only where none is set and there is one machine alone."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         path = "/tmp/wharfline-checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -53,6 +57,24 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """The rows of docs as a struct `_doc` with a key of their own, `_row`: no name of theirs can clash, and repeated or null ids don't matter."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
+
+
+#: A key is hot when more rows than this hold it, and more than a part in this many of all rows.
+HOT_ROWS, HOT_PART = 20_000, 1000
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of rows to a table with a row for each key, where column `n` says how many rows hold the key. The hot keys
+    (`HOT_PART` at most, as each holds that part of all rows) are broadcast, so their rows stay where they are; the others are shuffled."""
+    bound = max(hot_rows, total // HOT_PART)
+    hot = F.broadcast(per_key.where(F.col(n) > bound))
+    rest = rows.join(F.broadcast(per_key.where(F.col(n) > bound).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(per_key.where(F.col(n) <= bound).hint("merge"), keys))
+
+
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
@@ -70,10 +92,10 @@ def prefix_sum(df: DataFrame, group: str, key: str, value: str, out: str, rows:
 
     Keys are random, so their leading bits cut every group into equal ranges.
     One task sorts a range and no task sees a group; the sums of the ranges
-    (2^bits rows a group at most) give each range its offset. df is read twice,
-    so it has to be a staged table.
+    (2^bits rows a group at most, one for each RANGE_ROWS rows of df) give each
+    range its offset. df is read twice, so it has to be a staged table.
     """
-    bits = min(12, max(0, math.ceil(math.log2(max(rows, 1) / 1000))))
+    bits = min(24, max(0, math.ceil(math.log2(max(rows, 1) / RANGE_ROWS))))
     df = df.withColumn("_range", F.shiftright(F.col(key), KEY_BITS - bits).cast("int"))
     sums = df.groupBy(group, "_range").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import discard, stage
+from wharfline.llm.common import HOT_ROWS, discard, join_per_key, stage
 
 
 def _checked(edges: DataFrame) -> tuple[int, int]:
@@ -13,13 +13,14 @@ def _checked(edges: DataFrame) -> tuple[int, int]:
     return row[0], row[1] or 0
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, hub: int = HOT_ROWS) -> DataFrame:
     """edges (u, v) of long nodes -> (node, component: the smallest node it reaches).
 
     Every round rewires all edges towards smaller nodes and is written to the
     shared folder, so lineage stays short and an executor lost costs one round.
     The number of rounds grows with the logarithm of the longest path. Minima are
-    aggregates with map-side combination; hubs meet in joins that Spark can split.
+    aggregates with map-side combination, and the minima of nodes with very many
+    neighbours (over `hub`, and a thousandth of all edges) are broadcast.
     """
     now = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = _checked(now)
@@ -27,12 +28,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
-        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("_m"), F.count("*").alias("_n")).select("u", F.least("u", "_m").alias("m"), "_n")
+        large = join_per_key(both, low, ["u"], "_n", 2 * seen[0], hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stage(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
         small = (
-            large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            join_per_key(large, low, ["u"], "_n", seen[0], hub).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))
         )
         after = stage(small.distinct(), "small-star")

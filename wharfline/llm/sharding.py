@@ -7,14 +7,16 @@ holds most of the group is its home, and members elsewhere want to move there.
 How many want to go from each shard to each other is a table of shards x shards
 numbers. From it the driver sets quotas: an inflow beyond the outflow has to be
 paid for by documents without links that leave the full shard for those that lost
-rows. So each round keeps every shard's count, and moves only ever mend cut edges.
+rows. So each round keeps every shard's count, and moves only ever mend cut edges. Rounds end
+when no wish is granted; `cut_share` measures what stays cut.
 
 A group of more than a quarter of a shard is cut into parts of that size by its
 members' keys, as no shard could hold it with the rest.
 
 Defined results: null texts count as empty, and null ids as the empty text for the
-key; repeated rows are documents of their own; with fewer rows than shards some
-shards are empty; an empty table gives an empty result.
+key; repeated rows are documents of their own; of equal keys the smaller id and crc come
+first; very long texts are hashed whole; with fewer rows than shards some shards are
+empty; an empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import discard, documents, prefix_sum, random_key, stage
+from wharfline.llm.common import discard, documents, join_per_key, prefix_sum, random_key, stage
 
 SHARDS = 40
-ROUNDS = 4
+#: Rounds go on until no wish is granted any more; a safeguard against a fault.
+ROUNDS = 50
 #: Bytes that a row costs besides its text.
 OVERHEAD = 16
 
@@ -70,10 +73,10 @@ def propagate(rows: DataFrame, shards: int, n: int, rounds: int = ROUNDS) -> Dat
     spark = rows.sparkSession
     for _ in range(rounds):
         held = rows.where(F.col("unit").isNotNull()).groupBy("unit", "shard").agg(F.count("*").alias("_n"))
-        home = held.groupBy("unit").agg(F.max_by("shard", F.struct("_n", F.xxhash64("unit", "shard"))).alias("home"))
+        home = held.groupBy("unit").agg(F.max_by("shard", F.struct("_n", F.xxhash64("unit", "shard"))).alias("home"), F.sum("_n").alias("_rows"))
         single, linked = F.col("unit").isNull(), F.col("unit").isNotNull()
         wanting = (
-            rows.where(linked).join(home.hint("merge"), "unit")
+            join_per_key(rows.where(linked), home, ["unit"], "_rows", n)
             .withColumn("_class", F.when(F.col("home") != F.col("shard"), F.col("shard") * shards + F.col("home")))
             .select(*rows.columns, "_class")
             .unionByName(rows.where(single).withColumn("_class", F.lit(shards * shards) + F.col("shard")))
@@ -120,11 +123,11 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     n = base.count()
     part = max(1, n // shards // 4)
-    linked = base.groupBy("g").agg(F.count("*").alias("_members")).where("_members > 1")
+    sizes = stage(base.groupBy("g").agg(F.count("*").alias("_members")), "shard-groups")
     first = prefix_sum(base, "_all", "key", "_one", "_at", n, ties=("id", "crc"))
-    unit = F.when(F.col("_members").isNotNull(), F.xxhash64("g", F.pmod(F.col("key"), F.ceil(F.col("_members") / part).cast("long"))))
+    unit = F.when(F.col("_members") > 1, F.xxhash64("g", F.pmod(F.col("key"), F.ceil(F.col("_members") / part).cast("long"))))
     rows = stage(
-        first.join(linked.hint("merge"), "g", "left").select("id", "size", "crc", "key", unit.alias("unit"), (F.col("_at") % shards).cast("int").alias("shard")),
+        join_per_key(first, sizes, ["g"], "_members", n).select("id", "size", "crc", "key", unit.alias("unit"), (F.col("_at") % shards).cast("int").alias("shard")),
         "shard-start",
     )
     discard(base)
@@ -134,6 +137,13 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+def cut_share(sharded: DataFrame) -> DataFrame:
+    """One row: groups of equal texts (by crc and size) of two rows or more, those in one shard, and the share of their members outside the group's main shard."""
+    held = sharded.groupBy("crc", "size", "shard").agg(F.count("*").alias("n"))
+    groups = held.groupBy("crc", "size").agg(F.sum("n").alias("rows"), F.max("n").alias("main"), F.count("*").alias("parts")).where("rows > 1")
+    return groups.agg(F.count("*").alias("groups"), F.count_if(F.col("parts") == 1).alias("whole"), F.coalesce(F.try_divide(F.sum(F.col("rows") - F.col("main")), F.sum("rows")), F.lit(0.0)).alias("cut_share"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(documents(spark, sf_dir)).select(
         "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

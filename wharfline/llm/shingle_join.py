@@ -6,8 +6,9 @@ whatever the order. Rare shingles come first, so few sets meet. How rare a shing
 is read from counts of 2^20 hash ranges: a fixed size to broadcast, and since it only
 settles the order, its errors cost time and no pair.
 
-A set whose shingles are nearly all frequent still meets many others; the joins on
-shingles are sort-merge joins, which Spark splits where one shingle is hot.
+A set whose shingles are nearly all frequent still meets many others. Hot shingles are
+joined to their least row by a broadcast; the join of what isn't linked yet is a sort-merge
+join, which Spark splits where one shingle is hot.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import stage
+from wharfline.llm.common import join_per_key, stage
 
 COUNT_BITS = 20
 #: Shingles that a task puts in order at a time.
@@ -56,9 +57,9 @@ def shared_prefixes(sets: DataFrame) -> DataFrame:
     table[ranges["range"].to_numpy(np.int64)] = ranges["c"]
     counts = sets.sparkSession.sparkContext.broadcast(table)
     held = stage(sets.select("row", "n", "set").mapInArrow(partial(_prefixes, counts=counts), "shingle long, row long, n int, place int"), "prefixes")
-    least = held.groupBy("shingle").agg(F.min(F.struct("row", "n")).alias("_l"), F.max("row").alias("_last")).where("_l.row < _last")
-    least = least.select("shingle", F.col("_l.row").alias("least"), F.col("_l.n").alias("least_n"))
-    return stage(held.join(least.hint("merge"), "shingle"), "shared-prefixes")
+    least = held.groupBy("shingle").agg(F.min(F.struct("row", "n")).alias("_l"), F.count("*").alias("_c")).where("_c > 1")
+    least = stage(least.select("shingle", F.col("_l.row").alias("least"), F.col("_l.n").alias("least_n"), "_c"), "least-rows")
+    return stage(join_per_key(held, least, ["shingle"], "_c", held.count()).drop("_c"), "shared-prefixes")
 
 
 def near_in_size(a: Column, b: Column) -> Column:

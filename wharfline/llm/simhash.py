@@ -16,7 +16,9 @@ no bucket is capped and no pair is lost.
 Defined results: null and wordless texts have fingerprint zero and link like any
 other; fewer words than a shingle make one shingle; equal ids or rows repeat in
 the result as often as in the input; null ids stay out of the choice of the
-component's name unless all are null; an empty table gives an empty result.
+component's name unless all are null; very long texts are hashed whole, a slice of
+shingles at a time; an empty table gives an empty result. Other columns play no part,
+whatever their names.
 
 The pipeline's stage links texts by the exact Jaccard similarity of their five-word
 shingles instead, 0.8 or more (`similar_rows`): fingerprints give candidates within
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StructField, StructType
 
-from wharfline.llm.common import chunks, documents, stage
+from wharfline.llm.common import chunks, documents, join_per_key, stage, wrapped
 from wharfline.llm.components import connected_components
 from wharfline.llm.shingle_join import crossing_pairs, shared_prefixes, similar, star_pairs
 
@@ -104,14 +106,14 @@ def covering_masks(radius: int = RADIUS, seed: int = 42) -> list[int]:
 
 
 def linked_pairs(reps: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> DataFrame:
-    """reps (fp, rep), fp distinct -> (u, v): pairs of reps that hold together every set linked within the radius."""
+    """reps (fp, rep), fp distinct, staged -> (u, v): pairs of reps that hold together every set linked within the radius."""
     if radius != 2:
         raise ValueError("the neighbour form for large buckets is written for radius 2")
     keyed = reps.select(
         "fp", "rep", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(covering_masks(radius))])).alias("_b")
     ).select("_b.t", "_b.key", "fp", "rep")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stage(keyed.join(sizes.hint("merge"), ["t", "key"]), "simhash-buckets")
+    sizes = stage(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
+    shared = stage(join_per_key(keyed, sizes, ["t", "key"], "n", reps.count()), "simhash-buckets")
     few = shared.where(F.col("n") <= pairwise)
     pairs = (
         few.alias("a")
@@ -182,8 +184,9 @@ def similar_rows(rows: DataFrame, text_col: str = "text", shingle: int = STAGE_S
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each group of similar texts the row with the least id; null ids come last, and rows are told apart by a key of their own."""
-    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    named = rows.select("_row", F.col(id_col).alias("_id")).join(similar_rows(rows, text_col).hint("merge"), F.col("_row") == F.col("node"), "left").select("_row", "_id", F.coalesce("component", "_row").alias("_component"))
+    rows = stage(wrapped(docs), "near-rows")
+    texts = rows.select("_row", F.col(f"_doc.`{text_col}`").alias("text"))
+    named = rows.select("_row", F.col(f"_doc.`{id_col}`").alias("_id")).join(similar_rows(texts).hint("merge"), F.col("_row") == F.col("node"), "left").select("_row", "_id", F.coalesce("component", "_row").alias("_component"))
     first = F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_row")).alias("_first")
     kept = named.groupBy("_component").agg(first).select(F.col("_first._row").alias("_row"))
-    return rows.join(kept.hint("merge"), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(kept.hint("merge"), "_row", "left_semi").select("_doc.*")
