@@ -35,8 +35,7 @@ def test_stages(spark, whole):
     scores = {r.doc_id: r.score for r in quality_classifier.quality_scores(docs, labels(spark, SF)).collect()}
     assert ids(good) == sorted(k for k, s in scores.items() if s >= 0.5)
     assert ids(exact) == sorted(r.doc_id for r in exact_dedup.mark_duplicates(good).where("kept").collect())
-    classes = simhash.near_duplicates(exact).collect()
-    assert ids(near) == sorted(r.doc_id for r in classes if r.doc_id == r.component)
+    assert ids(near) == brute_kept([(r.doc_id, r.text) for r in exact.select("doc_id", "text").collect()])
     taken = mixing.mix(near).collect()
     assert ids(mixed) == sorted(r.doc_id for r in taken if r.size for _ in range((2 * r.taken + r.size) // (2 * r.size)))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path(bpe.RANKS)), special_tokens={})
@@ -100,3 +99,18 @@ def test_near_stage_tells_rows_apart_where_ids_are_null_or_repeat(spark):
     kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(kept) == 4
     assert sorted((r.doc_id or 0, r.text[:2]) for r in kept) == [(0, "al"), (0, "on"), (7, "o0"), (7, "w0")]
+
+
+def test_stages_carry_columns_whose_names_clash(spark):
+    names = ["_id", "_row", "_copy", "_copies", "_kept", "_good", "_doc", "key", "id", "fp", "component", "score", "y", "fold", "size", "taken"]
+    base = " ".join(f"w{k}" for k in range(60))
+    texts = [base, base + " end", None, "", base, " ".join(f"z{k}" for k in range(30_000)), "short text"]
+    rows = [(k if k != 4 else None, t, "en", "s0", 0, *([k] * len(names))) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        after = step(spark, docs, SF)
+        assert after.columns == docs.columns
+        assert all(len({r[n] for n in names}) == 1 for r in after.collect())
+        if step is not corpus_pipeline.quality:
+            docs = after
+    assert corpus_pipeline.encoding(spark, docs, SF).count() == docs.count() > 0

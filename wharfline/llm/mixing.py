@@ -14,8 +14,9 @@ from running sums, so no loop is needed.
 
 Defined results: a null text has size 0, and a document without words is never
 taken; a null source is a source of its own, the last; a null id counts as the
-empty text for the key; repeated rows are taken apart; an empty table gives an
-empty result, and sources without words have target 0.
+empty text for the key; repeated rows are taken apart; of equal keys the smaller id
+and size come first; very long texts are counted whole; an empty table gives an empty
+result, and sources without words have target 0. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wharfline.llm.common import WORD, documents, prefix_sum, random_key, stage
+from wharfline.llm.common import WORD, documents, prefix_sum, random_key, stage, wrapped
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -92,10 +93,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken: the part of the boundary document counts as a copy from half its size on."""
     # rows are joined by a key of their own: where ids repeat, each row has its own count
-    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    taken = mix(rows, carry=("_row",)).where("taken > 0").select("_row", F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int").alias("_copies")).where("_copies > 0")
+    rows = stage(wrapped(docs), "mix-rows")
+    parts = rows.select("_row", *[F.col(f"_doc.{c}").alias(c) for c in ("doc_id", "text", "source")])
+    taken = mix(parts, carry=("_row",)).where("taken > 0").select("_row", F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int").alias("_copies")).where("_copies > 0")
     joined = rows.join(taken.hint("merge"), "_row")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    return joined.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_doc.*")
 
 
 OP8_SQL = r"""

@@ -12,8 +12,9 @@ language and source are never inputs.
 
 Defined results: a null text counts as empty and is scored; a null id gets a score
 and counts as the empty text for the fold; labelled rows without a document, null
-labels and repeated labels of one id are: ignored, ignored, each used; without any
-label the score is 0.5; an empty table gives an empty result.
+labels and repeated labels of one id are: ignored, ignored, each used; repeated rows get
+equal scores; very long texts are read whole; without any label the score is 0.5; an empty
+table gives an empty result. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from wharfline.llm.common import documents, fold, labels, stage
+from wharfline.llm.common import documents, fold, labels, stage, wrapped
 from wharfline.llm.text_stats import RATIOS, ratio_matrix, stats_of
 
 FEATURES = 256
@@ -96,9 +97,16 @@ def quality_scores(
     features: int = FEATURES, ridge: float = RIDGE, seed: int = SEED, bins: int = BINS,
 ) -> DataFrame:
     """id, held_out, score of every row; marks has id_col and label_col."""
-    stats = stage(stats_of(docs, id_col, text_col), "quality-stats").withColumn("fold", fold("id", FOLDS))
+    stats = stage(stats_of(docs, id_col, text_col), "quality-stats")
     known = marks.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("y")).where("y is not null")
-    train = stage(stats.join(known.hint("merge"), F.col("id") == F.col("_id")).where(F.col("fold") != HELD_OUT).select("fold", "y", *RATIOS), "quality-train")
+    train = stats.join(known.hint("merge"), F.col("id") == F.col("_id")).select(fold("id", FOLDS).alias("fold"), "y", *RATIOS)
+    scored = score_stats(stats, train, features, ridge, seed, bins)
+    return scored.select(F.col("id").alias(id_col), (fold("id", FOLDS) == HELD_OUT).alias("held_out"), "score")
+
+
+def score_stats(stats: DataFrame, train: DataFrame, features: int = FEATURES, ridge: float = RIDGE, seed: int = SEED, bins: int = BINS) -> DataFrame:
+    """id, score of the statistics (id, RATIOS), learnt from (fold, y, RATIOS) outside the held-out fold."""
+    train = stage(train.where(F.col("fold") != HELD_OUT), "quality-train")
     kind = stats.schema["id"].dataType
     moments = train.agg(*[F.avg(c).alias(f"m_{c}") for c in RATIOS], *[F.stddev_pop(c).alias(f"d_{c}") for c in RATIOS]).first()
     mean, deviation = (np.array([moments[f"{k}_{c}"] or 0.0 for c in RATIOS]) for k in "md")
@@ -122,7 +130,7 @@ def quality_scores(
     steps = isotonic([(r["x"], r["y"], r["n"]) for r in counted.orderBy("bin").collect()])  # bins + 1 rows at most
     schema = StructType([StructField("id", kind), StructField("raw", DoubleType()), StructField("score", DoubleType())])
     out = stats.select("id", *RATIOS).mapInArrow(partial(scored, steps=steps, id_type=to_arrow_type(kind)), schema)
-    return out.select(F.col("id").alias(id_col), (fold("id", FOLDS) == HELD_OUT).alias("held_out"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("score"))
+    return out.select("id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("score"))
 
 
 def _labelled(scored: partial):  # noqa: ANN202
@@ -138,7 +146,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), labels(spark, sf_dir)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def keep_good(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that the classifier doesn't reject. An id that repeats goes by its best row."""
-    good = quality_scores(docs, marks, id_col).where("score >= 0.5").select(F.col(id_col).alias("_good")).distinct()
-    return docs.join(good.hint("merge"), F.col(id_col).eqNullSafe(F.col("_good")), "left_semi")
+def keep_good(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of docs that the classifier doesn't reject, each judged by its own text where ids repeat or are null."""
+    rows = stage(wrapped(docs), "quality-rows")
+    stats = stage(stats_of(rows.select("_row", F.col(f"_doc.`{text_col}`").alias("_text")), "_row", "_text"), "quality-stats")
+    known = marks.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("y")).where("y is not null")
+    named = rows.select("_row", F.col(f"_doc.`{id_col}`").alias("_id")).join(known.hint("merge"), "_id").select("_row", fold("_id", FOLDS).alias("fold"), "y")
+    train = stats.join(named.hint("merge"), F.col("id") == F.col("_row")).select("fold", "y", *RATIOS)
+    good = score_stats(stats, train).where("score >= 0.5").select(F.col("id").alias("_row"))
+    return rows.join(good.hint("merge"), "_row", "left_semi").select("_doc.*")
