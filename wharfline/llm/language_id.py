@@ -8,12 +8,15 @@ its sides; a small lead over the second codeword flags the text as ambiguous.
 
 Gram counts are learnt from labelled texts outside the held-out fold, up to
 `per_language` whole texts for each language, those with the lowest random keys (a
-bounded sample; `max_languages` bounds the model, and more languages are an error).
+bounded sample). There is no bound on the number of languages; the model has a codeword
+for each, and sums for 2^GRAM_BITS grams and each bit (bits grow with the logarithm).
 
 Defined results: a null text, or one without a letter, is `und` with score 0; a
-null or empty lang is not learnt; with no language learnt all is `und`, with one all
-texts with letters are that language; repeated rows get equal results; an empty
-table gives an empty result.
+null lang is not learnt (an empty one is a language like others); with no language
+learnt all is `und`, with one all texts with letters are that language; of equal losses
+the first language in order wins; repeated rows get equal results; very long texts are
+read whole, a slice at a time; an empty table gives an empty result. Other columns play
+no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from wharfline.llm.common import KEY_BITS, chunks, documents, fold, random_key
+from wharfline.llm.common import KEY_BITS, chunks, documents, fold, random_key, stage
 
 PER_LANGUAGE = 10_000
-MAX_LANGUAGES = 512
 GRAM_BITS = 14
 FOLDS = 3
 HELD_OUT = 1
@@ -51,9 +53,11 @@ def codewords(languages: int, seed: int = 42) -> np.ndarray:
         return np.array([[1 if s >> k & 1 else -1 for s in splits] for k in range(languages)], float)
     random = np.random.default_rng(seed)
     length, best, far = 16 + 4 * int(np.ceil(np.log2(languages))), None, -1
-    for _ in range(50):
+    for _ in range(50 if languages <= 1024 else 1):
         code = random.choice([-1.0, 1.0], (languages, length))
         code[:, np.abs(code.sum(0)) == languages] *= np.where(np.arange(languages) % 2, 1, -1)[:, None]
+        if languages > 1024:  # so many that a table of all distances is too large; random words are far apart at this length
+            return code
         apart = (length - code @ code.T) / 2 + length * np.eye(languages)
         if apart.min() > far:
             best, far = code, apart.min()
@@ -86,15 +90,15 @@ def _count(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
 
 
 class Decoder:
-    def __init__(self, langs: list[str], counts: np.ndarray, bits: int) -> None:
-        """counts: a row of gram counts for each language."""
-        self.langs, self.bits, self.code = langs, bits, codewords(len(langs))
+    def __init__(self, langs: list[str], code: np.ndarray, ones: np.ndarray, every: np.ndarray, bits: int) -> None:
+        """code: a row for each language; ones: for each gram and bit the sum of the gram's shares in the languages with 1;
+        every: for each gram the sum in all languages."""
+        self.langs, self.bits, self.code = langs, bits, code
         if len(langs) > 1:
-            p = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)
-            sides = [(self.code == s).astype(float) for s in (1, -1)]
-            one, other = ((s.T @ p) / s.sum(0)[:, None] for s in sides)
-            self.odds = np.log(one / other).T.astype(np.float32)
-            apart = ((p @ self.odds) * self.code).mean(0)  # each classifier's mean margin
+            with_bit = (code > 0).sum(0)
+            others = every[:, None] - ones
+            self.odds = np.log((ones / with_bit) / (others / (len(langs) - with_bit))).astype(np.float32)
+            apart = ((ones - others) * self.odds).sum(0) / len(langs)  # each classifier's mean margin
             self.weight = apart / apart.mean()
         self.gain = 4.0
 
@@ -120,21 +124,28 @@ def _decode(batches: Iterator[pa.RecordBatch], decoder: Decoder, id_type: pa.Dat
         yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(lang), pa.array(score), pa.array(ambiguous)], ["id", "lang_pred", "score", "ambiguous"])
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, bits: int = GRAM_BITS, max_languages: int = MAX_LANGUAGES) -> Decoder:
-    """Learns from all given rows."""
-    known = docs.where(F.col(text_col).isNotNull() & (F.col(lang_col) != ""))
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(max_languages + 1).collect()}
-    if len(sizes) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    if not sizes:
-        return Decoder([], np.zeros((0, 1 << bits)), bits)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, per_language / n) * (1 << KEY_BITS)))])
-    some = known.where(random_key(F.col(id_col), seed="language") <= share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = some.mapInArrow(partial(_count, bits=bits), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # languages * 2^bits rows at most
-    langs = sorted(rows["lang"].unique())
-    counts = np.zeros((len(langs), 1 << bits))
-    counts[np.searchsorted(langs, rows["lang"]), rows["gram"]] = rows["n"]
-    return Decoder(langs, counts, bits)
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, bits: int = GRAM_BITS) -> Decoder:
+    """Learns from all given rows. Gram counts stay in Spark; what comes back is a codeword for each language and sums for each gram and bit."""
+    spark = docs.sparkSession
+    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), random_key(F.col(id_col), seed="language").alias("key"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    share = F.least(F.lit(1.0), per_language / F.col("rows")) * (1 << KEY_BITS)
+    some = known.join(F.broadcast(sizes), "lang").where(F.col("key") <= share.cast("long")).select("lang", "text")
+    counts = stage(some.mapInArrow(partial(_count, bits=bits), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
+    totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}  # a row for each language
+    langs = sorted(totals)
+    code = codewords(len(langs))
+    whole = [totals[x] + 0.5 * (1 << bits) for x in langs]
+    table = spark.createDataFrame([(x, w, (c > 0).tolist()) for x, w, c in zip(langs, whole, code, strict=True)], "lang string, whole double, ones array<boolean>")
+    shares = counts.join(F.broadcast(table), "lang").select("gram", (F.col("n") / F.col("whole")).alias("p"), "ones")
+    sums = shares.groupBy("gram").agg(F.sum("p").alias("every"), *[F.sum(F.when(F.col("ones")[k], F.col("p"))).alias(f"b{k}") for k in range(code.shape[1])]).toPandas()  # 2^bits rows
+    smooth = 0.5 / np.array(whole)  # what a gram that a language never shows has there
+    ones, every = np.tile((code > 0).T @ smooth, (1 << bits, 1)), np.full(1 << bits, smooth.sum())
+    at = sums["gram"].to_numpy(np.int64)
+    every[at] += sums["every"].to_numpy(np.float64)
+    for k in range(code.shape[1]):
+        ones[at, k] += sums[f"b{k}"].fillna(0).to_numpy(np.float64)
+    return Decoder(langs, code, ones, every, bits)
 
 
 def predict(docs: DataFrame, decoder: Decoder, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
