@@ -17,7 +17,9 @@ of a block. Frames are rows of a Parquet table that is sorted by document id; Sp
 writes and reads it, so it works in any store.
 
 Defined results: a null text is empty and holds the end id alone; a null id comes
-first; rows with one id stand in any order; a table without rows gives no frames.
+first; rows with one id stand in any order; a very long text has a frame of its own; a
+table without rows gives no frames. Ids have to be whole numbers. Other columns play no
+part, whatever their names.
 A damaged or cut block raises an error that names it.
 """
 
@@ -286,12 +288,19 @@ def read_frame(frame: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 @lru_cache(2)
 def _tokenizer(name: str):  # noqa: ANN202
     """A text's encoding by the tokenizers library. The tokenizer splits a text by this pattern before
-    it merges, so the library encodes each different piece once; special tokens' strings are ordinary text."""
+    it merges, so the library encodes each different piece once. A text that holds the string of an added
+    token is split there first, so it goes to the library whole."""
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
-    pieces = Pieces(lambda piece: tuple(tokenizer.encode(piece.decode(), add_special_tokens=False).ids))
-    find = regex.compile(public_tokenizers.PATTERN).findall
-    return lambda text: np.fromiter(chain.from_iterable(map(pieces.__getitem__, find(text))), np.uint16)
+    whole = lambda text: tuple(tokenizer.encode(text, add_special_tokens=False).ids)
+    pieces = Pieces(lambda piece: whole(piece.decode()))
+    find, added = regex.compile(public_tokenizers.PATTERN).findall, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def encode(text: str) -> np.ndarray:
+        if any(map(text.__contains__, added)):
+            return np.array(whole(text), np.uint16)
+        return np.fromiter(chain.from_iterable(map(pieces.__getitem__, find(text))), np.uint16)
+
+    return encode
 
 
 def _write(batches: Iterator[pa.RecordBatch], name: str, end_id: int, block: int, frame: int) -> Iterator[pa.RecordBatch]:
@@ -312,10 +321,11 @@ def _write(batches: Iterator[pa.RecordBatch], name: str, end_id: int, block: int
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for place, frame in zip(batch.column("place").to_pylist(), batch.column("frame"), strict=True):
+        for first, frame in zip(batch.column("first").to_pylist(), batch.column("frame"), strict=True):
             keys, lists = read_frame(frame.as_py())
             packed = [x.astype("<u4").tobytes() for x in lists]
-            yield pa.RecordBatch.from_arrays([pa.array([place] * len(keys), pa.int64()), pa.array(range(len(keys)), pa.int32()), pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], ["place", "pos", "id", "ids"])
+            starts = first + np.cumsum([0, *map(len, lists)])[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(packed, pa.binary())], ["id", "start", "ids"])
 
 
 def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, block: int = BLOCK, frame: int = FRAME) -> DataFrame:
@@ -332,11 +342,9 @@ def read_tokens(frames: DataFrame) -> DataFrame:
     """id, start (ids of all documents before it), ids (packed, unsigned 32 bits) of every document in the frames."""
     before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # a row for each frame of millions of ids
     starts = frames.select("place", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
-    docs = frames.select("place", "frame").mapInArrow(_read, "place long, pos int, id long, ids binary")
-    size = (F.octet_length("ids") / 4).cast("long")
-    inside = Window.partitionBy("place").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.withColumn("_inside", F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    return docs.join(starts.hint("merge"), "place").select("id", (F.col("first") + F.col("_inside")).cast("long").alias("start"), "ids")
+    starts = stage(starts, "frame-starts")
+    # the join is on frames, which are compressed; ids are decoded after it and aren't shuffled
+    return frames.join(starts.hint("merge"), "place").select("first", "frame").mapInArrow(_read, "id long, start long, ids binary")
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
