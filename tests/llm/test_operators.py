@@ -150,12 +150,20 @@ def test_bpe_matches_the_library_and_decodes(docs, empty, ranks):
 
 def test_bpe_pieces_with_a_small_state_budget(ranks):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    small, random, tokens = bpe.Transducer(ranks, max_states=50), np.random.default_rng(7), list(ranks)
+    small, random, tokens = bpe.Transducer(ranks, max_states=50, look=8), np.random.default_rng(7), list(ranks)
     for k in range(1500):
         piece = b"".join(tokens[j] for j in random.integers(0, len(tokens), random.integers(1, 5))) if k % 2 else bytes(random.choice(list(b"aabte "), random.integers(1, 40)).tolist())
         assert small.encode(piece) == tuple(library._core_bpe.encode_single_piece(piece))
 
 
+def test_bpe_long_pieces_are_given_out_on_the_way(ranks):
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pieces = bpe.Pieces(bpe.Transducer(ranks).encode)
+    for piece in ("ab" * 20_000, "é日本" * 3000, "=" * 9999):
+        assert pieces[piece] == tuple(library._core_bpe.encode_single_piece(piece.encode()))
+    assert not pieces  # long pieces aren't kept
+
+
 def test_stream_decoder_gives_whole_characters(ranks):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     vocabulary, text = bpe.Vocabulary(ranks), "né 日本語 😀😀 Ω ab"
@@ -173,7 +181,6 @@ def test_stream_decoder_gives_whole_characters(ranks):
 # 4
 def test_token_files_round_trip(docs, empty):
     library = Tokenizer.from_file(public_tokenizers.path(token_output.TOKENIZER))
-    library.encode_special_tokens = True
     got = token_output.read_tokens(token_output.write_tokens(docs, block=64, frame=3000)).collect()
     want = Counter((i, np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t, *_ in rows())
     assert Counter((r.id, bytes(r.ids)) for r in got) == want

@@ -4,19 +4,21 @@ Encoding. A sequence of tokens is the BPE encoding of its bytes exactly when eve
 two neighbours are: no merge across their border comes before the merges that
 build them. So a nondeterministic transducer guesses tokens byte by byte and checks
 each border; one guess survives. Its subset construction is done lazily, state by
-state, as texts need them: a state is the set of (output not yet given, last
-token, node of the token under way in the tree of tokens), and what all members
-agree on is given out at once. A guess lives no longer than the longest token, which bounds the
-lookahead. Pieces of text that are themselves tokens are one token, as in the
-tiktoken library. Memory is bounded: states and known pieces are dropped when
-there are too many.
+state, as texts need them: a state is the set of (last token, node of the token under
+way in the tree of tokens), kept as packed numbers. At most one token can end at a
+place, and a state's output is that token. A guess lives no longer than the longest
+token, which bounds the lookahead: tokens are final up to the last place that all
+guesses pass through, and are read backwards from there. Pieces of text that are
+themselves tokens are one token, as in the tiktoken library. Memory is bounded:
+states and known pieces are dropped when there are too many.
 
 Decoding. Tokens are byte strings that can end inside a character. A table holds,
 for each token, the state of a UTF-8 recogniser after it for each state before it;
 a stream gives out bytes up to the last complete character and keeps the rest.
 
 Defined results: a null text is empty and has no tokens; rows repeat as in the
-input; a table without rows gives none. ids are packed as little-endian unsigned
+input; a table without rows gives none; very long texts and pieces are encoded whole; other
+columns play no part, whatever their names. ids are packed as little-endian unsigned
 32-bit integers. Bytes that aren't UTF-8 are passed on unchanged at the stream's end.
 """
 
@@ -24,7 +26,8 @@ from __future__ import annotations
 
 import base64
 import gc
-from collections.abc import Iterable, Iterator, Sequence
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, partial
 from itertools import chain
 
@@ -40,14 +43,15 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from wharfline.llm.common import chunks, documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: States and pieces that a worker keeps.
-MAX_STATES = 100_000
+#: States and pieces that a worker keeps, and the longest piece of these.
+MAX_STATES = 1 << 18
 MAX_PIECES = 1 << 18
+KEPT_CHARS = 64
+#: Bytes after which a long piece gives out what is settled.
+LOOK = 1024
 #: ids that the decoder takes at a time.
 FEED = 1 << 14
 NEVER = 1 << 40
-#: Marks of arcs that were met once.
-DOOR = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -55,25 +59,32 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class State:
-    __slots__ = ("arcs", "end", "members")
+class Dropped(Exception):
+    """There are too many states."""
 
-    def __init__(self, members: tuple) -> None:
-        self.members = members
-        self.arcs: dict[int, tuple[State, tuple[int, ...]]] = {}
-        out, _, node = members[-1]
-        self.end: tuple[int, ...] = () if node else out
+
+class Arcs(dict):
+    """state | byte -> state, worked out on first use. States are numbered in steps of 256."""
+
+    def __init__(self, find: Callable[[int], int]) -> None:
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key: int) -> int:
+        self[key] = found = self.find(key)
+        return found
 
 
 class Transducer:
     """Encodes one piece at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES) -> None:
-        self.ranks, self.max_states = ranks, max_states
+    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES, look: int = LOOK) -> None:
+        self.ranks, self.max_states, self.look = ranks, max_states, look
         self.bytes = {rank: token for token, rank in ranks.items()}
-        # the tree of tokens, its root is 0: (node, byte) -> node, what token ends at a node, whether any goes on
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
+        # the tree of tokens, its root is 0: (node, byte) -> node; what token ends at a node, whether any goes on, how deep it is
         self.steps: dict[int, int] = {}
-        self.token_at, self.goes_on = [-1], [True]
+        self.token_at, self.goes_on, self.depth = [-1], [True], [0]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
@@ -82,19 +93,21 @@ class Transducer:
                 if after == len(self.token_at):
                     self.token_at.append(-1)
                     self.goes_on.append(False)
+                    self.depth.append(self.depth[node] + 1)
                 node = after
             self.token_at[node] = rank
         self.borders: dict[int, bool] = {}
         self.spines: tuple[dict, dict] = ({}, {})
-        self.met = bytearray(DOOR)
-        self.states: dict[tuple, State] = {}
-        self.start = self._state((((), -1, 0),))
-
-    def _state(self, members: tuple) -> State:
-        found = self.states.get(members)
-        if found is None:
-            found = self.states[members] = State(members)
-        return found
+        self.arcs = Arcs(self.arc)
+        self._empty()
+
+    def _empty(self) -> None:
+        """Forgets all states but the first, whose one guess stands at the root after no token."""
+        first = array("q", [0]).tobytes()
+        self.number: dict[bytes, int] = {first: 0}
+        self.members: list[bytes] = [first]
+        self.ends: list[int] = [-1]  # the token that ends where the state is, if one does
+        self.arcs.clear()
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two tokens whose merge makes this one; None if merging never makes it."""
@@ -107,7 +120,7 @@ class Transducer:
         return (parts[0], parts[1]) if len(parts) == 2 else None
 
     def _spine(self, token: bytes, side: int) -> list[tuple[bytes, int, int]] | None:
-        """The tokens that stand at this end of the token (0: left, 1: right) while it is built, each
+        """The tokens that stand at this end of the token (0: left, 1: right) while it is built, the last built first, each
         with the rank that makes it and the rank that takes it up; None if merging never makes the token."""
         known = self.spines[side]
         if token not in known:
@@ -130,97 +143,119 @@ class Transducer:
         right = self._spine(self.bytes[second], 0)
         if left is None or right is None:
             return False
-        for a, made_a, taken_a in left:
-            for b, made_b, taken_b in right:
-                if made_a <= taken_b and made_b < taken_a:
-                    rank = self.ranks.get(a + b, NEVER)
-                    if rank < taken_a and rank <= taken_b and rank != NEVER:
-                        return False
+        # both spines go back in time: only tokens that stand at the same time can merge
+        i = j = 0
+        while i < len(left) and j < len(right):
+            (a, made_a, taken_a), (b, made_b, taken_b) = left[i], right[j]
+            if made_a <= taken_b and made_b < taken_a:
+                rank = self.ranks.get(a + b, NEVER)
+                if rank < taken_a and rank <= taken_b and rank != NEVER:
+                    return False
+            if made_a > made_b or (made_a == made_b and j + 1 == len(right)):
+                i += 1
+            else:
+                j += 1
         return True
 
-    def _step(self, members: Sequence[tuple], byte: int) -> tuple[list[tuple], tuple[int, ...]]:
-        """Members after a byte, and the output they agree on. They stay in the order of where their token
-        under way begins, so equal sets are equal sequences."""
-        after, steps, borders = [], self.steps, self.borders
-        ended = None
-        for out, last, node in members:
-            node = steps.get(node << 8 | byte)
+    def _step(self, members: Iterable[int], byte: int) -> tuple[list[int], int]:
+        """Guesses after a byte, and the token that ends with it (-1: none). A guess is (token before + 1) << 32 | node. Guesses stay
+        in the order of where their token under way begins, so equal sets are equal sequences; only one token can end."""
+        after, steps, borders, ended = [], self.steps, self.borders, -1
+        for guess in members:
+            node = steps.get((guess & 0xFFFFFFFF) << 8 | byte)
             if node is None:
                 continue
+            last = guess >> 32
             if self.goes_on[node]:
-                after.append((out, last, node))
+                after.append(last << 32 | node)
             rank = self.token_at[node]
             if rank >= 0:
-                key = (last + 1) << 32 | rank
+                key = last << 32 | rank
                 apart = borders.get(key)
                 if apart is None:
                     if len(borders) > 2 * self.max_states:
                         borders.clear()
-                    apart = borders[key] = self._border(last, rank)
+                    apart = borders[key] = self._border(last - 1, rank)
                 if apart:
-                    ended = ((*out, rank), rank, 0)
-        if ended:
-            after.append(ended)
+                    ended = rank
+        if ended >= 0:
+            after.append((ended + 1) << 32)
         if not after:
             raise ValueError(f"no token for byte {byte}")
-        agreed = after[0][0]
-        for out, _, _ in after:
-            if not agreed:
-                break
-            same = 0
-            for x, y in zip(agreed, out, strict=False):
-                if x != y:
-                    break
-                same += 1
-            agreed = agreed[:same]
-        if agreed:
-            after = [(out[len(agreed) :], last, node) for out, last, node in after]
-        return after, agreed
-
-    def _arc(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        after, agreed = self._step(state.members, byte)
-        if len(self.states) > self.max_states:
-            for old in self.states.values():  # states point at each other
-                old.arcs.clear()
-            self.states.clear()
-            self.states[self.start.members] = self.start
-            self.met = bytearray(DOOR)
-        arc = state.arcs[byte] = (self._state(tuple(after)), agreed)
-        return arc
+        return after, ended
+
+    def arc(self, key: int) -> int:
+        """The state after a state and a byte (their sum is the key)."""
+        if len(self.members) > self.max_states:
+            raise Dropped
+        after, ended = self._step(memoryview(self.members[key >> 8]).cast("q"), key & 0xFF)
+        return self._numbered(array("q", after).tobytes(), ended) << 8
+
+    def _again(self, path: list[int]) -> list[int]:
+        """Drops all states but those of the path and the first, which get new numbers."""
+        kept = [(self.members[state >> 8], self.ends[state >> 8]) for state in path]
+        self._empty()
+        return [self._numbered(packed, ended) << 8 for packed, ended in kept]
+
+    def _numbered(self, packed: bytes, ended: int) -> int:
+        found = self.number.setdefault(packed, len(self.members))
+        if found == len(self.members):
+            self.members.append(packed)
+            self.ends.append(ended)
+        return found
+
+    def _tokens(self, path: list[int], at: int) -> list[int]:
+        """The tokens up to a place, found backwards: the state at each place tells what token ends there."""
+        out, ends, sizes = [], self.ends, self.sizes
+        while at:
+            token = ends[path[at - 1] >> 8]
+            out.append(token)
+            at -= sizes[token]
+        out.reverse()
+        return out
+
+    def _settled(self, state: int, path: list[int]) -> int:
+        """The last place that the tokens of all guesses of the state pass through."""
+        places = {len(path) - self.depth[guess & 0xFFFFFFFF] for guess in memoryview(self.members[state >> 8]).cast("q")}
+        while len(places) > 1:
+            last = max(places)
+            places.remove(last)
+            places.add(last - self.sizes[self.ends[path[last - 1] >> 8]])
+        return places.pop()
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        state, out, rest = self.start, [], iter(piece)
-        for byte in rest:
+        state, path, out, arcs, given = 0, [], [], self.arcs, 0
+        while True:
+            at = given + len(path)
             try:
-                state, given = state.arcs[byte]
-            except KeyError:
-                door = ((id(state) >> 4) * 257 + byte) % DOOR
-                if not self.met[door]:  # most arcs are never needed again: an arc is kept from its second use on
-                    self.met[door] = 1
-                    members, given = self._step(state.members, byte)
-                    out += given
-                    for byte in rest:
-                        members, given = self._step(members, byte)
-                        out += given
-                    return (*out, *members[-1][0]) if not members[-1][2] else tuple(out)
-                state, given = self._arc(state, byte)
-            if given:
-                out += given
-        return (*out, *state.end)
+                for byte in piece[at : at + self.look]:
+                    state = arcs[state | byte]
+                    path.append(state)
+            except Dropped:
+                *path, state = self._again([*path, state])
+                continue
+            if given + len(path) == len(piece):
+                return (*out, *self._tokens(path, len(path)))
+            done = self._settled(state, path)  # a long piece: what all guesses agree on is given out
+            out += self._tokens(path, done)
+            del path[:done]
+            given += done
 
 
 class Pieces(dict):
     """piece -> ids, worked out on first use. When half the limit is full it becomes the older half, and pieces of
-    that which are used again come over; the rest goes with the next turn."""
+    that which are used again come over; the rest goes with the next turn. Long pieces aren't kept, so bytes are bounded too."""
 
     def __init__(self, encode, limit: int = MAX_PIECES) -> None:  # noqa: ANN001
         super().__init__()
         self.encode, self.limit, self.older = encode, limit, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(piece) > KEPT_CHARS:
+            return self.encode(piece.encode())
         ids = self.older.get(piece)
         if ids is None:
             ids = self.encode(piece.encode())
