@@ -52,9 +52,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts: Broadcast) -> Iterator[
 
 def shared_prefixes(sets: DataFrame) -> DataFrame:
     """sets (row, n, set), staged -> (shingle, row, n, place, least, least_n) of the prefix shingles that two rows or more hold."""
-    ranges = sets.select(F.explode("set").alias("s")).groupBy(F.shiftrightunsigned("s", 64 - COUNT_BITS).alias("range")).agg(F.count("*").alias("c")).toPandas()  # 2^20 rows at most
+    ranges = sets.select(F.explode("set").alias("s")).groupBy(F.shiftrightunsigned("s", 64 - COUNT_BITS).alias("range")).agg(F.count("*").alias("c")).toArrow()  # 2^20 rows of 16 bytes at most
     table = np.zeros(1 << COUNT_BITS, np.int64)
-    table[ranges["range"].to_numpy(np.int64)] = ranges["c"]
+    table[ranges.column("range").to_numpy()] = ranges.column("c").to_numpy()
     counts = sets.sparkSession.sparkContext.broadcast(table)
     held = stage(sets.select("row", "n", "set").mapInArrow(partial(_prefixes, counts=counts), "shingle long, row long, n int, place int"), "prefixes")
     least = held.groupBy("shingle").agg(F.min(F.struct("row", "n")).alias("_l"), F.count("*").alias("_c")).where("_c > 1")
