@@ -109,6 +109,12 @@ class Transducer:
         self.ends: list[int] = [-1]  # the token that ends where the state is, if one does
         self.arcs.clear()
 
+    def forget(self) -> None:
+        self._empty()
+        self.borders.clear()
+        for spines in self.spines:
+            spines.clear()
+
     def _halves(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two tokens whose merge makes this one; None if merging never makes it."""
         parts, limit = [token[k : k + 1] for k in range(len(token))], self.ranks[token]
@@ -253,6 +259,10 @@ class Pieces(dict):
         super().__init__()
         self.encode, self.limit, self.older = encode, limit, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.older.clear()
+
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(piece) > KEPT_CHARS:
             return self.encode(piece.encode())
@@ -269,7 +279,12 @@ class Pieces(dict):
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.find = regex.compile(pattern).findall
-        self.pieces = Pieces(Transducer(ranks).encode)
+        self.transducer = Transducer(ranks)
+        self.pieces = Pieces(self.transducer.encode)
+
+    def forget(self) -> None:
+        self.transducer.forget()
+        self.pieces.forget()
 
     def __call__(self, text: str) -> np.ndarray:
         return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))), "<u4")
@@ -356,6 +371,7 @@ def _encode(batches: Iterator[pa.RecordBatch], name: str, pattern: str, id_type:
     gc.set_threshold(200_000, 50, 50)  # the encoder's many small objects live long and hold no garbage
     for ids, texts in chunks(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array([encoder(x).tobytes() for x in texts], pa.binary())], ["id", "ids"])
+    encoder.forget()  # workers outlive their tasks: what this one's texts needed goes, the tree of tokens stays
 
 
 def _decode(batches: Iterable[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
@@ -379,11 +395,23 @@ def decode_ids(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
     return encoded.select("id", "ids").mapInArrow(partial(_decode, name=ranks), schema)
 
 
+def _round_trip(batches: Iterator[pa.RecordBatch], name: str, pattern: str, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    return _decode(_encode(batches, name, pattern, id_type), name)
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """id, ids, decoded of every row, encoded and decoded by one worker."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType
+    schema = StructType([StructField("id", kind), StructField("ids", BinaryType()), StructField("decoded", BinaryType())])
+    return rows.mapInArrow(partial(_round_trip, name=ranks, pattern=pattern, id_type=to_arrow_type(kind)), schema)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(documents(spark, sf_dir))
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
-    return decode_ids(encode_texts(docs)).select(
+    return round_trip(docs).select(
         F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
