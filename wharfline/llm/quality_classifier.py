@@ -23,14 +23,15 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from wharfline.llm.common import documents, fold, labels, stage, wrapped
-from wharfline.llm.text_stats import RATIOS, ratio_matrix, stats_of
+from wharfline.llm.common import discard, documents, fold, labels, stage
+from wharfline.llm.text_stats import RATIOS, ratio_matrix, stats_of, text_stats
 
 FEATURES = 256
 RIDGE = 1.0
@@ -100,14 +101,16 @@ def quality_scores(
     stats = stage(stats_of(docs, id_col, text_col), "quality-stats")
     known = marks.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("y")).where("y is not null")
     train = stats.join(known.hint("merge"), F.col("id") == F.col("_id")).select(fold("id", FOLDS).alias("fold"), "y", *RATIOS)
-    scored = score_stats(stats, train, features, ridge, seed, bins)
-    return scored.select(F.col("id").alias(id_col), (fold("id", FOLDS) == HELD_OUT).alias("held_out"), "score")
+    kernel, weights, steps = learn(train, features, ridge, seed, bins)
+    kind = stats.schema["id"].dataType
+    schema = StructType([StructField("id", kind), StructField("raw", DoubleType()), StructField("score", DoubleType())])
+    out = stats.select("id", *RATIOS).mapInArrow(partial(_score, kernel=kernel, weights=weights, steps=steps, id_type=to_arrow_type(kind)), schema)
+    return out.select(F.col("id").alias(id_col), (fold("id", FOLDS) == HELD_OUT).alias("held_out"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("score"))
 
 
-def score_stats(stats: DataFrame, train: DataFrame, features: int = FEATURES, ridge: float = RIDGE, seed: int = SEED, bins: int = BINS) -> DataFrame:
-    """id, score of the statistics (id, RATIOS), learnt from (fold, y, RATIOS) outside the held-out fold."""
+def learn(train: DataFrame, features: int = FEATURES, ridge: float = RIDGE, seed: int = SEED, bins: int = BINS) -> tuple[Kernel, np.ndarray, tuple]:
+    """(kernel, ridge weights, calibration points) from rows (fold, y, RATIOS) outside the held-out fold."""
     train = stage(train.where(F.col("fold") != HELD_OUT), "quality-train")
-    kind = stats.schema["id"].dataType
     moments = train.agg(*[F.avg(c).alias(f"m_{c}") for c in RATIOS], *[F.stddev_pop(c).alias(f"d_{c}") for c in RATIOS]).first()
     mean, deviation = (np.array([moments[f"{k}_{c}"] or 0.0 for c in RATIOS]) for k in "md")
     kernel = Kernel(mean, deviation, features, seed)
@@ -121,16 +124,14 @@ def score_stats(stats: DataFrame, train: DataFrame, features: int = FEATURES, ri
         system[r["row"]] = r["sums"]
     weights = np.linalg.solve(system[:, :size] + ridge * np.eye(size), system[:, size])
 
-    scored = partial(_score, kernel=kernel, weights=weights)
     calibration = train.where(F.col("fold") != 0).select(F.lit(0).alias("id"), "y", *RATIOS)
-    raw = calibration.mapInArrow(_labelled(scored), "raw double, y double")
+    raw = calibration.mapInArrow(_labelled(partial(_score, kernel=kernel, weights=weights)), "raw double, y double")
     counted = raw.groupBy(F.greatest(F.lit(0), F.least(F.lit(bins), F.floor((F.col("raw") + 1) / 3 * bins))).alias("bin")).agg(
         F.avg("raw").alias("x"), F.avg("y").alias("y"), F.count("*").cast("double").alias("n")
     )
     steps = isotonic([(r["x"], r["y"], r["n"]) for r in counted.orderBy("bin").collect()])  # bins + 1 rows at most
-    schema = StructType([StructField("id", kind), StructField("raw", DoubleType()), StructField("score", DoubleType())])
-    out = stats.select("id", *RATIOS).mapInArrow(partial(scored, steps=steps, id_type=to_arrow_type(kind)), schema)
-    return out.select("id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("score"))
+    discard(train)
+    return kernel, weights, steps
 
 
 def _labelled(scored: partial):  # noqa: ANN202
@@ -147,11 +148,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, each judged by its own text where ids repeat or are null."""
-    rows = stage(wrapped(docs), "quality-rows")
-    stats = stage(stats_of(rows.select("_row", F.col(f"_doc.`{text_col}`").alias("_text")), "_row", "_text"), "quality-stats")
+    """The rows of docs that the classifier doesn't reject, each judged by its own text where ids repeat or are null. Rows stay
+    where they are: the statistics of labelled texts alone are joined to the labels, and the verdict is a column of each row."""
+    stats = stage(stats_of(docs, id_col, text_col), "quality-stats")
     known = marks.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("y")).where("y is not null")
-    named = rows.select("_row", F.col(f"_doc.`{id_col}`").alias("_id")).join(known.hint("merge"), "_id").select("_row", fold("_id", FOLDS).alias("fold"), "y")
-    train = stats.join(named.hint("merge"), F.col("id") == F.col("_row")).select("fold", "y", *RATIOS)
-    good = score_stats(stats, train).where("score >= 0.5").select(F.col("id").alias("_row"))
-    return rows.join(good.hint("merge"), "_row", "left_semi").select("_doc.*")
+    kernel, weights, steps = learn(stats.join(known.hint("merge"), F.col("id") == F.col("_id")).select(fold("id", FOLDS).alias("fold"), "y", *RATIOS))
+    discard(stats)
+
+    def good(texts: pd.Series) -> pd.Series:
+        ratios = np.array([text_stats(t or "")[1] for t in texts])
+        raw = kernel(ratios) @ weights
+        return pd.Series(np.interp(raw, *steps) >= 0.5 if len(steps[0]) else np.ones(len(raw), bool))
+
+    return docs.where(F.pandas_udf(good, "boolean")(F.col(text_col)))

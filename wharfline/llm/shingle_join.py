@@ -3,7 +3,7 @@
 Shingles stand in one order for all sets. Of two sets that similar, the first
 n - ceil(0.8 n) + 1 shingles of each hold a shingle of the other's: no pair is missed,
 whatever the order. Rare shingles come first, so few sets meet. How rare a shingle is
-is read from counts of 2^20 hash ranges: a fixed size to broadcast, and since it only
+is read from counts of 2^17 hash ranges: a fixed size to broadcast, and since it only
 settles the order, its errors cost time and no pair.
 
 A set whose shingles are nearly all frequent still meets many others. Hot shingles are
@@ -22,9 +22,9 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import join_per_key, stage
+from wharfline.llm.common import discard, join_per_key, stage
 
-COUNT_BITS = 20
+COUNT_BITS = 17
 #: Shingles that a task puts in order at a time.
 SLICE = 1 << 20
 
@@ -52,14 +52,18 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts: Broadcast) -> Iterator[
 
 def shared_prefixes(sets: DataFrame) -> DataFrame:
     """sets (row, n, set), staged -> (shingle, row, n, place, least, least_n) of the prefix shingles that two rows or more hold."""
-    ranges = sets.select(F.explode("set").alias("s")).groupBy(F.shiftrightunsigned("s", 64 - COUNT_BITS).alias("range")).agg(F.count("*").alias("c")).toArrow()  # 2^20 rows of 16 bytes at most
+    ranges = sets.select(F.explode("set").alias("s")).groupBy(F.shiftrightunsigned("s", 64 - COUNT_BITS).alias("range")).agg(F.count("*").alias("c")).toArrow()  # 2^17 rows of 16 bytes at most
     table = np.zeros(1 << COUNT_BITS, np.int64)
     table[ranges.column("range").to_numpy()] = ranges.column("c").to_numpy()
     counts = sets.sparkSession.sparkContext.broadcast(table)
     held = stage(sets.select("row", "n", "set").mapInArrow(partial(_prefixes, counts=counts), "shingle long, row long, n int, place int"), "prefixes")
     least = held.groupBy("shingle").agg(F.min(F.struct("row", "n")).alias("_l"), F.count("*").alias("_c")).where("_c > 1")
     least = stage(least.select("shingle", F.col("_l.row").alias("least"), F.col("_l.n").alias("least_n"), "_c"), "least-rows")
-    return stage(join_per_key(held, least, ["shingle"], "_c", held.count()).drop("_c"), "shared-prefixes")
+    shared = stage(join_per_key(held, least, ["shingle"], "_c", held.count()).drop("_c"), "shared-prefixes")
+    counts.destroy()
+    discard(held)
+    discard(least)
+    return shared
 
 
 def near_in_size(a: Column, b: Column) -> Column:
@@ -77,6 +81,7 @@ def crossing_pairs(shared: DataFrame, linked: DataFrame, tried: DataFrame) -> Da
     named = stage(named, "named-prefixes")
     mixed = named.groupBy("shingle").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("shingle")
     mixed = stage(named.join(mixed.hint("merge"), "shingle"), "mixed-prefixes")
+    discard(named)
     a, b = mixed.alias("a"), mixed.alias("b")
     # at the first shingle two sets share, all they can have in common comes from there on
     common = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))

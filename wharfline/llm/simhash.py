@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StructField, StructType
 
-from wharfline.llm.common import chunks, documents, join_per_key, stage, wrapped
+from wharfline.llm.common import chunks, discard, documents, join_per_key, stage, wrapped
 from wharfline.llm.components import connected_components
 from wharfline.llm.shingle_join import crossing_pairs, shared_prefixes, similar, star_pairs
 
@@ -178,8 +178,16 @@ def similar_rows(rows: DataFrame, text_col: str = "text", shingle: int = STAGE_S
     shared = shared_prefixes(sets)
     first = stage(equal.unionByName(within).unionByName(star_pairs(shared)).distinct(), "first-pairs")
     links = stage(similar(first, sets), "first-links")
-    rest = crossing_pairs(shared, connected_components(links), first)
-    return connected_components(links.unionByName(stage(similar(rest, sets), "rest-links")))
+    rest = stage(crossing_pairs(shared, connected_components(links), first), "rest-pairs")
+    for used in (shared, first, reps):
+        discard(used)
+    more = stage(similar(rest, sets), "rest-links")
+    discard(rest)
+    discard(sets)
+    found = connected_components(links.unionByName(more))
+    discard(links)
+    discard(more)
+    return found
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
