@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wharfline.operators.facts import HEADER, LISTS, column_of, list_type
 from wharfline.operators.rules import OK, REREAD, RULES, UNCHECKABLE, VIOLATED, first, results
@@ -69,9 +68,8 @@ def evidence(cases: DataFrame, catalog: Catalog) -> DataFrame:
     return rows.select("akte_id", "e.*").withColumn("fassung", F.lit(catalog.evidence_version))
 
 
-def all_findings(cases: DataFrame, catalog: Catalog) -> DataFrame:
-    """Findings of rules in force and of the matrix as one long table, from one pass over the cases:
-    akte_id, kennung, art, status, haerte, fassung."""
+def _all(cases: DataFrame, catalog: Catalog) -> tuple[DataFrame, Column]:
+    """cases with the rules' parts, and an array of all findings of a case: rules in force, then entries of the matrix."""
     checked, found = results(cases, catalog, [r for r in catalog.rules["rules"] if r["id"] in RULES])
     of = {r["id"]: r for r in catalog.rules["rules"]}
     day = lambda d: F.lit(d).cast("date")
@@ -87,7 +85,22 @@ def all_findings(cases: DataFrame, catalog: Catalog) -> DataFrame:
     scope = in_scope(catalog.evidence.get("scope"))
     for entry, e in zip(catalog.evidence["entries"], entries(catalog), strict=True):
         all_.append(F.when(scope & e.isNotNull(), _common(F.lit(entry["id"]), "nachweis", e["status"], F.lit(entry["hardness"]), F.lit(catalog.evidence_version))))
-    return checked.select("akte_id", F.explode(F.array_compact(F.array(*all_))).alias("x")).select("akte_id", "x.*")
+    return checked, F.array_compact(F.array(*all_))
+
+
+def all_findings(cases: DataFrame, catalog: Catalog) -> DataFrame:
+    """Findings of rules in force and of the matrix as one long table, from one pass over the cases:
+    akte_id, kennung, art, status, haerte, fassung."""
+    checked, found = _all(cases, catalog)
+    return checked.select("akte_id", F.explode(found).alias("x")).select("akte_id", "x.*")
+
+
+def judge(cases: DataFrame, catalog: Catalog, overrides: DataFrame) -> DataFrame:
+    """akte_id, befunde: a case's findings with their overrides, as an array. Overrides come to the case's row, so
+    decisions and audits read one table that is neither exploded nor shuffled again."""
+    checked, found = _all(cases.join(_by_case(overrides), "akte_id", "left"), catalog)
+    with_overrides = F.transform("_found", lambda x: F.struct(*[x[c].alias(c) for c in ("kennung", "art", "status", "haerte", "fassung")], *_applied(x["kennung"], x["fassung"])))
+    return checked.select("akte_id", "_overrides", found.alias("_found")).select("akte_id", with_overrides.alias("befunde"))
 
 
 def _common(kennung: Column, art: str, status: Column, haerte: Column, fassung: Column) -> Column:
@@ -105,42 +118,62 @@ def form_errors(overrides: DataFrame) -> DataFrame:
     return overrides.withColumn("formfehler", F.array_compact(F.array(gap("regel"), gap("benutzer"), gap("fassung"), reason)))
 
 
+def _by_case(overrides: DataFrame) -> DataFrame:
+    """The overrides of each case as an array, in their order; `nr` tells them apart."""
+    formed = form_errors(overrides).select("akte_id", F.struct("ord", F.col("regel").alias("kennung"), "fassung", "benutzer", "erzeugt_am", "begruendung", F.coalesce("identitaet", F.lit("angegeben")).alias("identitaet"), (F.size("formfehler") == 0).alias("formrichtig")).alias("o"))
+    gathered = formed.groupBy("akte_id").agg(F.array_sort(F.collect_list("o")).alias("_o"))
+    return gathered.select("akte_id", F.transform("_o", lambda o, k: F.struct(k.alias("nr"), o.alias("o"))).alias("_overrides"))
+
+
+def _applied(kennung: Column, fassung: Column) -> list[Column]:
+    """uebersteuert (the first well-formed override of the same version, or null) and verbraucht (all others of the finding)."""
+    own = F.filter("_overrides", lambda x: x["o"]["kennung"] == kennung)
+    valid = first(own, lambda x: x["o"]["formrichtig"] & F.coalesce(x["o"]["fassung"] == fassung, F.lit(False)))
+    o = valid["o"]
+    held = F.when(valid.isNotNull(), F.struct(o["benutzer"].alias("benutzer"), o["erzeugt_am"].alias("erzeugt_am"), o["begruendung"].alias("begruendung"), o["identitaet"].alias("identitaet")))
+    used = F.transform(F.filter(own, lambda x: ~x["nr"].eqNullSafe(valid["nr"])), lambda x: F.struct(*[x["o"][c].alias(c) for c in ("ord", "benutzer", "fassung", "erzeugt_am")]))
+    return [held.alias("uebersteuert"), F.when(F.size(own) > 0, used).alias("verbraucht")]
+
+
 def attach_overrides(found: DataFrame, overrides: DataFrame) -> DataFrame:
     """found with the overrides of its case and identifier: the first well-formed one of the same version is
     in force, all others are used up and stay listed."""
-    formed = form_errors(overrides).withColumnRenamed("regel", "kennung").withColumnRenamed("fassung", "o_fassung")
-    both = found.select("akte_id", "kennung", "fassung").join(formed, ["akte_id", "kennung"])
-    fits = (F.col("o_fassung") == F.col("fassung")) & (F.size("formfehler") == 0)
-    ranked = both.withColumn("_fits", F.coalesce(fits, F.lit(False)))
-    turn = Window.partitionBy("akte_id", "kennung").orderBy(F.col("_fits").desc(), "ord")
-    ranked = ranked.withColumn("_valid", F.col("_fits") & (F.row_number().over(turn) == 1))
-    held = ranked.groupBy("akte_id", "kennung").agg(
-        F.max(F.when(F.col("_valid"), F.struct("benutzer", "erzeugt_am", "begruendung", F.coalesce("identitaet", F.lit("angegeben")).alias("identitaet")))).alias("uebersteuert"),
-        F.array_sort(F.collect_list(F.when(~F.col("_valid"), F.struct("ord", "benutzer", F.col("o_fassung").alias("fassung"), "erzeugt_am")))).alias("verbraucht"),
-    )
-    return found.join(held, ["akte_id", "kennung"], "left")
+    held, used = _applied(F.col("kennung"), F.col("fassung"))
+    return found.join(_by_case(overrides), "akte_id", "left").select(*found.columns, held, used)
 
 
-def decide(found: DataFrame, cases: DataFrame) -> DataFrame:
-    """Decision of each case, and the one that leaves overridden findings out."""
+def _level(x: Column) -> Column:
+    """How far a finding stands in the way of a release: 3 blocks, 2 asks for reading again, 1 warns."""
+    rule = x["art"] == "regel"
+    blocks = (x["haerte"] == "hard") & F.when(rule, x["status"].isin(VIOLATED, UNCHECKABLE)).otherwise(x["status"] != OK)
+    return F.when(blocks, 3).when(rule & (x["status"] == REREAD), 2).when(x["status"] != OK, 1).otherwise(0)
 
-    def outcome(counts: Column) -> Column:
-        hard = F.col("haerte") == "hard"
-        blocks = hard & F.when(F.col("art") == "regel", F.col("status").isin(VIOLATED, UNCHECKABLE)).otherwise(F.col("status") != OK)
-        level = F.when(blocks, 3).when((F.col("art") == "regel") & (F.col("status") == REREAD), 2).when(F.col("status") != OK, 1).otherwise(0)
-        return F.max(F.when(counts, level))
 
-    name = lambda c: F.when(F.col(c) == 3, BLOCKED).when(F.col(c) == 2, READ_AGAIN).when(F.col(c) == 1, WARNINGS).otherwise(READY)
+def _decision(level: Column) -> Column:
+    return F.when(level == 3, BLOCKED).when(level == 2, READ_AGAIN).when(level == 1, WARNINGS).otherwise(READY)
+
+
+def decide_judged(judged: DataFrame) -> DataFrame:
+    """akte_id, freigabe, freigabe_nach_override of judged cases: a column of each row, no shuffle."""
+    kept = F.filter("befunde", lambda x: x["uebersteuert"].isNull())
+    return judged.select("akte_id", _decision(F.array_max(F.transform("befunde", _level))).alias("freigabe"), _decision(F.array_max(F.transform(kept, _level))).alias("freigabe_nach_override"))
+
+
+def decide(found: DataFrame, cases: DataFrame) -> DataFrame:
+    """Decision of each case from a long table of findings, and the one that leaves overridden findings out."""
+    level = _level({c: F.col(c) for c in ("art", "haerte", "status")})
     over = F.col("uebersteuert").isNull() if "uebersteuert" in found.columns else F.lit(True)
-    levels = found.groupBy("akte_id").agg(outcome(F.lit(True)).alias("_a"), outcome(over).alias("_b"))
-    return cases.select("akte_id").join(levels, "akte_id", "left").select("akte_id", name("_a").alias("freigabe"), name("_b").alias("freigabe_nach_override"))
+    levels = found.groupBy("akte_id").agg(F.max(level).alias("_a"), F.max(F.when(over, level)).alias("_b"))
+    return cases.select("akte_id").join(levels, "akte_id", "left").select("akte_id", _decision(F.col("_a")).alias("freigabe"), _decision(F.col("_b")).alias("freigabe_nach_override"))
 
 
 def override_audit(found: DataFrame) -> DataFrame:
-    """Overrides in force and used up, as one table (angewandt and verbraucht)."""
-    applied = found.where("uebersteuert is not null").select("akte_id", "kennung", F.col("uebersteuert.benutzer").alias("benutzer"), F.lit("angewandt").alias("wirkung"))
-    used = found.select("akte_id", "kennung", F.explode("verbraucht").alias("v")).select("akte_id", "kennung", F.col("v.benutzer").alias("benutzer"), F.lit("verbraucht").alias("wirkung"))
-    return applied.unionByName(used)
+    """Overrides in force and used up, as one table (angewandt and verbraucht), from one pass over findings with overrides."""
+    row = lambda who, effect: F.struct(who.alias("benutzer"), F.lit(effect).alias("wirkung"))
+    applied = F.when(F.col("uebersteuert").isNotNull(), F.array(row(F.col("uebersteuert.benutzer"), "angewandt")))
+    used = F.transform("verbraucht", lambda v: row(v["benutzer"], "verbraucht"))
+    none = F.array().cast("array<struct<benutzer: string, wirkung: string>>")
+    return found.select("akte_id", "kennung", F.explode(F.concat(F.coalesce(applied, none), F.coalesce(used, none))).alias("v")).select("akte_id", "kennung", "v.*")
 
 
 def with_identity(overrides: DataFrame, header_user: str = "kopf_benutzer") -> DataFrame:

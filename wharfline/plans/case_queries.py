@@ -128,25 +128,22 @@ def evidence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision.evidence(mapping.case_rows(spark, sf_dir), load_catalog()).select("akte_id", "id", "status", "haerte")
 
 
-def judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(case rows, all findings with their overrides)."""
-    cases, catalog = mapping.case_rows(spark, sf_dir), load_catalog()
-    found = decision.all_findings(cases, catalog)
-    return cases, decision.attach_overrides(found, overrides(spark, sf_dir))
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision.judge(mapping.case_rows(spark, sf_dir), load_catalog(), overrides(spark, sf_dir))
 
 
 def decision_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases, found = judged(spark, sf_dir)
-    return decision.decide(found, mapping.cases(spark, sf_dir))
+    return decision.decide_judged(judged(spark, sf_dir))
 
 
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judged(spark, sf_dir)[1]
+    found = decision.all_findings(mapping.case_rows(spark, sf_dir), load_catalog())
     return found.groupBy("kennung", "status").agg(F.count("*").alias("n"))
 
 
 def audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decision.override_audit(judged(spark, sf_dir)[1]).groupBy("wirkung", "kennung").agg(F.count("*").alias("n"))
+    found = judged(spark, sf_dir).select("akte_id", F.inline("befunde"))
+    return decision.override_audit(found).groupBy("wirkung", "kennung").agg(F.count("*").alias("n"))
 
 
 AUDIT_SQL = f"""{FOUND_SQL}

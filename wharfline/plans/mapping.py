@@ -66,7 +66,7 @@ FROM lines l LEFT JOIN packing p ON p.akte_id = l.akte_id AND p.nr = l.nr GROUP
 """
 
 HEADS = """
-SELECT c.akte_id, s.netto_summe, s.n_lines, s.brutto_summe,
+SELECT {carry}, s.netto_summe, s.n_lines, s.brutto_summe,
        s.netto_summe + c.akte_id % 5 - c.akte_id % 3 + CASE WHEN c.akte_id % 41 = 0 THEN 1 ELSE 0 END AS gesamt,
        CAST(c.akte_id % 5 AS DOUBLE) AS zuschlaege, CAST(c.akte_id % 3 AS DOUBLE) AS rabatte,
        s.brutto_summe - CASE WHEN c.akte_id % 47 = 0 THEN 1 ELSE 0 END AS brutto_gesamt,
@@ -81,11 +81,11 @@ SELECT c.akte_id, s.netto_summe, s.n_lines, s.brutto_summe,
        CASE WHEN c.akte_id % 37 = 5 THEN 'USD' ELSE 'EUR' END AS waehrung,
        CASE WHEN c.akte_id % 20 = 7 THEN 0.55E0 ELSE 0.99E0 END AS konf
 FROM (
-  SELECT akte_id, 'MSKU' || ziffern || CAST(CASE WHEN akte_id % 37 = 0 THEN (pruefziffer + 1) % 10 ELSE pruefziffer END AS STRING) AS container
+  SELECT *, 'MSKU' || ziffern || CAST(CASE WHEN akte_id % 37 = 0 THEN (pruefziffer + 1) % 10 ELSE pruefziffer END AS STRING) AS container
   FROM (
-    SELECT akte_id, ziffern, (424 + 16 * CAST(substr(ziffern, 1, 1) AS INT) + 32 * CAST(substr(ziffern, 2, 1) AS INT) + 64 * CAST(substr(ziffern, 3, 1) AS INT)
+    SELECT *, (424 + 16 * CAST(substr(ziffern, 1, 1) AS INT) + 32 * CAST(substr(ziffern, 2, 1) AS INT) + 64 * CAST(substr(ziffern, 3, 1) AS INT)
            + 128 * CAST(substr(ziffern, 4, 1) AS INT) + 256 * CAST(substr(ziffern, 5, 1) AS INT) + 512 * CAST(substr(ziffern, 6, 1) AS INT)) % 11 % 10 AS pruefziffer
-    FROM (SELECT akte_id, lpad(CAST(akte_id % 1000000 AS STRING), 6, '0') AS ziffern FROM cases) digits
+    FROM (SELECT *, lpad(CAST(akte_id % 1000000 AS STRING), 6, '0') AS ziffern FROM cases) digits
   ) checked
 ) c
 LEFT JOIN sums s ON c.akte_id = s.akte_id
@@ -98,13 +98,13 @@ SOURCES = ("orders", "lineitem", "supplier", "nation")
 def oracle(query: str, *names: str) -> str:
     """SQL of the derived tables that a query needs, then the query."""
     wanted = [n for n in VIEWS if n in names] if names else list(VIEWS)
-    parts = ",\n".join(f"{n} AS ({VIEWS[n].format(**{s: s for s in SOURCES})})" for n in wanted)
+    parts = ",\n".join(f"{n} AS ({VIEWS[n].format(carry="c.akte_id", **{s: s for s in SOURCES})})" for n in wanted)
     return f"WITH {parts}{',' if query.lstrip().startswith('+') else ''}\n{query.lstrip().removeprefix('+')}"
 
 
 def _sql(spark: SparkSession, sql: str, **found: DataFrame) -> DataFrame:
     """A view's SQL over given tables."""
-    text = sql.format(**{s: f"{{{s}}}" for s in SOURCES})
+    text = sql.format(carry="c.*, s._lines", **{s: f"{{{s}}}" for s in SOURCES})
     for name in found:
         text = re.sub(rf"(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", text)
     return spark.sql(text, **{k: v for k, v in found.items() if f"{{{k}}}" in text})
@@ -156,8 +156,8 @@ def case_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("nr", *[c for c in fields if c != "nr"]))).alias("_lines"),
         (F.sum(F.round(F.col("netto") * 100).cast("long")).cast("double") / 100).alias("netto_summe"), F.count("*").alias("n_lines"), F.sum(F.when(F.col("packed"), F.col("brutto_kg"))).alias("brutto_summe"),
     )
-    own = cases(spark, sf_dir)
-    head = _sql(spark, HEADS, cases=own, sums=gathered.select("akte_id", "netto_summe", "n_lines", "brutto_summe"))
+    # cases meet their gathered lines once; the header facts are columns over that row
+    wide = _sql(spark, HEADS, cases=cases(spark, sf_dir), sums=gathered)
     col, one = F.col, F.lit(0.99)
     value = {
         "rechnung.waehrung": (col("waehrung"), one, "handelsrechnung"), "rechnung.zuschlaege": (col("zuschlaege"), one, "handelsrechnung"), "rechnung.rabatte": (col("rabatte"), one, "handelsrechnung"), "rechnung.gesamt": (col("gesamt"), col("konf"), "handelsrechnung"),
@@ -181,7 +181,6 @@ def case_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = F.transform("_lines", lambda x: F.when((col("akte_id") % 31 == 0) & (x["nr"] == 1), x["hs6"]).otherwise(F.concat(x["hs6"], F.lit("00"))))
     doc = lambda k, typ, status: F.struct(F.lit(k).alias("ord"), F.lit(typ).alias("id"), F.lit(typ).alias("typ"), status.alias("status"))
     final = F.lit("final")
-    wide = own.join(head, "akte_id").join(gathered.select("akte_id", "_lines"), "akte_id", "left")
     return wide.select(
         "akte_id",
         F.date_add(F.lit("2026-09-12").cast("date"), col("tag").cast("int")).alias("stichtag"),
