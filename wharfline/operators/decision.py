@@ -167,6 +167,11 @@ def decide(found: DataFrame, cases: DataFrame) -> DataFrame:
     return cases.select("akte_id").join(levels, "akte_id", "left").select("akte_id", _decision(F.col("_a")).alias("freigabe"), _decision(F.col("_b")).alias("freigabe_nach_override"))
 
 
+def with_case_data(decided: DataFrame, cases: DataFrame, passed: tuple[str, ...] = ("customs_cutoff", "carrier_cutoff", "eta", "extraktion")) -> DataFrame:
+    """Decisions with the deadlines and the extraction's notes of their case, handed on as they are."""
+    return decided.join(cases.select("akte_id", *[c for c in passed if c in cases.columns]), "akte_id", "left")
+
+
 def override_audit(found: DataFrame) -> DataFrame:
     """Overrides in force and used up, as one table (angewandt and verbraucht), from one pass over findings with overrides."""
     row = lambda who, effect: F.struct(who.alias("benutzer"), F.lit(effect).alias("wirkung"))

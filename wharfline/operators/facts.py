@@ -77,6 +77,12 @@ def documents_by_type(documents: DataFrame, typ: str, final_only: bool = False)
     return found.where(F.col("status") == FINAL) if final_only else found
 
 
+def unclassified(documents: DataFrame) -> DataFrame:
+    """akte_id, nicht_klassifiziert: the ids of a case's documents that no type was found for, in their order."""
+    found = documents.where(F.col("typ") == "unclassified")
+    return found.groupBy("akte_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "dokument_id"))), lambda d: d["dokument_id"]).alias("nicht_klassifiziert"))
+
+
 def split_path(path: Column) -> dict[str, Column]:
     """bereich.liste.idx.feld of a list path; idx is null for other paths."""
     pattern = r"^(\w+\.\w+)\.(\d+)\.(\w+)$"

@@ -48,8 +48,20 @@ def overview(cases: DataFrame, documents: DataFrame, requests: DataFrame, checks
     return rows.withColumns(zero).orderBy(F.col("geprueft_am").desc_nulls_last(), "akte_id")
 
 
-def totals(cases: DataFrame) -> DataFrame:
-    """One row over an overview."""
+def newest_unassigned(mails: DataFrame, n: int = 50, when: str = "eingegangen_am") -> DataFrame:
+    """The newest mails that no case was found for (a top-k report)."""
+    return mails.where(F.col("ergebnis") != "zugeordnet").orderBy(F.col(when).desc_nulls_last(), "mail_id").limit(n)
+
+
+def run_outcomes(runs: DataFrame, bounds: tuple[float, ...] = (0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0)) -> DataFrame:
+    """Extraction runs (ausgang, dauer in seconds) by outcome: their number, total duration and how many took up to each bound."""
+    return runs.groupBy("ausgang").agg(F.count("*").alias("anzahl"), F.sum("dauer").alias("dauer_summe"), F.array(*[F.count_if(F.col("dauer") <= b) for b in bounds]).alias("bis"))
+
+
+def totals(cases: DataFrame, mails: DataFrame | None = None) -> DataFrame:
+    """One row over an overview, with the number of unassigned mails if mails are given."""
+    if mails is not None:
+        return totals(cases).crossJoin(mails.agg(F.count_if(F.col("ergebnis") != "zugeordnet").alias("mails_ohne_akte")))  # one row each
     return cases.agg(
         F.count("*").alias("akten"), F.count_if(F.col("freigabe") == "blockiert").alias("blockiert"), F.count_if(F.col("freigabe") == "freigabereif").alias("freigabereif"), F.sum("offene_faelle").alias("offene_faelle")
     )

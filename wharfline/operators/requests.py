@@ -110,6 +110,33 @@ def dispatch_plan(due: DataFrame, catalog: Catalog) -> DataFrame:
     )
 
 
+def split_due(due: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests whose stage is due, those that wait with the reason why)."""
+    return due.where("faellig"), due.where(~F.coalesce("faellig", F.lit(False)))
+
+
+def dispatched(dispatches: DataFrame, requests: DataFrame) -> DataFrame:
+    """Dispatches (akte_id, grund, feld, stufe, versandt_am) of known requests, with the state of the request."""
+    return dispatches.join(requests.select("akte_id", "grund", "feld", "status", F.col("stufe").alias("letzte_stufe")), ["akte_id", "grund", "feld"])
+
+
+def escalation_run(open_: DataFrame, deadlines: DataFrame, catalog: Catalog, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """A daily run as of a given time: (what is to be sent, the requests after it, each due one with its new stage and dispatch)."""
+    due = due_stage(open_, deadlines, catalog, as_of)
+    sent = F.coalesce("faellig", F.lit(False))
+    after = due.withColumns({"stufe": F.when(sent, F.col("neue_stufe")).otherwise(F.col("stufe")), "letzter_versand_am": F.when(sent, as_of).otherwise(F.col("letzter_versand_am"))})
+    return dispatch_plan(due, catalog), after.select(*open_.columns)
+
+
+def close_latest(items: DataFrame, outcomes: DataFrame, key: str = "execution_id", when: str = "angelegt_am") -> DataFrame:
+    """The retry queue after outcomes (key, ergebnis): the latest open retry of each gets its outcome as status; all other rows stay."""
+    turn = Window.partitionBy(key, F.col("status") == "offen").orderBy(F.col(when).desc())
+    ranked = items.withColumn("_latest", (F.col("status") == "offen") & (F.row_number().over(turn) == 1))
+    both = ranked.join(outcomes.select(key, "ergebnis"), key, "left")
+    closed = F.col("_latest") & F.col("ergebnis").isNotNull()
+    return both.withColumn("status", F.when(closed, F.col("ergebnis")).otherwise(F.col("status"))).select(*items.columns)
+
+
 def route_mail(mails: DataFrame, cases: DataFrame) -> DataFrame:
     """mails (mail_id, betreff, text, anhaenge) -> akte_id or a reason why none is assigned."""
     number = F.regexp_extract(F.concat_ws(" ", "betreff", "text"), r"ZP-\d{4}-\d{4}", 0)

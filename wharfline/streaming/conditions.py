@@ -61,3 +61,34 @@ def idempotent_append(path: str, keys: list[str], order: str) -> Callable[[DataF
         append_new(batch, stored, keys, order).write.mode("append").parquet(path)
 
     return put
+
+
+def finished(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over all that its source has and returns the sink's table: each batch replaces (complete) or is added. State
+    and offsets are kept below the folder, which has to be shared by all executors, so a stopped run goes on where it was."""
+    spark, table = stream.sparkSession, f"{folder}/table"
+    write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(table)
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(table)
+
+
+def sustained_runs(samples: DataFrame, condition: Column, at_least_seconds: int, key: str, when: str = "ts", gap: str = "1 hour", lateness: str = LATENESS) -> DataFrame:
+    """Sessions of true samples of a key with no more than `gap` between two of them: `alarm` where one lasts long enough."""
+    held = samples.where(F.coalesce(condition, F.lit(False))).withWatermark(when, lateness)
+    out = held.groupBy(F.session_window(when, gap).alias("window"), F.col(key)).agg(F.count("*").alias("proben"), F.min(when).alias("beginn"), F.max(when).alias("ende"))
+    return _flat(out).withColumn("alarm", F.unix_timestamp("ende") - F.unix_timestamp("beginn") >= at_least_seconds)
+
+
+def intake(known: DataFrame, path: str, then: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink for mails: each batch is routed to its cases and appended once, and what is to be checked again (a row
+    for each case that got something) is handed on."""
+    from wharfline.operators.requests import route_mail
+
+    put = idempotent_append(path, ["mail_id"], "mail_id")
+
+    def take(batch: DataFrame, n: int) -> None:
+        routed = route_mail(batch, known)
+        put(routed, n)
+        then(routed.where("akte_id is not null").select("akte_id").distinct())
+
+    return take
