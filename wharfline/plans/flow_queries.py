@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wharfline.functions import identifiers, parsing
-from wharfline.operators import documents, extraction, facts, metrics, requests
+from wharfline.operators import documents, extraction, facts, geometry, metrics, requests
 from wharfline.plans.ops_queries import derived, plain, read
 from wharfline.sources import cases, ocr, xml_invoices
 from wharfline.sources.catalog import load_catalog
@@ -365,6 +365,40 @@ def newest_unassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 UNASSIGNED_SQL = r"SELECT conv_id * 1000 + turn AS mail_id, CASE WHEN regexp_matches(coalesce(text, ''), 'ZP-\d{4}-\d{4}') THEN 'unbekannte Akte' ELSE 'keine Vorgangsnummer' END AS ergebnis FROM conversations ORDER BY conv_id DESC, mail_id LIMIT 50"
 
+# an order as a page: labels in two columns with values below the right one, a table of its lines, a total
+def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = derived(spark, sf_dir, INVOICE_LINES.replace("{said}", SAID), "lineitem")
+    word = lambda text, x: F.struct((F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(float(x)).alias("x0"), F.lit(x + 28.0).alias("x1"))
+    s = lambda c: F.col(c).cast("string")
+    row = lambda k, *words: F.struct(k.alias("z"), F.array(*words).alias("w"))
+    body = lines.select("akte_id", F.explode(F.array(
+        row(F.col("nr") * 2 + 2, word(s("nr"), 0), word("Pumpe", 60), word(F.col("hs6"), 140), word("Germany", 220), word(F.format_string("%.2f", "menge"), 300), word(F.when(F.col("nr") % 3 == 0, "no charge").otherwise("2.50"), 380), word(F.format_string("%.2f", "netto"), 480)),
+        row(F.col("nr") * 2 + 3, word("rostfrei", 60)),
+    )).alias("r"))
+    head = derived(spark, sf_dir, INVOICES, "orders").select("akte_id", F.explode(F.array(
+        row(F.lit(0), word("Invoice", 0), word("No:", 30), word(F.col("nummer"), 60), word("Currency", 300)), row(F.lit(1), word("links", 0), word(F.col("waehrung"), 300), word("fern", 360)),
+        row(F.lit(2), word("Pos", 0), word("Description", 60), word("HS", 140), word("Origin", 220), word("Qty", 300), word("Unit", 380), word("Price", 410), word("Amount", 480)), row(F.lit(1000), word("Total", 0), word("1.00", 480)), row(F.lit(1001), word("9", 0), word("Rest", 60)),
+    )).alias("r"))
+    words = head.unionByName(body).select(F.col("akte_id").alias("doc_id"), F.lit(1).alias("page"), (F.col("r.z") * 12.0).alias("top"), F.explode("r.w").alias("w"))
+    return geometry.lines_by_anchor(words.select("doc_id", "page", "w.text", "w.x0", "top", "w.x1", (F.col("top") + 8).alias("bottom"), F.lit(0.9).alias("conf")))
+
+
+def labelled_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("handelsrechnung").alias("typ"))
+    found = extraction.extract_fields(_page(spark, sf_dir), kinds)
+    return found.where(F.col("pfad").isin("rechnung.nummer", "rechnung.waehrung")).select("doc_id", "pfad", "txt")
+
+
+def invoice_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.table_fields(_page(spark, sf_dir), "rechnung.positionen")
+    return found.select("doc_id", "pfad", "txt", F.round("num", 2).alias("num"))
+
+
+TABLE_SQL = f"""WITH l AS (SELECT *, CAST(row_number() OVER (PARTITION BY akte_id ORDER BY nr) - 1 AS VARCHAR) AS z FROM ({INVOICE_LINES.format(said=plain(SAID, "lineitem"))}) x)
+""" + "\nUNION ALL ".join(f"SELECT akte_id AS doc_id, 'rechnung.positionen.' || z || '.{field}' AS pfad, {txt} AS txt, CAST({num} AS DOUBLE) AS num FROM l" for field, txt, num in (
+    ("nr", "NULL", "nr"), ("beschreibung", "'Pumpe rostfrei'", "NULL"), ("hs6", "hs6", "NULL"), ("ursprung", "'DE'", "NULL"), ("menge", "NULL", "round(menge, 2)"), ("einzelpreis", "NULL", "CASE WHEN nr % 3 = 0 THEN 0 ELSE 2.5 END"), ("netto", "NULL", "round(netto, 2)"),
+))
+
 RUNS = "SELECT user_id % 20 AS lauf, event_type AS ausgang, CAST(event_id % 90 AS DOUBLE) AS dauer FROM {events}"
 
 
@@ -433,7 +467,7 @@ QUERIES = {
     "document_numbers": document_numbers, "merged_documents": merged_documents, "merged_assertions": merged_assertions, "escalation_due": escalation_due, "dispatch_plan": dispatch_plan, "requests_after_run": requests_after_run,
     "last_requests": last_requests, "closed_retries": closed_retries, "checks_by_decision": checks_by_decision, "decision_quality": decision_quality, "quality_regressions": quality_regressions, "reading_methods": reading_methods,
     "page_methods": page_methods, "layout_words": layout_words, "token_words": token_words, "alarm_states": alarm_states, "workflow_errors": workflow_errors, "flattened_orders": flattened_orders, "extracted_codes": extracted_codes,
-    "incoterm_checks": incoterms, "compared_values": compared_values, "restored_texts": restored_texts, "invoice_xml": invoice_xml, "origin_declarations": declarations, "newest_unassigned_mails": newest_unassigned, "run_outcomes": run_outcomes,
+    "incoterm_checks": incoterms, "compared_values": compared_values, "restored_texts": restored_texts, "invoice_xml": invoice_xml, "origin_declarations": declarations, "newest_unassigned_mails": newest_unassigned, "run_outcomes": run_outcomes, "labelled_fields": labelled_fields, "invoice_tables": invoice_tables,
     "error_stream": error_stream, "reread_stream": reread_stream, "used_override_stream": used_override_stream, "slow_run_stream": slow_run_stream, "quiet_stream": quiet_stream, "sustained_stream": sustained_stream,
 }
 _S, _P = f"({plain(SAID, 'lineitem')}) s", f"({plain(PAPERS, 'orders')}) p"
@@ -448,7 +482,8 @@ ORACLES = {
     "decision_quality": "SELECT o_orderkey % 5 > 0 AND o_orderkey % 7 > 0 AS korrekt, count(*) AS n FROM orders GROUP BY 1", "quality_regressions": REGRESSION_SQL, "reading_methods": METHOD_SQL,
     "page_methods": f"SELECT CASE WHEN n >= 8 THEN 'textebene' ELSE 'ocr' END AS methode, n = 0 AS leer, count(*) AS n FROM ({LINES_SQL}) x GROUP BY 1, 2", "layout_words": LAYOUT_SQL, "token_words": TOKEN_SQL, "alarm_states": ALARM_SQL, "workflow_errors": WORKFLOW_SQL,
     "flattened_orders": "SELECT o_orderkey, 'sachverhalt.kunde' AS pfad, CAST(o_custkey AS VARCHAR) AS wert FROM orders WHERE o_custkey IS NOT NULL UNION ALL SELECT o_orderkey, 'sachverhalt.prioritaet', o_orderpriority FROM orders WHERE o_orderpriority IS NOT NULL",
-    "extracted_codes": CODES_SQL, "incoterm_checks": INCOTERM_SQL, "compared_values": COMPARED_SQL, "restored_texts": RESTORED_SQL, "invoice_xml": XML_SQL, "origin_declarations": DECLARATION_SQL, "newest_unassigned_mails": UNASSIGNED_SQL, "run_outcomes": OUTCOME_SQL,
+    "extracted_codes": CODES_SQL, "incoterm_checks": INCOTERM_SQL, "compared_values": COMPARED_SQL, "restored_texts": RESTORED_SQL, "invoice_xml": XML_SQL, "origin_declarations": DECLARATION_SQL, "newest_unassigned_mails": UNASSIGNED_SQL, "run_outcomes": OUTCOME_SQL, "invoice_tables": TABLE_SQL,
+    "labelled_fields": f"SELECT akte_id AS doc_id, 'rechnung.nummer' AS pfad, nummer AS txt FROM ({plain(INVOICES, 'orders')}) o UNION ALL SELECT akte_id, 'rechnung.waehrung', waehrung FROM ({plain(INVOICES, 'orders')}) o",
     "error_stream": STREAM_SQL.format("count(*) AS fehler, TRUE AS alarm", "WHERE event_type = 'error'"),
     "reread_stream": STREAM_SQL.format("count(*) FILTER (event_id % 4 = 0) AS nachzulesen, round(count(*) FILTER (event_id % 4 = 0) / count(*), 6) AS anteil, count(*) FILTER (event_id % 4 = 0) / count(*) > 0.25 AS alarm", ""),
     "used_override_stream": STREAM_SQL.format("count(*) AS verbraucht, TRUE AS alarm", "WHERE event_id % 3 = 0"),
