@@ -318,6 +318,7 @@ def test_near_components(spark, pairwise):
     found = {r.node: r.component for r in connected_components(pairs).collect()}
     assert {k: found.get(k, k) for k in (r.rep for r in frame.collect())} == {k: v for k, v in brute_classes({r.rep: r.fp & (1 << 64) - 1 for r in frame.collect()}).items()}
     assert connected_components(pairs.where("false")).count() == 0
+    assert {r.node: r.component for r in connected_components(pairs, hub=1).collect()} == found
 
 
 def test_near_stage_keeps_one_of_each(docs, empty):
