@@ -413,7 +413,11 @@ OUTCOME_SQL = f"""SELECT ausgang, count(*) AS anzahl, sum(dauer) AS dauer_summe,
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, str]:
     """The events as a stream, and a folder for the state of a run over them."""
     path = f"{sf_dir}/events.parquet"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/wharfline-checkpoints"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = "/tmp/wharfline-checkpoints"
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet")  # a stream reads folders or patterns
     return events.withColumn("ts", F.col("ts").cast("timestamp")), f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
