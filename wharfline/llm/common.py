@@ -75,6 +75,15 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, t
     return rows.join(hot, keys).unionByName(rest.join(per_key.where(F.col(n) <= bound).hint("merge"), keys))
 
 
+#: Distinct keys of 8 bytes that are broadcast at most.
+BROADCAST_KEYS = 1 << 20
+
+
+def with_keys(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """Semi or anti join of rows to a staged table of distinct long keys. Up to `BROADCAST_KEYS` of them are broadcast, so that the rows stay where they are; more are shuffled."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("merge"), key, how)
+
+
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -22,41 +22,61 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import discard, join_per_key, stage
+from wharfline.llm.common import chunks, discard, join_per_key, stage, with_keys
+from wharfline.llm.shingles import shingle_set
 
 COUNT_BITS = 17
-#: Shingles that a task puts in order at a time.
-SLICE = 1 << 20
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], counts: Broadcast) -> Iterator[pa.RecordBatch]:
+def _summaries(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    counts, shift = np.zeros(1 << COUNT_BITS, np.int64), np.uint64(64 - COUNT_BITS)
+
+    def columns(rows: list | None, prints: list | None, ranges: np.ndarray | None, n: np.ndarray | list) -> pa.RecordBatch:
+        kinds = (rows, pa.int64()), (prints, pa.int64()), (ranges, pa.int32()), (n, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.nulls(len(n), k) if x is None else pa.array(x, k) for x, k in kinds], ["row", "fp", "range", "n"])
+
+    for rows, texts in chunks(batches):
+        prints, sizes = [], []
+        for text in texts:
+            fp, hashes = shingle_set(text, shingle)
+            prints.append(fp)
+            sizes.append(len(hashes))
+            ranges, n = np.unique((hashes >> shift).astype(np.int32), return_counts=True)
+            counts[ranges] += n
+        yield columns(rows, prints, None, sizes)
+    ranges = np.flatnonzero(counts)
+    yield columns(None, None, ranges, counts[ranges])
+
+
+def summaries(texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """texts (row, text) -> (row, fp), and (range, n): how many shingles of all sets fall in each hash range. Each task adds up its own ranges."""
+    both = stage(texts.mapInArrow(partial(_summaries, shingle=shingle), "row long, fp long, range int, n long"), "shingle-summaries")
+    ranges = both.where("range is not null").groupBy("range").agg(F.sum("n").alias("n"))
+    return both.where("range is null").select("row", "fp"), ranges
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, counts: Broadcast) -> Iterator[pa.RecordBatch]:
     table, shift = counts.value, np.uint64(64 - COUNT_BITS)
-    for batch in batches:
-        ends, at = np.cumsum(batch.column("n").to_numpy().astype(np.int64)), 0
-        while at < len(ends):
-            begun = int(ends[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, begun + SLICE, "right")))
-            part = batch.slice(at, to - at)
-            n, ids = part.column("n").to_numpy().astype(np.int64), part.column("row").to_numpy()
-            shingles = part.column("set").flatten().to_numpy()
-            of = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((shingles, table[shingles.view(np.uint64) >> shift], of))
-            place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            taken = place < np.repeat(n - (4 * n + 4) // 5 + 1, n)
-            of = of[taken]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shingles[order][taken]), pa.array(ids[of]), pa.array(n[of].astype(np.int32)), pa.array(place[taken].astype(np.int32))], ["shingle", "row", "n", "place"]
-            )
-            at = to
-
-
-def shared_prefixes(sets: DataFrame) -> DataFrame:
-    """sets (row, n, set), staged -> (shingle, row, n, place, least, least_n) of the prefix shingles that two rows or more hold."""
-    ranges = sets.select(F.explode("set").alias("s")).groupBy(F.shiftrightunsigned("s", 64 - COUNT_BITS).alias("range")).agg(F.count("*").alias("c")).toArrow()  # 2^17 rows of 16 bytes at most
+    for rows, texts in chunks(batches):
+        sets = [shingle_set(text, shingle)[1] for text in texts]
+        n, ids, hashes = np.fromiter(map(len, sets), np.int64, len(sets)), np.array(rows, np.int64), np.concatenate(sets)
+        of = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((hashes, table[hashes >> shift], of))
+        place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        taken = place < np.repeat(n - (4 * n + 4) // 5 + 1, n)
+        of = of[taken]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hashes.view(np.int64)[order][taken]), pa.array(ids[of]), pa.array(n[of].astype(np.int32)), pa.array(place[taken].astype(np.int32))], ["shingle", "row", "n", "place"]
+        )
+
+
+def shared_prefixes(texts: DataFrame, ranges: DataFrame, shingle: int) -> DataFrame:
+    """texts (row, text) -> (shingle, row, n, place, least, least_n) of the prefix shingles that two rows or more hold."""
+    found = ranges.toArrow()  # 2^17 rows of 12 bytes at most
     table = np.zeros(1 << COUNT_BITS, np.int64)
-    table[ranges.column("range").to_numpy()] = ranges.column("c").to_numpy()
-    counts = sets.sparkSession.sparkContext.broadcast(table)
-    held = stage(sets.select("row", "n", "set").mapInArrow(partial(_prefixes, counts=counts), "shingle long, row long, n int, place int"), "prefixes")
+    table[found.column("range").to_numpy()] = found.column("n").to_numpy()
+    counts = texts.sparkSession.sparkContext.broadcast(table)
+    held = stage(texts.mapInArrow(partial(_prefixes, shingle=shingle, counts=counts), "shingle long, row long, n int, place int"), "prefixes")
     least = held.groupBy("shingle").agg(F.min(F.struct("row", "n")).alias("_l"), F.count("*").alias("_c")).where("_c > 1")
     least = stage(least.select("shingle", F.col("_l.row").alias("least"), F.col("_l.n").alias("least_n"), "_c"), "least-rows")
     shared = stage(join_per_key(held, least, ["shingle"], "_c", held.count()).drop("_c"), "shared-prefixes")
@@ -93,8 +113,21 @@ def crossing_pairs(shared: DataFrame, linked: DataFrame, tried: DataFrame) -> Da
     return met.select(F.col("a.row").alias("u"), F.col("b.row").alias("v")).distinct().join(tried.hint("merge"), ["u", "v"], "left_anti")
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets have a Jaccard similarity of 0.8 or more."""
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for rows, texts in chunks(batches):
+        sets = [shingle_set(text, shingle)[1].view(np.int64) for text in texts]
+        sizes = [len(s) for s in sets]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(sets)))
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sizes, pa.int32()), lists], ["row", "n", "set"])
+
+
+def similar(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (u, v), staged, whose texts have sets with a Jaccard similarity of 0.8 or more. Sets of the paired rows alone are built."""
+    wanted = stage(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "paired-rows")
+    sets = stage(with_keys(texts, wanted, "row", "left_semi").mapInArrow(partial(_sets, shingle=shingle), "row long, n int, set array<long>"), "shingle-sets")
     left, right = (sets.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("set").alias(f"set_{c}")) for c in "uv")
     both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(near_in_size(F.col("n_u"), F.col("n_v")))
-    return both.where(F.size(F.array_intersect("set_u", "set_v")) * 9 >= (F.col("n_u") + F.col("n_v")) * 4).select("u", "v")
+    out = stage(both.where(F.size(F.array_intersect("set_u", "set_v")) * 9 >= (F.col("n_u") + F.col("n_v")) * 4).select("u", "v"), "links")
+    discard(wanted)
+    discard(sets)
+    return out

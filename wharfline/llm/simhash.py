@@ -28,21 +28,19 @@ the radius, a prefix join (`shingle_join`) all pairs beyond it.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import partial
-from itertools import repeat
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StructField, StructType
 
-from wharfline.llm.common import chunks, discard, documents, join_per_key, stage, wrapped
+from wharfline.llm.common import chunks, discard, documents, join_per_key, stage, with_keys, wrapped
 from wharfline.llm.components import connected_components
-from wharfline.llm.shingle_join import crossing_pairs, shared_prefixes, similar, star_pairs
+from wharfline.llm.shingle_join import crossing_pairs, shared_prefixes, similar, star_pairs, summaries
+from wharfline.llm.shingles import majority, shingle_hashes
 
 SHINGLE = 3
 RADIUS = 2
@@ -50,30 +48,6 @@ RADIUS = 2
 STAGE_SHINGLE = 5
 #: Buckets of up to this many distinct fingerprints are compared pair by pair.
 PAIRWISE = 24
-SLICE = 1 << 16
-
-
-def shingle_hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
-    """Hashes of the text's word shingles, repeats included, a slice at a time; none for a wordless text."""
-    words = text.encode().lower().split()
-    if not words:
-        return
-    whole = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - shingle + 1)
-    starts, ends = starts[:n].tolist(), (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
-    for at in range(0, n, SLICE):
-        parts = [whole[a:b] for a, b in zip(starts[at : at + SLICE], ends[at : at + SLICE], strict=True)]
-        yield np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), "<u8", len(parts))
-
-
-def majority(slices: Iterable[np.ndarray]) -> int:
-    counts, n = np.zeros(64, np.int64), 0
-    for hashes in slices:
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        n += len(hashes)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -152,38 +126,26 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for rows, texts in chunks(batches):
-        prints, sets = [], []
-        for text in texts:
-            slices = list(shingle_hashes(text, shingle))
-            prints.append(majority(slices))
-            sets.append(np.unique(np.concatenate(slices)).view(np.int64) if slices else np.zeros(1, np.int64))
-        sizes = [len(s) for s in sets]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(sets)))
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), lists], ["row", "fp", "n", "set"])
-
-
 def similar_rows(rows: DataFrame, text_col: str = "text", shingle: int = STAGE_SHINGLE, radius: int = RADIUS, pairwise: int = PAIRWISE) -> DataFrame:
-    """rows with a distinct long `_row` -> (node, component) of the rows linked by a similarity of 0.8 or more, rows without a link left out.
+    """rows with a distinct long `_row`, staged -> (node, component) of the rows linked by a similarity of 0.8 or more, rows without a link left out.
 
     Fingerprints within the radius and the least row of each shared prefix shingle
     give first candidates, linear in the input. What they link isn't compared
     again; all other pairs that share a prefix shingle are.
     """
-    sets = stage(rows.select("_row", text_col).mapInArrow(partial(_shingle_sets, shingle=shingle), "row long, fp long, n int, set array<long>"), "shingle-sets")
-    reps = stage(sets.groupBy("fp").agg(F.min("row").alias("rep")), "stage-reps")
-    equal = sets.select("fp", "row").join(reps.hint("merge"), "fp").where("row <> rep").select(F.col("rep").alias("u"), F.col("row").alias("v"))
+    texts = rows.select(F.col("_row").alias("row"), F.col(text_col).alias("text"))
+    prints, counts = summaries(texts, shingle)
+    reps = stage(prints.groupBy("fp").agg(F.min("row").alias("rep")), "stage-reps")
+    equal = prints.join(reps.hint("merge"), "fp").where("row <> rep").select(F.col("rep").alias("u"), F.col("row").alias("v"))
     within = linked_pairs(reps, radius, pairwise).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    shared = shared_prefixes(sets)
+    shared = shared_prefixes(texts, counts, shingle)
     first = stage(equal.unionByName(within).unionByName(star_pairs(shared)).distinct(), "first-pairs")
-    links = stage(similar(first, sets), "first-links")
+    links = similar(first, texts, shingle)
     rest = stage(crossing_pairs(shared, connected_components(links), first), "rest-pairs")
     for used in (shared, first, reps):
         discard(used)
-    more = stage(similar(rest, sets), "rest-links")
+    more = similar(rest, texts, shingle)
     discard(rest)
-    discard(sets)
     found = connected_components(links.unionByName(more))
     discard(links)
     discard(more)
@@ -193,8 +155,9 @@ def similar_rows(rows: DataFrame, text_col: str = "text", shingle: int = STAGE_S
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each group of similar texts the row with the least id; null ids come last, and rows are told apart by a key of their own."""
     rows = stage(wrapped(docs), "near-rows")
-    texts = rows.select("_row", F.col(f"_doc.`{text_col}`").alias("text"))
-    named = rows.select("_row", F.col(f"_doc.`{id_col}`").alias("_id")).join(similar_rows(texts).hint("merge"), F.col("_row") == F.col("node"), "left").select("_row", "_id", F.coalesce("component", "_row").alias("_component"))
+    found = stage(similar_rows(rows.select("_row", F.col(f"_doc.`{text_col}`").alias("text"))), "near-groups")
+    named = found.join(rows.select("_row", F.col(f"_doc.`{id_col}`").alias("_id")).hint("merge"), F.col("node") == F.col("_row"))
     first = F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_row")).alias("_first")
-    kept = named.groupBy("_component").agg(first).select(F.col("_first._row").alias("_row"))
-    return rows.join(kept.hint("merge"), "_row", "left_semi").select("_doc.*")
+    kept = named.groupBy("component").agg(first).select(F.col("_first._row").alias("node"))
+    dropped = stage(found.join(kept.hint("merge"), "node", "left_anti").select(F.col("node").alias("_row")), "near-dropped")
+    return with_keys(rows, dropped, "_row", "left_anti").select("_doc.*")
