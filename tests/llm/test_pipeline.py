@@ -8,8 +8,8 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from wharfline.llm import bpe, exact_dedup, mixing, quality_classifier, simhash
-from wharfline.llm.common import documents, labels
+from wharfline.llm import bpe, exact_dedup, mixing, quality_classifier, shingle_join, shingles, simhash
+from wharfline.llm.common import documents, labels, stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,6 +91,26 @@ def test_near_stage_finds_every_similar_pair(spark):
     assert ids(simhash.keep_one_of_each(frame)) == brute_kept(rows)
 
 
+def test_busy_shingles_are_shared_like_others(spark):
+    random = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in random.integers(0, 12, 40)) for _ in range(60)] + ["", None, "a b"]
+    frame = stage(spark.createDataFrame(list(enumerate(texts)), "row long, text string"), "test-texts")
+    _, counts = shingle_join.summaries(frame, 2)
+    calm, busy = (sorted(map(tuple, shingle_join.shared_prefixes(frame, counts, 2, hot).collect())) for hot in (20_000, 0))
+    assert calm == busy and len(calm) > 60
+
+
+def test_sketches_never_rule_out_a_similar_pair():
+    random = np.random.default_rng(5)
+    for size in (1, 8, 60, 900, 30_000):
+        base = np.unique(random.integers(0, 1 << 63, size, np.uint64))
+        for part in (0.0, 0.05, 0.1, 0.2, 0.9):
+            other = np.unique(np.concatenate([base[int(part * len(base)) :], random.integers(0, 1 << 63, int(part * size), np.uint64)]))
+            apart = sum(int(a ^ b).bit_count() for a, b in zip(shingle_join.sketch(base).view("<u8"), shingle_join.sketch(other).view("<u8"), strict=True))
+            assert apart <= len(np.setxor1d(base, other))
+    assert shingle_join.sketch(shingles.shingle_set("", 5)[1]).shape == (32,)
+
+
 def test_near_stage_tells_rows_apart_where_ids_are_null_or_repeat(spark):
     base = [f"w{k}" for k in range(50)]
     near = [" ".join([*base[:-1], f"x{k}"]) for k in range(4)]

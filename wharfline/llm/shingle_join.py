@@ -9,6 +9,11 @@ settles the order, its errors cost time and no pair.
 A set whose shingles are nearly all frequent still meets many others. Hot shingles are
 joined to their least row by a broadcast; the join of what isn't linked yet is a sort-merge
 join, which Spark splits where one shingle is hot.
+
+Candidates are first compared by sketches: for each of 2^11 hash values whether the set
+holds an odd number of shingles there. Bits that differ are at most as many as shingles that
+one set alone holds, so a pair whose sketches differ in more than the similarity allows is out
+for certain, and whole sets are built and shuffled for the other pairs alone.
 """
 
 from __future__ import annotations
@@ -21,41 +26,52 @@ import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from wharfline.llm.common import chunks, discard, join_per_key, stage, with_keys
+from wharfline.llm.common import HOT_PART, HOT_ROWS, chunks, discard, join_per_key, stage, with_keys
 from wharfline.llm.shingles import shingle_set
 
 COUNT_BITS = 17
+#: Bits of a set's sketch, 8 bytes for 64 of them.
+SKETCH_BITS = 1 << 11
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the hashes falls on each bit, as longs."""
+    odd = np.bincount((hashes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
 def _summaries(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     counts, shift = np.zeros(1 << COUNT_BITS, np.int64), np.uint64(64 - COUNT_BITS)
 
-    def columns(rows: list | None, prints: list | None, ranges: np.ndarray | None, n: np.ndarray | list) -> pa.RecordBatch:
-        kinds = (rows, pa.int64()), (prints, pa.int64()), (ranges, pa.int32()), (n, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.nulls(len(n), k) if x is None else pa.array(x, k) for x, k in kinds], ["row", "fp", "range", "n"])
+    def columns(rows: list | None, prints: list | None, sketches: list | None, ranges: np.ndarray | None, n: np.ndarray | list) -> pa.RecordBatch:
+        kinds = (rows, pa.int64()), (prints, pa.int64()), (sketches, pa.list_(pa.int64())), (ranges, pa.int32()), (n, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.nulls(len(n), k) if x is None else pa.array(x, k) for x, k in kinds], ["row", "fp", "sketch", "range", "n"])
 
     for rows, texts in chunks(batches):
-        prints, sizes = [], []
+        prints, sketches, sizes = [], [], []
         for text in texts:
             fp, hashes = shingle_set(text, shingle)
             prints.append(fp)
+            sketches.append(sketch(hashes))
             sizes.append(len(hashes))
             ranges, n = np.unique((hashes >> shift).astype(np.int32), return_counts=True)
             counts[ranges] += n
-        yield columns(rows, prints, None, sizes)
+        yield columns(rows, prints, sketches, None, sizes)
     ranges = np.flatnonzero(counts)
-    yield columns(None, None, ranges, counts[ranges])
+    yield columns(None, None, None, ranges, counts[ranges])
 
 
 def summaries(texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """texts (row, text) -> (row, fp), and (range, n): how many shingles of all sets fall in each hash range. Each task adds up its own ranges."""
-    both = stage(texts.mapInArrow(partial(_summaries, shingle=shingle), "row long, fp long, range int, n long"), "shingle-summaries")
+    """texts (row, text) -> (row, fp, sketch, n shingles), and (range, n): how many shingles of all sets fall in each hash range. Each task adds up its own ranges."""
+    kind = "row long, fp long, sketch array<long>, range int, n long"
+    both = stage(texts.mapInArrow(partial(_summaries, shingle=shingle), kind), "shingle-summaries")
     ranges = both.where("range is not null").groupBy("range").agg(F.sum("n").alias("n"))
-    return both.where("range is null").select("row", "fp"), ranges
+    return both.where("range is null").select("row", "fp", "sketch", "n"), ranges
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, counts: Broadcast) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, counts: Broadcast, many: int) -> Iterator[pa.RecordBatch]:
     table, shift = counts.value, np.uint64(64 - COUNT_BITS)
     for rows, texts in chunks(batches):
         sets = [shingle_set(text, shingle)[1] for text in texts]
@@ -65,21 +81,33 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, counts: Broadcast
         place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
         taken = place < np.repeat(n - (4 * n + 4) // 5 + 1, n)
         of = of[taken]
+        prefix = hashes[order][taken]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hashes.view(np.int64)[order][taken]), pa.array(ids[of]), pa.array(n[of].astype(np.int32)), pa.array(place[taken].astype(np.int32))], ["shingle", "row", "n", "place"]
+            [pa.array(prefix.view(np.int64)), pa.array(ids[of]), pa.array(n[of].astype(np.int32)), pa.array(place[taken].astype(np.int32)), pa.array(table[prefix >> shift] > many)],
+            ["shingle", "row", "n", "place", "busy"],
         )
 
 
-def shared_prefixes(texts: DataFrame, ranges: DataFrame, shingle: int) -> DataFrame:
-    """texts (row, text) -> (shingle, row, n, place, least, least_n) of the prefix shingles that two rows or more hold."""
+def shared_prefixes(texts: DataFrame, ranges: DataFrame, shingle: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """texts (row, text) -> (shingle, row, n, place, least, least_n) of the prefix shingles that two rows or more hold.
+
+    A shingle of a hash range with few shingles is held by few rows, so a window finds its least row with one shuffle.
+    Those of busy ranges are aggregated with map-side combination first, and the hot ones among them broadcast.
+    """
     found = ranges.toArrow()  # 2^17 rows of 12 bytes at most
     table = np.zeros(1 << COUNT_BITS, np.int64)
     table[found.column("range").to_numpy()] = found.column("n").to_numpy()
     counts = texts.sparkSession.sparkContext.broadcast(table)
-    held = stage(texts.mapInArrow(partial(_prefixes, shingle=shingle, counts=counts), "shingle long, row long, n int, place int"), "prefixes")
-    least = held.groupBy("shingle").agg(F.min(F.struct("row", "n")).alias("_l"), F.count("*").alias("_c")).where("_c > 1")
+    many = max(hot_rows, int(table.sum()) // 5 // HOT_PART)  # a prefix is a fifth of a set
+    held = stage(texts.mapInArrow(partial(_prefixes, shingle=shingle, counts=counts, many=many), "shingle long, row long, n int, place int, busy boolean"), "prefixes")
+    own, least_of = ["shingle", "row", "n", "place"], F.min(F.struct("row", "n"))
+    group = Window.partitionBy("shingle")
+    calm = held.where("not busy").select(*own, least_of.over(group).alias("_l"), F.count("*").over(group).alias("_c")).where("_c > 1")
+    calm = calm.select(*own, F.col("_l.row").alias("least"), F.col("_l.n").alias("least_n"))
+    busy = held.where("busy").select(*own)
+    least = busy.groupBy("shingle").agg(least_of.alias("_l"), F.count("*").alias("_c")).where("_c > 1")
     least = stage(least.select("shingle", F.col("_l.row").alias("least"), F.col("_l.n").alias("least_n"), "_c"), "least-rows")
-    shared = stage(join_per_key(held, least, ["shingle"], "_c", held.count()).drop("_c"), "shared-prefixes")
+    shared = stage(calm.unionByName(join_per_key(busy, least, ["shingle"], "_c", held.count(), hot_rows).drop("_c")), "shared-prefixes")
     counts.destroy()
     discard(held)
     discard(least)
@@ -121,13 +149,27 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sizes, pa.int32()), lists], ["row", "n", "set"])
 
 
-def similar(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (u, v), staged, whose texts have sets with a Jaccard similarity of 0.8 or more. Sets of the paired rows alone are built."""
-    wanted = stage(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "paired-rows")
-    sets = stage(with_keys(texts, wanted, "row", "left_semi").mapInArrow(partial(_sets, shingle=shingle), "row long, n int, set array<long>"), "shingle-sets")
-    left, right = (sets.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("set").alias(f"set_{c}")) for c in "uv")
-    both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(near_in_size(F.col("n_u"), F.col("n_v")))
-    out = stage(both.where(F.size(F.array_intersect("set_u", "set_v")) * 9 >= (F.col("n_u") + F.col("n_v")) * 4).select("u", "v"), "links")
+def _paired(pairs: DataFrame, sides: DataFrame) -> DataFrame:
+    """pairs (u, v) with the columns of sides (row, ...) for both, named with _u and _v."""
+    u, v = (sides.select(F.col("row").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in sides.columns if x != "row"]) for c in "uv")
+    return pairs.join(u.hint("merge"), "u").join(v.hint("merge"), "v")
+
+
+def _rows_of(pairs: DataFrame) -> DataFrame:
+    return stage(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "paired-rows")
+
+
+def similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The staged pairs (u, v), staged again, whose texts have sets with a Jaccard similarity of 0.8 or more. Sets are built for pairs alone that sketches don't rule out."""
+    wanted = _rows_of(pairs)
+    both = _paired(pairs, with_keys(prints.select("row", "n", "sketch"), wanted, "row", "left_semi"))
+    total = F.col("n_u") + F.col("n_v")
+    apart = F.aggregate(F.zip_with("sketch_u", "sketch_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    left = stage(both.where(near_in_size(F.col("n_u"), F.col("n_v")) & (apart * 9 <= total)).select("u", "v"), "pairs-by-sketch")
     discard(wanted)
-    discard(sets)
+    wanted = _rows_of(left)
+    sets = stage(with_keys(texts, wanted, "row", "left_semi").mapInArrow(partial(_sets, shingle=shingle), "row long, n int, set array<long>"), "shingle-sets")
+    out = stage(_paired(left, sets).where(F.size(F.array_intersect("set_u", "set_v")) * 9 >= total * 4).select("u", "v"), "links")
+    for used in (wanted, left, sets):
+        discard(used)
     return out

@@ -140,11 +140,11 @@ def similar_rows(rows: DataFrame, text_col: str = "text", shingle: int = STAGE_S
     within = linked_pairs(reps, radius, pairwise).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     shared = shared_prefixes(texts, counts, shingle)
     first = stage(equal.unionByName(within).unionByName(star_pairs(shared)).distinct(), "first-pairs")
-    links = similar(first, texts, shingle)
+    links = similar(first, prints, texts, shingle)
     rest = stage(crossing_pairs(shared, connected_components(links), first), "rest-pairs")
     for used in (shared, first, reps):
         discard(used)
-    more = similar(rest, texts, shingle)
+    more = similar(rest, prints, texts, shingle)
     discard(rest)
     found = connected_components(links.unionByName(more))
     discard(links)
