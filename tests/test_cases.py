@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.fixtures import CASES, case
-from wharfline.operators import decision, facts, metrics, requests, rules
+from wharfline.operators import decision, facts, metrics, reasons, requests, rules
 from wharfline.sources import cases as source
 from wharfline.sources.catalog import condition, load_catalog
 
@@ -162,6 +162,25 @@ def test_requests_reconciliation_and_escalation(spark, load):
     assert not early.faellig and early.grund_text == "noch nicht"
 
 
+def test_reasons_and_contradictions(load):
+    rows = source.case_rows(load(*CASES))
+    why = {(r.akte_id[-1], r.regel): r for r in reasons.explained(rows, CATALOG).collect()}
+    plain = {(r.akte_id[-1], r.regel): r.status for r in rules.findings(rows, CATALOG).collect()}
+    assert {k: r.status for k, r in why.items()} == plain and set(reasons.REASONS) == set(rules.RULES)
+    assert all(r.begruendung and "undefined" not in r.begruendung for r in why.values())
+    total = why["1", "VAL-01"]
+    assert total.begruendung == f"Summe {total.eingaben['berechnet']} entspricht Endbetrag {total.eingaben['rechnung.gesamt']}" and "E" not in total.eingaben["berechnet"]
+    assert json.loads(total.eingaben["rechnung.positionen"])[0]["nr"] == 1
+    bl, pack = (why["4", "TRN-01"].eingaben[p] for p in ("bill_of_lading.container_id", "packliste.container_id"))
+    assert why["4", "TRN-01"].begruendung.startswith("B/L nennt ") and bl != pack
+    assert why["6", "TRN-01"].begruendung.endswith(", aber Konfidenz unter 0.8: zuerst nachlesen")
+    made = {(r.akte_id[-1], r.grund): r for r in requests.formulate(reasons.explained(rows, CATALOG), decision.evidence(rows, CATALOG), rows, CATALOG).collect()}
+    request = made["4", "TRN-01"]
+    assert request.widerspruch == why["4", "TRN-01"].begruendung and request.stufe == "erinnerung_0"
+    assert f"\n\nBenötigt:\n- Dokument/Feld: {request.feld}\n" in request.text and f"\n- Gefundener Widerspruch: {request.widerspruch}\n- Akzeptierte Nachweise: " in request.text
+    assert made["2", "PFL-05"].widerspruch.endswith(": kein Nachweis in der Akte")
+
+
 def test_reply_is_merged_once(spark):
     docs = spark.createDataFrame([("a", "INV-1", "h1"), ("a", "PAC-1-E1", "h2")], "akte_id string, dokument_id string, hash string")
     said = spark.createDataFrame([("a", "INV-1", "p", "1")], "akte_id string, dokument string, pfad string, txt string")

@@ -48,6 +48,10 @@ def entries(catalog: Catalog) -> list[Column]:
         status = F.when(F.coalesce(value, F.lit("")) == "", ABSENT)
         if source is not None:
             status = status.when(source.isNotNull() & ~F.array_contains(accepted, F.coalesce(source, F.lit(""))), WRONG_EVIDENCE)
+        status = status.otherwise(OK)
+        # fixed texts
+        wrong = F.concat(F.lit(f"{entry['label']}: stammt aus "), F.lit("stammdaten") if source is None else source, F.lit(", zugelassen sind " + ", ".join(entry["required_evidence"])))
+        reason = F.when(status == ABSENT, f"{entry['label']}: kein Nachweis in der Akte").when(status == WRONG_EVIDENCE, wrong).otherwise(f"{entry['label']} nachgewiesen")
         when = condition(entry.get("condition"))
         applies = F.lit(True) if when is None else F.coalesce(F.col(when[0]) == when[1], F.lit(False))
         found.append(
@@ -55,7 +59,7 @@ def entries(catalog: Catalog) -> list[Column]:
                 applies,
                 F.struct(
                     F.lit(entry["id"]).alias("id"), F.lit(k).alias("ordnung"), F.lit(entry["required_data"]).alias("required_data"), F.lit(entry["label"]).alias("label"), F.lit(entry["hardness"]).alias("haerte"),
-                    accepted.alias("akzeptierte_nachweise"), status.otherwise(OK).alias("status"), F.coalesce(source if source is not None else F.lit(None), F.lit("stammdaten")).alias("quelle"),
+                    accepted.alias("akzeptierte_nachweise"), status.alias("status"), F.coalesce(source if source is not None else F.lit(None), F.lit("stammdaten")).alias("quelle"), reason.alias("begruendung"),
                 ),
             )
         )
@@ -63,7 +67,7 @@ def entries(catalog: Catalog) -> list[Column]:
 
 
 def evidence(cases: DataFrame, catalog: Catalog) -> DataFrame:
-    """A row for each case in scope and entry that applies: akte_id, id, status, haerte, quelle, ..."""
+    """A row for each case in scope and entry that applies: akte_id, id, status, haerte, quelle, begruendung, ..."""
     rows = cases.where(in_scope(catalog.evidence.get("scope"))).select("akte_id", F.explode(F.array_compact(F.array(*entries(catalog)))).alias("e"))
     return rows.select("akte_id", "e.*").withColumn("fassung", F.lit(catalog.evidence_version))
 

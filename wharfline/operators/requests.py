@@ -19,11 +19,14 @@ INPUT_FIELDS = {
 
 
 def formulate(rule_findings: DataFrame, evidence_findings: DataFrame, cases: DataFrame, catalog: Catalog) -> DataFrame:
-    """A request for each finding that isn't ok: akte_id, ord, grund, feld, adressat, adressat_kopie, anforderung, folge, betreff, text."""
+    """A request for each finding that isn't ok: akte_id, ord, grund, feld, adressat, adressat_kopie, anforderung, widerspruch, folge, stufe, betreff, text.
+
+    The contradiction is the reason of the finding, where rule_findings have one (reasons.explained)."""
     spark = cases.sparkSession
+    why = lambda found: (F.col("begruendung") if "begruendung" in found.columns else F.lit(None)).cast("string").alias("widerspruch")
     from_evidence = evidence_findings.where(F.col("status") != OK).select(
         "akte_id", F.col("ordnung").alias("ord"), F.col("id").alias("grund"), F.col("required_data").alias("feld"), F.col("label").alias("anforderung"), "status",
-        F.col("akzeptierte_nachweise").alias("nachweise"), F.when(F.col("haerte") == "hard", "Keine Freigabe der Akte").otherwise("Freigabe mit Vermerk").alias("folge"),
+        F.col("akzeptierte_nachweise").alias("nachweise"), why(evidence_findings), F.when(F.col("haerte") == "hard", "Keine Freigabe der Akte").otherwise("Freigabe mit Vermerk").alias("folge"),
     )
     default = F.lit(None).cast("string")
     for rule, field in INPUT_FIELDS.items():
@@ -33,7 +36,7 @@ def formulate(rule_findings: DataFrame, evidence_findings: DataFrame, cases: Dat
     named = F.coalesce("fehlende_pfade", "nachzulesende_pfade")
     field = F.when(named.isNotNull(), F.get(named, F.lit(0))).otherwise(default)
     from_rules = rule_findings.where(F.col("status") != OK).select(
-        "akte_id", (F.col("rang") + 100).alias("ord"), F.col("regel").alias("grund"), F.coalesce(field, "regel").alias("feld"), F.col("name").alias("anforderung"), "status", F.col("inputs").alias("nachweise"),
+        "akte_id", (F.col("rang") + 100).alias("ord"), F.col("regel").alias("grund"), F.coalesce(field, "regel").alias("feld"), F.col("name").alias("anforderung"), "status", F.col("inputs").alias("nachweise"), why(rule_findings),
         F.concat(F.when(F.col("haerte_effektiv") == "hard", "Keine Freigabe: ").otherwise("Warnung: "), F.col("konsequenz")).alias("folge"),
     )
     again = catalog.owners["rereading"]
@@ -51,11 +54,12 @@ def formulate(rule_findings: DataFrame, evidence_findings: DataFrame, cases: Dat
     part = lambda name, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"{name} "), F.col(c)))
     refs = F.array_join(F.array_compact(F.array(part("Invoice", "_inv"), part("B/L", "_bl"), part("Container", "_con"))), " / ")
     text = F.concat_ws(
-        "\n", F.concat(F.lit("An: "), "adressat", F.coalesce(F.concat(F.lit(" (Kopie: "), "adressat_kopie", F.lit(")")), F.lit(""))), F.concat(F.lit("- Dokument/Feld: "), "feld"),
-        F.concat(F.lit("- Grund der Anforderung: "), "anforderung", F.lit(" ("), "grund", F.lit(")")), F.concat(F.lit("- Akzeptierte Nachweise: "), F.array_join("nachweise", ", ")),
-        F.concat(F.lit("- Folge bei Fristüberschreitung: "), "folge"), F.concat(F.lit("Referenzen: "), F.when(refs != "", refs).otherwise(F.col("akte_id").cast("string"))),
+        "\n", F.concat(F.lit("An: "), "adressat", F.coalesce(F.concat(F.lit(" (Kopie: "), "adressat_kopie", F.lit(")")), F.lit(""))), F.lit("\nBenötigt:"), F.concat(F.lit("- Dokument/Feld: "), "feld"),
+        F.concat(F.lit("- Grund der Anforderung: "), "anforderung", F.lit(" ("), "grund", F.lit(")")), F.concat(F.lit("- Gefundener Widerspruch: "), "widerspruch"),
+        F.concat(F.lit("- Akzeptierte Nachweise: "), F.when(F.size("nachweise") > 0, F.array_join("nachweise", ", ")).otherwise("siehe Regel")),
+        F.concat(F.lit("- Folge bei Fristüberschreitung: "), "folge"), F.concat(F.lit("\nReferenzen: "), F.when(refs != "", refs).otherwise(F.col("akte_id").cast("string"))),
     )
-    return out.select("akte_id", "ord", "grund", "feld", "adressat", "adressat_kopie", "anforderung", "folge", "status", "betreff", text.alias("text"))
+    return out.select("akte_id", "ord", "grund", "feld", "adressat", "adressat_kopie", "anforderung", "widerspruch", "folge", "status", F.lit(catalog.owners["escalation"][0]["stufe"]).alias("stufe"), "betreff", text.alias("text"))
 
 
 def last_per_key(rows: DataFrame, order: str = "ord") -> DataFrame:

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wharfline.operators import decision, requests, rules
+from wharfline.operators import decision, reasons, requests, rules
 from wharfline.plans import mapping
 from wharfline.sources.catalog import load_catalog
 
@@ -162,13 +162,70 @@ def request_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 REQUEST_SQL = FOUND_SQL + """SELECT kennung AS grund, status = 're_extraction_required' AS nachlesen, count(*) AS n FROM found WHERE status <> 'ok' GROUP BY ALL"""
 
 
+LATER = "Konfidenz unter 0.8: zuerst nachlesen"
+MOVED = "CASE WHEN h.abd_container <> h.pack_container THEN 'Container: ABD ' || h.abd_container || ', Packliste ' || h.pack_container END"
+#: rule -> (join of texts t of lines, text if it cannot be checked, if it holds, if it doesn't, and after rereading is asked for; null: the violation and a remark)
+REASON_SQL = {
+    "VAL-03": (
+        "LEFT JOIN (SELECT akte_id, string_agg(CAST(nr AS STRING), ', ' ORDER BY nr) AS list FROM lines WHERE einzelpreis = 0 AND zollwert IS NULL AND methode IS NULL GROUP BY akte_id) t ON t.akte_id = c.akte_id",
+        "'Rechnungspositionen fehlen'", "'Jede kostenlose Position ist bewertet'", "'Position(en) ' || t.list || ' mit Preis 0 ohne Zollwert und ohne Bewertungsmethode'", None,
+    ),
+    "ORG-03": (
+        "", "NULL", "CASE WHEN c.akte_id % 17 = 0 THEN 'A.TR liegt vor, setzt aber keinen Ursprung' ELSE 'Keine A.TR in der Akte' END",
+        "CASE WHEN h.nachweis_typ = 'atr' THEN 'Der Präferenznachweis ist als A.TR erfasst; A.TR ist ein Freiverkehrs-, kein Ursprungsnachweis' ELSE 'Präferenz beansprucht, aber nur eine A.TR liegt vor — sie setzt keinen Präferenzursprung' END", None,
+    ),
+    "ORG-06": (
+        "", "CASE WHEN h.gesamt IS NULL THEN 'Wert der Ursprungserzeugnisse fehlt' ELSE 'Schwelle in EUR, Rechnung in ' || h.waehrung || ': Umrechnung nicht implementiert' END",
+        """CASE WHEN h.nachweis_typ IS DISTINCT FROM 'origin_declaration' THEN 'Kein Ursprungserklärungs-Nachweis, Wertgrenze nicht einschlägig' WHEN h.gesamt <= 6000 THEN 'Ursprungswert unter der Schwelle, jeder Ausführer darf erklären'
+           WHEN h.rex LIKE 'DEREX%' THEN 'Über der Schwelle, REX ' || h.rex || ' strukturell gültig' ELSE 'Über der Schwelle, Ermächtigter Ausführer erfasst' END""",
+        "CASE WHEN h.rex IS NOT NULL THEN 'REX-Nummer ' || h.rex || ' entspricht nicht dem Format' ELSE 'Ursprungswert über 6000 EUR ohne REX-Nummer oder Ermächtigten Ausführer' END", None,
+    ),
+    "CLS-02": (
+        """LEFT JOIN (SELECT akte_id, string_agg(code, ', ' ORDER BY nr) AS every_code, string_agg(CASE WHEN length(code) <> 8 THEN code END, ', ' ORDER BY nr) AS short_codes
+           FROM (SELECT akte_id, nr, CASE WHEN akte_id % 31 = 0 AND nr = 1 THEN hs6 ELSE hs6 || '00' END AS code FROM lines) coded GROUP BY akte_id) t ON t.akte_id = c.akte_id""",
+        "CASE WHEN c.anm_richtung IS NULL OR h.n_lines IS NULL THEN 'Anmeldedaten fehlen' ELSE 'Keine Stellenzahl für Richtung ' || c.anm_richtung || ' hinterlegt' END",
+        "'Alle Warennummern 8-stellig'",
+        "'Warennummer(n) ' || CASE WHEN c.anm_richtung = 'import_de' THEN t.every_code || ' nicht 11-stellig für ' ELSE t.short_codes || ' nicht 8-stellig für ' END || c.anm_richtung", None,
+    ),
+    "QTY-01": (
+        """LEFT JOIN (SELECT l.akte_id, string_agg(CASE WHEN p.akte_id IS NULL THEN 'Position ' || CAST(l.nr AS STRING) || ' fehlt in der Packliste' WHEN l.menge <> p.menge - coalesce(p.offen, 0)
+           THEN 'Position ' || CAST(l.nr AS STRING) || ': Rechnung ' || CAST(CAST(l.menge AS BIGINT) AS STRING) || ' ≠ Packliste ' || CAST(CAST(p.menge AS BIGINT) AS STRING) || CASE WHEN p.offen IS NULL THEN '' ELSE ' − Backorder 1' END END, '; ' ORDER BY l.nr) AS list
+           FROM lines l LEFT JOIN packing p ON p.akte_id = l.akte_id AND p.nr = l.nr GROUP BY l.akte_id) t ON t.akte_id = c.akte_id""",
+        "'Rechnungs- oder Packlistenpositionen fehlen'", "'Mengen je Position identisch'", "t.list", None,
+    ),
+    "TRN-01": (
+        "", "'Containernummer auf B/L oder Packliste fehlt'", "'Container ' || h.bl_container || ' auf beiden Belegen'", "'B/L nennt ' || h.bl_container || ', Packliste ' || h.pack_container",
+        f"'B/L nennt ' || h.bl_container || ', Packliste ' || h.pack_container || ', aber {LATER}'",
+    ),
+    "REF-03": ("", "NULL", "'Alle Fakten stammen aus finalen Dokumenten'", "'Nur Entwurf vorhanden für: bill_of_lading (bill_of_lading, Status draft) — Draft darf keine Anmeldegrundlage sein'", None),
+    "CUS-05": (
+        """LEFT JOIN (SELECT l.akte_id, string_agg(CASE WHEN substr(d.warennummer, 1, 6) <> l.hs6 THEN 'Position ' || CAST(l.nr AS STRING) || ': Rechnung ' || l.hs6 || ', ABD ' || substr(d.warennummer, 1, 6) END, '; ' ORDER BY l.nr) AS other,
+           string_agg(CASE WHEN d.akte_id IS NULL THEN 'Position ' || CAST(l.nr AS STRING) || ' nur auf der Rechnung' END, '; ' ORDER BY l.nr) AS alone
+           FROM lines l LEFT JOIN declared d ON d.akte_id = l.akte_id AND d.nr = l.nr GROUP BY l.akte_id) t ON t.akte_id = c.akte_id""",
+        "'Rechnungspositionen fehlen'", "CAST(h.n_lines AS STRING) || ' Positionen auf HS-6 angemeldet wie berechnet; Container ' || h.abd_container || ' auf ABD und Packliste'", f"concat_ws('; ', t.other, t.alone, {MOVED})", None,
+    ),
+}
+
+
+def reason_select(rule: str) -> str:
+    joins, gap, bad, unsure = RULE_SQL[rule]
+    texts, unchecked, fine, broken, reread = REASON_SQL[rule]
+    again = reread or f"{broken} || ' — {LATER}'"
+    return f"""SELECT c.akte_id, '{rule}' AS regel, CASE WHEN {gap} THEN {unchecked} WHEN NOT coalesce({bad}, FALSE) THEN {fine} WHEN coalesce({unsure}, FALSE) THEN {again} ELSE {broken} END AS begruendung
+  FROM cases c JOIN heads h ON h.akte_id = c.akte_id {joins} {texts} WHERE c.tag >= 0"""
+
+
+def reason_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reasons.explained(mapping.case_rows(spark, sf_dir), load_catalog(), list(REASON_SQL)).select("akte_id", "regel", "begruendung")
+
+
 def _register() -> tuple[dict, dict]:
     queries, sql = {}, {}
     for rule in RULE_SQL:
         name = "rule_" + rule.lower().replace("-", "_")
         queries[name], sql[name] = partial(rule_query, rule), mapping.oracle(rule_select(rule))
-    queries |= {"evidence_matrix": evidence_query, "case_decision": decision_query, "finding_status_counts": status_counts, "override_audit": audit_query, "request_reasons": request_query}
-    sql |= {"evidence_matrix": mapping.oracle(EVIDENCE_SQL), "case_decision": mapping.oracle(DECISION_SQL), "finding_status_counts": mapping.oracle(COUNTS_SQL), "override_audit": mapping.oracle(AUDIT_SQL), "request_reasons": mapping.oracle(REQUEST_SQL)}
+    queries |= {"evidence_matrix": evidence_query, "case_decision": decision_query, "finding_status_counts": status_counts, "override_audit": audit_query, "request_reasons": request_query, "finding_reasons": reason_query}
+    sql |= {"evidence_matrix": mapping.oracle(EVIDENCE_SQL), "case_decision": mapping.oracle(DECISION_SQL), "finding_status_counts": mapping.oracle(COUNTS_SQL), "override_audit": mapping.oracle(AUDIT_SQL), "request_reasons": mapping.oracle(REQUEST_SQL), "finding_reasons": mapping.oracle("\nUNION ALL ".join(map(reason_select, REASON_SQL)))}
     return queries, sql
 
 
