@@ -6,6 +6,7 @@ from wharfline.llm.bpe import op3_bpe
 from wharfline.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from wharfline.llm.language_id import op6_language_id
 from wharfline.llm.lm_scoring import op1_lm_scoring
+from wharfline.llm.minhash import op12_minhash
 from wharfline.llm.mixing import OP8_SQL, op8_mixing
 from wharfline.llm.quality_classifier import op10_quality_classifier
 from wharfline.llm.quality_rules import op5_quality_rules
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_minhash": op12_minhash,
 }
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op8_mixing": OP8_SQL}
