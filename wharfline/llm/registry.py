@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wharfline.llm.alignment import op13_alignment
 from wharfline.llm.bpe import op3_bpe
 from wharfline.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from wharfline.llm.language_id import op6_language_id
@@ -13,6 +14,7 @@ from wharfline.llm.quality_rules import op5_quality_rules
 from wharfline.llm.sharding import op9_sharding
 from wharfline.llm.simhash import op7_simhash
 from wharfline.llm.token_output import op4_token_output
+from wharfline.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_whitening": op11_whitening,
     "op12_minhash": op12_minhash,
+    "op13_alignment": op13_alignment,
 }
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op8_mixing": OP8_SQL}
