@@ -14,10 +14,14 @@ ones, less what two unlike hashes give by chance, estimates the similarity, and
 below `LEAST_ESTIMATE` (over five standard deviations under 0.8) go. All others are
 confirmed on their full sets.
 
-Work is done on distinct sets, so copies meet once. A set is first compared with the
-least set of its buckets that it shares most bands with, one pair each; what those pairs
-link isn't compared again. Other pairs of a bucket are compared only if it still holds
-different components. Keys with very many rows are broadcast, not shuffled.
+Work is done on distinct sets, so copies meet once. A bucket's centre is the set whose
+buckets hold most sets in all: among edited copies the one closest to their origin. A set
+is compared with two centres, one that it shares most bands with and the most central one,
+and what those pairs link isn't compared again. Buckets that still hold different
+components are compared in full, by a prefix filter that is exact: of two sets that
+similar, the rarest fifth of each holds a hash of the other's, and enough can follow it.
+Edits are rare, so heavily edited copies of one text don't meet there. Keys with very many
+rows are broadcast, not shuffled.
 
 Defined results: fewer words than a shingle make one shingle; null and wordless texts have
 an empty set and are linked with nothing, not even each other; equal ids or rows repeat in
@@ -35,6 +39,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -51,6 +56,8 @@ MANTISSA_BITS = 10
 #: Registers of a band, 16 bits each, are one 64-bit number.
 BAND = 4
 LEAST_ESTIMATE = 0.6
+#: Hashes are ordered by how many fall in the same of 2^19 ranges.
+COUNT_BITS = 19
 _REST = np.uint64((1 << (64 - BUCKET_BITS)) - 1)
 _EXACT = 53  # bits that a double holds
 _PROBES = np.stack([np.random.default_rng(k).permutation(BUCKETS) for k in range(BUCKETS)])
@@ -113,6 +120,7 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BUCKETS) for c in ("regs_u", "regs_v"))
         likely = estimates(a, b, batch.column("n_u").to_numpy().astype(float), batch.column("n_v").to_numpy().astype(float)) >= LEAST_ESTIMATE
+        likely &= (bands(a) == bands(b)).any(axis=1)
         yield batch.select(["u", "v"]).filter(pa.array(likely))
 
 
@@ -124,6 +132,29 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), lists], ["d1", "d2", "set"])
 
 
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    for batch in batches:
+        counts += np.bincount(batch.column(0).flatten().to_numpy().view(np.uint64) >> np.uint64(64 - COUNT_BITS), minlength=len(counts))
+    held = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(counts[held])], ["range", "n"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], counts: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Each set's hashes, the rarest ranges first, up to where a similar set must have had one of them: hash, node, n, place."""
+    for batch in batches:
+        hashes, n = batch.column("set").flatten().to_numpy().view(np.uint64), batch.column("n").to_numpy().astype(np.int64)
+        of = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((hashes, counts.value[hashes >> np.uint64(64 - COUNT_BITS)], of))
+        place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        taken = place < np.repeat(n - (4 * n + 4) // 5 + 1, n)
+        of = of[taken]
+        nodes = batch.column("node").to_numpy()[of]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hashes[order][taken].view(np.int64)), pa.array(nodes), pa.array(n[of].astype(np.int32)), pa.array(place[taken].astype(np.int32))], ["hash", "node", "n", "place"]
+        )
+
+
 def _paired(pairs: DataFrame, sides: DataFrame) -> DataFrame:
     """pairs (u, v) with the columns of sides (node, ...) for both, named with _u and _v."""
     u, v = (sides.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in sides.columns if x != "node"]) for c in "uv")
@@ -134,56 +165,87 @@ def _near_in_size(a: str, b: str) -> F.Column:
     return F.least(a, b) * 5 >= F.greatest(a, b) * 4
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The staged pairs (u, v), staged again, whose sets have a Jaccard similarity of 0.8 or more. Sets are built again for pairs alone that
-    sizes and registers don't rule out: texts are found by their ids' hashes, and told apart by the digests of their sets."""
+def full_sets(sets: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """node, n and the whole set of the staged nodes. Texts are found by their ids' hashes, and told apart by the digests of their sets."""
+    wanted = stage(with_keys(sets.select("node", "d1", "d2", "n", F.xxhash64("id").alias("named")), nodes, "node", "left_semi"), "minhash-wanted")
+    named = stage(wanted.select("named").distinct(), "minhash-named")
+    found = with_keys(texts.withColumn("named", F.xxhash64("id")), named, "named", "left_semi").select("id", "text")
+    built = found.mapInArrow(partial(_sets, shingle=shingle), "d1 long, d2 long, set array<long>").groupBy("d1", "d2").agg(F.first("set").alias("set"))
+    full = stage(built.join(wanted.hint("merge"), ["d1", "d2"]).select("node", "n", "set"), "minhash-full")
+    discard(wanted)
+    discard(named)
+    return full
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, full: DataFrame) -> DataFrame:
+    """Of pairs (u, v), staged, those whose registers and then whole sets are similar, staged."""
     nodes = stage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "minhash-nodes")
     both = _paired(pairs, with_keys(sets.select("node", "n", "regs"), nodes, "node", "left_semi"))
     likely = stage(both.where(_near_in_size("n_u", "n_v")).mapInArrow(_estimated, "u long, v long"), "minhash-likely")
     discard(nodes)
     nodes = stage(likely.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "minhash-nodes")
-    wanted = stage(with_keys(sets.select("node", "d1", "d2", "n", F.xxhash64("id").alias("named")), nodes, "node", "left_semi"), "minhash-wanted")
-    named = stage(wanted.select("named").distinct(), "minhash-named")
-    found = with_keys(texts.withColumn("named", F.xxhash64("id")), named, "named", "left_semi").select("id", "text")
-    built = found.mapInArrow(partial(_sets, shingle=shingle), "d1 long, d2 long, set array<long>").groupBy("d1", "d2").agg(F.first("set").alias("set"))
-    built = stage(built.join(wanted.hint("merge"), ["d1", "d2"]).select("node", "n", "set"), "minhash-full")
     common = F.size(F.array_intersect("set_u", "set_v"))
-    out = stage(_paired(likely, built).where(common * 9 >= (F.col("n_u") + F.col("n_v")) * 4).select("u", "v"), "minhash-links")  # 100 i >= 80 (n_u + n_v - i)
-    for used in (nodes, likely, wanted, named, built):
+    out = _paired(likely, with_keys(full, nodes, "node", "left_semi")).where(common * 9 >= (F.col("n_u") + F.col("n_v")) * 4)  # 100 i >= 80 (n_u + n_v - i)
+    out = stage(out.select("u", "v"), "minhash-links")
+    for used in (nodes, likely):
         discard(used)
     return out
 
 
-def crossing_pairs(shared: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
-    """(u, v) of all sets near in size that share a bucket, aren't linked (node, component) and aren't in `tried`."""
-    named = shared.select("key", "node", "n").join(found.hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    named = stage(named, "minhash-components")
+def centre_pairs(shared: DataFrame, total: int, hot_rows: int) -> DataFrame:
+    """(u, v): each set with the centre that it shares most bands with, and with its most central one. shared: key, node, members."""
+    degrees = shared.groupBy("node").agg(F.sum("members").alias("degree"))
+    ranked = shared.join(degrees.hint("merge"), "node")
+    centres = ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("c"), F.count("*").alias("members"))
+    centres = stage(centres.select("key", "members", F.col("c.degree").alias("degree"), F.col("c.node").alias("centre")), "minhash-centres")
+    near = join_per_key(shared.select("key", "node"), centres, ["key"], "members", total, hot_rows).where("node <> centre")
+    chosen = near.groupBy("node").agg(F.array(F.mode("centre", True), F.max_by("centre", F.struct("degree", "centre"))).alias("c"))
+    return chosen.select("node", F.explode(F.array_distinct("c")).alias("c")).select(F.least("c", "node").alias("u"), F.greatest("c", "node").alias("v")).distinct()
+
+
+def crossing_pairs(shared: DataFrame, found: DataFrame, full: DataFrame, tried: DataFrame) -> DataFrame:
+    """(u, v) of all sets of mixed buckets that aren't linked (node, component), pass the prefix filter and aren't in `tried`; staged."""
+    spark = full.sparkSession
+    named = stage(shared.select("key", "node").join(found.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "minhash-components")
     mixed = named.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("key")
-    mixed = stage(named.join(mixed.hint("merge"), "key"), "minhash-mixed")
-    discard(named)
-    a, b = mixed.alias("a"), mixed.alias("b")
-    met = a.join(
+    nodes = stage(named.join(mixed.hint("merge"), "key").select("node", "component").distinct(), "minhash-mixed")
+    sets = stage(with_keys(full, nodes.select("node"), "node", "left_semi"), "minhash-mixed-sets")
+    ranges = sets.select("set").mapInArrow(_ranges, "range int, n long").groupBy("range").agg(F.sum("n").alias("n")).toArrow()  # 2^19 rows of 12 bytes at most
+    table = np.zeros(1 << COUNT_BITS, np.int64)
+    table[ranges.column("range").to_numpy()] = ranges.column("n").to_numpy()
+    counts = spark.sparkContext.broadcast(table)
+    held = stage(sets.mapInArrow(partial(_prefixes, counts=counts), "hash long, node long, n int, place int").join(nodes.hint("merge"), "node"), "minhash-prefixes")
+    counts.destroy()
+    several = held.groupBy("hash").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("hash")
+    met = stage(held.join(several.hint("merge"), "hash"), "minhash-met")
+    a, b = met.alias("a"), met.alias("b")
+    # where two sets share their first hash, all they can have in common comes from there on
+    common = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    pairs = a.join(
         b.hint("merge"),
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _near_in_size("a.n", "b.n"),
+        (F.col("a.hash") == F.col("b.hash")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
+        & _near_in_size("a.n", "b.n") & (common * 9 >= (F.col("a.n") + F.col("b.n")) * 4),
     )
-    return met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(tried.hint("merge"), ["u", "v"], "left_anti")
+    out = stage(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(tried.hint("merge"), ["u", "v"], "left_anti"), "minhash-rest")
+    for used in (named, nodes, sets, held, met):
+        discard(used)
+    return out
 
 
 def linked_sets(sets: DataFrame, texts: DataFrame, shingle: int = SHINGLE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Staged distinct sets (node, id, d1, d2, n, regs) -> (node, component) of those that are linked."""
     keyed = sets.select("node", "regs").mapInArrow(_bands, "key long, node long")
-    buckets = stage(keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("members")).where("members > 1"), "minhash-buckets")
-    shared = join_per_key(keyed, buckets, ["key"], "members", sets.count() * (BUCKETS // BAND), hot_rows)
-    nearest = stage(shared.where("node <> least").groupBy("node").agg(F.mode("least", True).alias("least")), "minhash-nearest")
-    first = nearest.select(F.col("least").alias("u"), F.col("node").alias("v"))
-    links = confirmed(first, sets, texts, shingle)
-    sized = shared.select("key", "node").join(sets.select("node", "n").hint("merge"), "node")
-    rest = stage(crossing_pairs(sized, connected_components(links), first), "minhash-rest")
-    for used in (buckets, nearest):
-        discard(used)
-    more = confirmed(rest, sets, texts, shingle)
+    total = sets.count() * (BUCKETS // BAND)
+    buckets = stage(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "minhash-buckets")
+    shared = stage(join_per_key(keyed, buckets, ["key"], "members", total, hot_rows), "minhash-shared")
+    nodes = stage(shared.select("node").distinct(), "minhash-shared-nodes")
+    full = full_sets(sets, nodes, texts, shingle)
+    first = stage(centre_pairs(shared, total, hot_rows), "minhash-first")
+    links = confirmed(first, sets, full)
+    rest = crossing_pairs(shared, connected_components(links), full, first)
+    more = confirmed(rest, sets, full)
     out = connected_components(links.unionByName(more))
-    for used in (rest, links, more):
+    for used in (buckets, shared, nodes, full, first, rest, links, more):
         discard(used)
     return out
 
