@@ -60,7 +60,8 @@ LEAST_ESTIMATE = 0.6
 COUNT_BITS = 19
 _REST = np.uint64((1 << (64 - BUCKET_BITS)) - 1)
 _EXACT = 53  # bits that a double holds
-_PROBES = np.stack([np.random.default_rng(k).permutation(BUCKETS) for k in range(BUCKETS)])
+#: A bucket's own register comes first.
+_PROBES = np.stack([np.append(k, np.random.default_rng(k).permutation(np.delete(np.arange(BUCKETS), k))) for k in range(BUCKETS)])
 _SALTS = np.random.default_rng(42).integers(0, 1 << 64, BUCKETS // BAND, np.uint64)
 
 
