@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import copy
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +190,22 @@ def test_reply_is_merged_once(spark):
     d, s = source.merge_reply(docs, said, new, more)
     assert sorted(r.dokument_id for r in d.collect()) == ["BOL-1-E2", "INV-1", "PAC-1-E1", "X-1-E2"]
     assert sorted((r.dokument, r.txt) for r in s.collect()) == [("BOL-1-E2", "3"), ("INV-1", "1")]
+
+
+def test_append_with_two_unique_keys(spark, tmp_path):
+    """As inserts one after the other: a row that stays out keeps nobody out, nulls share nothing, and chains are as long as they are."""
+    rng = random.Random(3)
+    pick = lambda n: rng.choice([None, *[f"v{k}" for k in range(n)]])
+    rows = [(f"c{rng.randrange(6)}", pick(9), pick(9), k) for k in range(400)] + [("chain", f"d{k // 2}", f"h{(k + 1) // 2}", 1000 + k) for k in range(12)]
+    stored = [("c0", "v1", None, -1), ("c1", "v2", "v3", -2)]
+    docs, hashes, want = {(c, d) for c, d, _, _ in stored if d}, {(c, h) for c, _, h, _ in stored if h}, []
+    for c, d, h, k in rows:
+        if (d is None or (c, d) not in docs) and (h is None or (c, h) not in hashes):
+            want.append((c, d, h, k))
+            docs |= {(c, d)} if d else set()
+            hashes |= {(c, h)} if h else set()
+    schema = "akte_id string, dokument_id string, hash string, ord int"
+    keys = [["akte_id", "dokument_id"], ["akte_id", "hash"]]
+    got = metrics.append_unique(spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame(stored, schema), keys, ["ord"], str(tmp_path / "rounds"))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[3]) == want
+    assert metrics.append_unique(spark.createDataFrame([], schema), spark.createDataFrame(stored, schema), keys, ["ord"], str(tmp_path / "none")).count() == 0

@@ -2,8 +2,8 @@ from __future__ import annotations
 
 import json
 
-from wharfline.operators import geometry
-from wharfline.sources import ocr, xml_invoices
+from wharfline.operators import geometry, sheets
+from wharfline.sources import cases, ocr, xml_invoices
 
 
 def test_invoice_xml_round_trip(spark, tmp_path):
@@ -26,7 +26,7 @@ def test_words_from_responses(spark):
     words = ocr.words_from_layout(spark.createDataFrame([("d", json.dumps(answer))], "doc_id string, antwort string"))
     first = words.orderBy("word_no").first()
     assert (first.x0, first.top, first.x1, first.bottom) == (72.0, 72.0, 144.0, 86.4) and words.where("text = 'X'").first().conf == 1.0
-    glued = ocr.glue_marks(words).orderBy("word_no").collect()
+    glued = sheets.glue_marks(words).orderBy("word_no").collect()
     assert [(w.text, w.conf) for w in glued] == [("No.:", 0.4), ("X", 1.0)]
 
 
@@ -42,21 +42,46 @@ def words(spark, rows):
 
 def test_lines(spark):
     w = words(spark, [("a", 0, 10), ("b", 20, 12.5), ("c", 40, 14.5), ("d", 0, 30)])
-    assert [r.text for r in geometry.lines_by_anchor(w).orderBy("line_no").collect()] == ["a b", "c", "d"]
+    assert [r.text for r in sheets.lines_by_anchor(w).orderBy("line_no").collect()] == ["a b", "c", "d"]
     skewed = words(spark, [(f"w{k}", 30 * k, 10 + k) for k in range(8)] + [(f"v{k}", 30 * k, 30 + k) for k in range(8)])
     lines = geometry.lines_by_neighbour(skewed).collect()
     assert {r.line_no for r in lines if r.text[0] == "w"} == {0} and {r.line_no for r in lines if r.text[0] == "v"} == {1}
 
 
-def test_values_and_tables(spark):
-    w = words(spark, [("Invoice", 0, 10), ("No:", 12, 10), ("R-7", 24, 10), ("far", 90, 10), ("Total", 0, 30), ("99", 0, 42)])
-    lines = geometry.lines_by_anchor(w)
-    assert geometry.value_after_label(lines, r"invoice\s+no:?").first().wert == "R-7"
-    assert geometry.value_after_label(lines, "total").first().wert == "99"
-    head = spark.createDataFrame([("d", 1, "nr", 0.0, 10.0, 5.0), ("d", 1, "name", 40.0, 60.0, 5.0)], "doc_id string, page int, spalte string, x0 double, x1 double, top double")
-    body = words(spark, [("1", 0, 20), ("Pumpe", 40, 20), ("groß", 52, 20), ("blau", 40, 32), ("2", 0, 44), ("Rohr", 40, 44)])
-    got = {(r.zeile, r.spalte): r.text for r in geometry.table_rows(body, head, "nr").collect()}
-    assert got == {(1, "nr"): "1", (1, "name"): "Pumpe groß blau", (2, "nr"): "2", (2, "name"): "Rohr"}
+def test_words_from_slices_of_a_text(spark):
+    text = "Größe MAEU-HH 7 rest"
+    corner = lambda x, y: [{"x": x, "y": y}, {"x": x + 0.1, "y": y + 0.01}]
+
+    def token(*parts, ends=True, conf=0.9, x=0.1, boxed=True):
+        segments = [{k: str(v) for k, v in (("startIndex", a), ("endIndex", b)) if k == "endIndex" or v} for a, b in parts]
+        return {"layout": {"textAnchor": {"textSegments": segments}, "confidence": conf, "boundingPoly": {"normalizedVertices": corner(x, 0.2)} if boxed else {}}} | ({"detectedBreak": {"type": "SPACE"}} if ends else {})
+
+    first = [token((0, 6)), token((6, 10), ends=False, conf=0.5), token((10, 11), ends=False, x=0.3), token((5, 6)), token((11, 13), (14, 15), conf=3.0), token((15, 20), ends=False)]
+    answers = [("a", {"text": text, "pages": [{"pageNumber": 4, "tokens": first}, {"tokens": []}, {"tokens": [token((0, 2))]}]}), ("none", {"text": text}), ("no text", {"pages": [{"tokens": first}]}), ("no box", {"text": text, "pages": [{"tokens": [token((0, 2), boxed=False)]}]}), ("empty", {"text": "", "pages": []})]
+    rows = spark.createDataFrame([(k, json.dumps(a)) for k, a in answers] + [("no json", "{"), ("null", None)], "doc_id string, antwort string")
+    got = {r.doc_id: r.seiten for r in ocr.pages_from_segments(rows, 100.0, 200.0).collect()}
+    assert [(p.seite, [(w.text, w.conf, w.x0, w.x1) for w in p.woerter]) for p in got["a"]] == [(4, [("Größe", 0.9, 10.0, 20.0), ("MAEU-", 0.5, 10.0, 40.0), ("HH7", 1.0, 10.0, 20.0), ("rest", 0.9, 10.0, 20.0)]), (2, []), (3, [("Gr", 0.9, 10.0, 20.0)])]
+    assert got["a"][0].woerter[0].top == 40.0 and got["empty"] == [] and all(got[k] is None for k in ("none", "no text", "no box", "no json", "null"))
+
+
+def test_long_texts_are_sliced_in_linear_time(spark):
+    n = 60_000
+    token = {"layout": {"textAnchor": {"textSegments": [{"startIndex": "%d", "endIndex": "%d"}]}, "confidence": 1, "boundingPoly": {"normalizedVertices": [{"x": 0.1, "y": 0.1}]}}, "detectedBreak": {"type": "SPACE"}}
+    one = json.dumps(token)
+    answer = json.dumps({"text": "ab " * n, "pages": [{"tokens": []}]}).replace("[]", "[" + ",".join(one % (3 * k, 3 * k + 3) for k in range(n)) + "]")
+    got = ocr.pages_from_segments(spark.createDataFrame([("d", answer)], "doc_id string, antwort string")).first().seiten[0].woerter
+    assert len(got) == n and {w.text for w in got} == {"ab"}
+
+
+def test_case_folders(spark, tmp_path):
+    for folder, files in {"one": {"akte.json": '{"akte_id": "ZP-1", "stichtag": "2026-09-12", "sachverhalt": {"richtung": "x"}}', "b.pdf": "bb", "a.pdf": "a"}, "bare": {"a.pdf": "x"}, "deep/two": {"akte.json": "no json", "a.pdf": "x"}, "only": {"akte.json": '{"akte_id": "ZP-2"}'}}.items():
+        (tmp_path / folder).mkdir(parents=True)
+        for name, text in files.items():
+            (tmp_path / folder / name).write_text(text, encoding="utf-8")
+    got = sorted((r.ordner.rpartition("/")[2], r.datei or "", r.ord, r.akte_id, r.laenge, r.hinweis, r.stammdaten and r.stammdaten.sachverhalt and r.stammdaten.sachverhalt.richtung) for r in cases.read_case_folders(spark, str(tmp_path)).collect())
+    assert got == [
+        ("bare", "a.pdf", 0, None, 1, "keine Stammdaten im Ordner", None), ("one", "a.pdf", 0, "ZP-1", 1, None, "x"), ("one", "b.pdf", 1, "ZP-1", 2, None, "x"), ("only", "", 0, "ZP-2", None, "keine Dateien im Ordner", None), ("two", "a.pdf", 0, None, 1, "Stammdaten nicht lesbar", None),
+    ]
 
 
 def test_payloads(spark):

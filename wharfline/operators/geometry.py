@@ -1,31 +1,11 @@
-"""Lines, labelled values and tables from words with coordinates. A page is the unit: everything is keyed by doc_id and page."""
+"""Lines of skewed pages, word by word along neighbours. Straight pages are read in `sheets`."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import DataFrame
 
-ANCHOR_TOLERANCE, NEIGHBOUR_TOLERANCE, SKEW, VALUE_GAP = 3.0, 4.5, 0.035, 14.0
-#: How far left of its label a value below it may begin.
-BELOW_TOLERANCE = 6.0
-WORD = "struct<top: double, x0: double, x1: double, bottom: double, text: string, conf: double>"
-
-
-def lines_by_anchor(words: DataFrame, tolerance: float = ANCHOR_TOLERANCE) -> DataFrame:
-    """doc_id, page, line_no, words, text: a word joins the line while its top is within the tolerance of the line's first word."""
-    item = F.struct("top", "x0", "x1", "bottom", "text", "conf").cast(WORD)
-    pages = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(item)).alias("_w"))
-
-    def step(lines: Column, w: Column) -> Column:
-        last = F.element_at(lines, -1)
-        return F.when(F.abs(w["top"] - last[0]["top"]) <= tolerance, F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(F.concat(last, F.array(w))))).otherwise(F.concat(lines, F.array(F.array(w))))
-
-    folded = F.aggregate("_w", F.array().cast(f"array<array<{WORD}>>"), lambda a, w: F.when(F.size(a) == 0, F.array(F.array(w))).otherwise(step(a, w)))
-    rows = pages.select("doc_id", "page", F.posexplode(folded).alias("line_no", "words"))
-    ordered = F.array_sort("words", lambda a, b: F.when(a["x0"] < b["x0"], -1).when(a["x0"] > b["x0"], 1).otherwise(0))
-    return rows.withColumn("words", ordered).withColumn("text", F.array_join(F.transform("words", lambda w: w["text"]), " "))
+NEIGHBOUR_TOLERANCE, SKEW = 4.5, 0.035
 
 
 def _neighbours(page: pd.DataFrame) -> pd.DataFrame:
@@ -47,123 +27,3 @@ def lines_by_neighbour(words: DataFrame) -> DataFrame:
     """words with line_no, for skewed scans. A greedy pass over each page: one page is one small group."""
     columns = [f"{n} {t}" for n, t in words.dtypes if n != "line_no"]
     return words.groupBy("doc_id", "page").applyInPandas(_neighbours, ", ".join([*columns, "line_no int"]))
-
-
-def value_after_label(lines: DataFrame, label: str | Column, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, page, wert, conf (and the columns in keep): words right of the label up to the first gap, else the words
-    below it on the next line. The label is a pattern, or a column of patterns."""
-    label = F.lit(label) if isinstance(label, str) else label
-    label_at, through = F.concat(F.lit("(?i)^(.*?)(?<![A-Za-z])(?:"), label, F.lit(")")), F.concat(F.lit("(?i)^(.*?(?<![A-Za-z])(?:"), label, F.lit(r")\s*[:.]?)"))
-    blanks = lambda p: F.length(part(p)) - F.length(F.replace(part(p), F.lit(" "), F.lit("")))
-    part = lambda p: F.call_function("regexp_extract", F.col("text"), p, F.lit(1))
-    hit = lines.where(F.regexp_like("text", label_at)).withColumns({"_first": blanks(label_at), "_n": F.size(F.split(F.trim(part(through)), " "))})
-    rest = F.filter(F.slice("words", F.col("_n") + 1, F.size("words")), lambda w: ~w["text"].isin(":", "."))
-    same = hit.select("doc_id", "page", "line_no", *keep, _to_gap(rest).alias("w"), (F.get("words", F.col("_first"))["x0"] - BELOW_TOLERANCE).alias("_x0"))
-    below = lines.select("doc_id", "page", (F.col("line_no") - 1).alias("line_no"), F.col("words").alias("_below")).dropDuplicates(["doc_id", "page", "line_no"])
-    both = same.join(below, ["doc_id", "page", "line_no"], "left")
-    # below, the value begins under the label's first word and ends at the first gap
-    chosen = F.when(F.size("w") > 0, F.col("w")).otherwise(_to_gap(F.filter("_below", lambda w: w["x0"] >= F.col("_x0"))))
-    text = F.regexp_replace(F.array_join(F.transform(chosen, lambda w: w["text"]), " "), "^[ :]+|[ :]+$", "")
-    return both.select("doc_id", "page", "line_no", *keep, text.alias("wert"), F.array_min(F.transform(chosen, lambda w: w["conf"])).alias("conf")).where("wert <> ''")
-
-
-def _to_gap(words: Column) -> Column:
-    """The words up to the first gap that is too wide: the index of the first word that has one before it ends them."""
-    wide = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda k: F.coalesce(F.get(words, k)["x0"] - F.get(words, k - 1)["x1"] > VALUE_GAP, F.lit(False)))
-    return F.slice(words, F.lit(1), F.coalesce(F.get(wide, F.lit(0)), F.size(words)))
-
-
-BLOCK_LINES, BLOCK_GAP, COLUMN_TOLERANCE = 8, 1.8, 6.0
-
-
-def block_after_label(lines: DataFrame, label: str) -> DataFrame:
-    """doc_id, page, zeile, wert: up to eight lines below a label, of the words in its column, until the distance grows or a line has none."""
-    pattern = f"(?i)^(.*?(?<![A-Za-z])(?:{label})\\s*[:.]?)"
-    hit = lines.where(F.col("text").rlike(pattern))
-    n = F.size(F.split(F.trim(F.regexp_extract("text", pattern, 1)), " "))
-    start = F.size(F.split(F.trim(F.regexp_extract("text", f"(?i)^(.*?)(?<![A-Za-z])(?:{label})", 1)), " ")) - F.when(F.trim(F.regexp_extract("text", f"(?i)^(.*?)(?<![A-Za-z])(?:{label})", 1)) == "", 1).otherwise(0)
-    left = F.get("words", start)["x0"] - COLUMN_TOLERANCE
-    end = F.get("words", n - 1)["x1"]
-    beyond = F.array_min(F.transform(F.filter("words", lambda w: w["x0"] > end + VALUE_GAP), lambda w: w["x0"]))
-    spot = hit.select("doc_id", "page", F.col("line_no").alias("_at"), left.alias("_l"), F.coalesce(beyond - COLUMN_TOLERANCE, F.lit(float("inf"))).alias("_r"))
-    bottom, top = F.array_max(F.transform("words", lambda w: w["bottom"])), F.array_min(F.transform("words", lambda w: w["top"]))
-    turn = Window.partitionBy("doc_id", "page").orderBy("line_no")
-    spaced = lines.withColumns({"_gap": top - F.lag(bottom).over(turn), "_high": F.greatest(F.lag(bottom - top).over(turn), F.lit(1.0))})
-    after = spaced.join(spot, ["doc_id", "page"]).where((F.col("line_no") > F.col("_at")) & (F.col("line_no") <= F.col("_at") + BLOCK_LINES))
-    inside = F.filter("words", lambda w: (w["x0"] >= F.col("_l")) & (w["x0"] < F.col("_r")))
-    block = Window.partitionBy("doc_id", "page", "_at").orderBy("line_no")
-    broken = F.max(F.when((F.size("_in") == 0) | (F.col("_gap") > BLOCK_GAP * F.col("_high")), 1).otherwise(0)).over(block)
-    kept = after.withColumn("_in", inside).withColumn("_off", broken).where("_off = 0")
-    return kept.select("doc_id", "page", (F.col("line_no") - F.col("_at")).alias("zeile"), F.array_join(F.transform("_in", lambda w: w["text"]), " ").alias("wert"))
-
-
-def table_rows(words: DataFrame, header: DataFrame, first: str) -> DataFrame:
-    """words (doc_id, page, text, x0, top, x1) below a header (doc_id, page, spalte, x0, x1, top) -> doc_id, page, zeile, spalte, text.
-
-    Columns reach to the midpoints between headings; a row begins where the first column has a word, rows without one continue it."""
-    turn = Window.partitionBy("doc_id", "page").orderBy("x0")
-    left = F.coalesce((F.lag("x1").over(turn) + F.col("x0")) / 2, F.lit(float("-inf")))
-    right = F.coalesce((F.lead("x0").over(turn) + F.col("x1")) / 2, F.lit(float("inf")))
-    bounds = header.select("doc_id", "page", "spalte", left.alias("_l"), right.alias("_r"), F.col("top").alias("_head"))
-    middle = (F.col("x0") + F.col("x1")) / 2
-    placed = words.join(bounds, ["doc_id", "page"]).where((middle >= F.col("_l")) & (middle < F.col("_r")) & (F.col("top") > F.col("_head") + ANCHOR_TOLERANCE))
-    line = F.round(F.col("top") / ANCHOR_TOLERANCE).alias("_line")
-    cells = placed.groupBy("doc_id", "page", line, "spalte").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ").alias("text"))
-    starts = F.max(F.when(F.col("spalte") == first, 1).otherwise(0)).over(Window.partitionBy("doc_id", "page", "_line"))
-    marked = cells.withColumn("_start", F.when((F.col("spalte") == first), starts).otherwise(0))
-    row = Window.partitionBy("doc_id", "page").orderBy("_line").rangeBetween(Window.unboundedPreceding, 0)
-    numbered = marked.withColumn("zeile", F.sum("_start").over(row)).where("zeile > 0")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_line", "text"))), lambda x: x["text"]), " ")
-    return numbered.groupBy("doc_id", "page", "zeile", "spalte").agg(text.alias("text"))
-
-
-TABLE_GAP = 2.5
-# The tables of each document type: path, patterns of the column headings, of the end, and the column that begins a row.
-TABLES = {
-    "rechnung.positionen": (
-        {"nr": r"\bpos\.?\b|\bitem\b|\bno\.?\b", "beschreibung": r"\bdescription\b|\bbezeichnung\b", "hs6": r"\bhs\s*code\b|\btariff\b|\bhs\b", "ursprung": r"\borigin\b|\bursprung\b", "menge": r"\bqty\b|\bquantity\b|\bmenge\b", "einheit": r"\bunit\b(?!\s+price)", "einzelpreis": r"\bunit\s+price\b|\beinzelpreis\b", "netto": r"\bamount\b|\bbetrag\b"},
-        r"^\s*(sub\s*-?\s*total|total|surcharge|freight|discount|zwischensumme|summe)", "nr",
-    ),
-    "packliste.positionen": (
-        {"nr": r"\bpos\.?\b|\bitem\b", "hs6": r"\bhs\s*code\b|\bhs\b", "menge": r"\bqty\b|\bquantity\b|\bmenge\b", "einheit": r"\bunit\b|\beinheit\b", "verpackt_in": r"\bpacked\s+in\b|\bpackage\b|\bpackst[üu]ck\b"},
-        r"^\s*(packages|package\s+id|packst[üu]cke|total)", "nr",
-    ),
-    "packliste.packstuecke": ({"id": r"\bpackage\s*id\b|\bpackst[üu]ck\b|\bid\b", "art": r"\btype\b|\bart\b", "brutto_kg": r"\bgross\b", "netto_kg": r"\bnet\b"}, r"^\s*total", "id"),
-    "abd.positionen": (
-        {"nr": r"\bpos\.?\b|\bitem\b", "warennummer": r"warennummer|commodity\s+code|\bkn\b|\btaric\b", "beschreibung": r"warenbezeichnung|description", "menge": r"\bmenge\b|\bqty\b|\bquantity\b", "einheit": r"\beinheit\b|\bunit\b"},
-        r"^\s*(dieses\s+dokument|gesamt|total|unterschrift|dienststempel)", "nr",
-    ),
-}
-
-
-def read_tables(lines: DataFrame, path: str) -> DataFrame:
-    """lines (doc_id, page, line_no, words, text) -> doc_id, zeile (from 0), spalte, text, conf of the first table of each document.
-
-    The heading is the first line where two thirds of the patterns are found; columns reach to the midpoints between headings. Lines
-    follow on the same page up to the end pattern or a wide gap; one without the first column continues the row above it."""
-    patterns, end, first = TABLES[path]
-    needed = max(2, (2 * len(patterns) + 2) // 3)
-
-    def heading(name: str, pattern: str) -> Column:
-        blanks = lambda group: F.length(F.regexp_extract("text", group, 1)) - F.length(F.replace(F.regexp_extract("text", group, 1), F.lit(" "), F.lit("")))
-        left, right = F.get("words", blanks(f"(?i)^(.*?)(?:{pattern})"))["x0"], F.get("words", blanks(f"(?i)^(.*?(?:{pattern}))"))["x1"]
-        return F.when(F.col("text").rlike(f"(?i){pattern}"), F.struct(left.alias("x0"), right.alias("x1"), F.lit(name).alias("spalte")))
-
-    hits = lines.select("doc_id", "page", "line_no", F.array_sort(F.array_compact(F.array(*[heading(*p) for p in patterns.items()]))).alias("_h")).where(F.size("_h") >= needed)
-    head = hits.groupBy("doc_id").agg(F.min(F.struct("page", "line_no", "_h")).alias("_f")).select("doc_id", F.col("_f.page").alias("page"), F.col("_f.line_no").alias("_at"), F.col("_f._h").alias("_h"))
-    # a column ends where the next begins, so its left bound alone places a word
-    left = F.transform("_h", lambda h, k: F.struct(F.when(k == 0, F.lit(0.0)).otherwise((F.get("_h", k - 1)["x1"] + h["x0"]) / 2).alias("x"), h["spalte"].alias("spalte")))
-    turn = Window.partitionBy("doc_id", "page").orderBy("line_no")
-    of = lambda field, f: f(F.transform("words", lambda w: w[field]))
-    bottom, top = of("bottom", F.array_max), of("top", F.array_min)
-    spaced = lines.withColumns({"_gap": top - F.lag(bottom).over(turn), "_high": F.greatest(F.lag(bottom - top).over(turn), F.lit(1.0))})
-    below = spaced.join(head.withColumn("_h", left).hint("merge"), ["doc_id", "page"]).where("line_no > _at")
-    stop = F.max(F.when(F.col("text").rlike(f"(?i){end}") | (F.col("_gap") > TABLE_GAP * F.col("_high")), 1).otherwise(0)).over(turn)
-    inside = below.withColumn("_stop", stop).where("_stop = 0")
-    place = lambda w: F.element_at(F.filter("_h", lambda h: h["x"] <= (w["x0"] + w["x1"]) / 2), -1)["spalte"]
-    placed = inside.withColumn("_w", F.transform("words", lambda w: F.struct(place(w).alias("spalte"), w["text"].alias("text"), w["conf"].alias("conf"))))
-    begins = F.exists("_w", lambda w: w["spalte"] == first) | (F.row_number().over(turn) == 1)
-    rows = placed.withColumn("_begins", begins.cast("int")).withColumn("zeile", F.sum("_begins").over(turn) - 1)
-    words = rows.select("doc_id", "zeile", "line_no", F.posexplode("_w").alias("_k", "w")).where("w.spalte is not null")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "_k", "w.text"))), lambda x: x["text"]), " ")
-    return words.groupBy("doc_id", "zeile", F.col("w.spalte").alias("spalte")).agg(text.alias("text"), F.min("w.conf").alias("conf"))

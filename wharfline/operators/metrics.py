@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -142,3 +144,38 @@ def append_new(batch: DataFrame, stored: DataFrame, keys: list[str], order: str)
     turn = Window.partitionBy(*keys).orderBy(order)
     fresh = batch.where(complete).join(stored.select(*keys).distinct(), keys, "left_anti").withColumn("_n", F.row_number().over(turn)).where("_n = 1").drop("_n")
     return fresh.unionByName(batch.where(~complete))
+
+
+def append_unique(batch: DataFrame, stored: DataFrame, keys: list[list[str]], order: list[str], folder: str) -> DataFrame:
+    """Rows of the batch that inserts one after the other, in the given order, would put into a table with several unique keys: a row goes in
+    unless it shares a key with a stored row or one that has gone in before it. Nulls in a key share nothing.
+
+    In each round the rows that come first by all their keys go in, and those that share a key with them go out; what is left waits for the next round.
+    So a row that is only in the way of rows which stay out doesn't keep others out. Rounds are as many as such rows in a chain, and are written
+    below the folder, which all executors have to share. Rows that are equal in the order go by chance."""
+    spark = batch.sparkSession
+    whole = lambda key: reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+
+    def without(rows: DataFrame, taken: DataFrame) -> DataFrame:
+        for key in keys:
+            rows = rows.join(taken.where(whole(key)).select(*key).distinct().hint("merge"), key, "left_anti")
+        return rows.select(*columns)
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    place = F.struct(*order, "_id").alias("_place")
+    columns = [*batch.columns, "_id"]
+    left = written(without(batch.withColumn("_id", F.monotonically_increasing_id()), stored), "0")
+    out, n = left.where("false"), 0
+    while left.count():
+        n += 1
+        first = left.withColumn("_place", place)
+        for k, key in enumerate(keys):
+            least = left.where(whole(key)).groupBy(*key).agg(F.min(place).alias(f"_least{k}"))
+            first = first.join(least.hint("merge"), key, "left").where(F.coalesce(F.col(f"_least{k}") == F.col("_place"), F.lit(True)))
+        went = written(first.select(*columns), f"in-{n}")
+        out = out.unionByName(went)
+        left = written(without(left.join(went.select("_id").hint("merge"), "_id", "left_anti").select(*columns), went), str(n))
+    return out.drop("_id")

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wharfline.functions import identifiers, parsing
-from wharfline.operators import documents, extraction, facts, geometry, metrics, requests
+from wharfline.operators import documents, facts, metrics, requests
 from wharfline.plans.ops_queries import derived, plain, read
 from wharfline.sources import cases, ocr, xml_invoices
 from wharfline.sources.catalog import load_catalog
-from wharfline.streaming import conditions
 
 # assertions: the lines of an order are said by its documents; A and B are final, C is a draft, X isn't known
 SAID = """
@@ -229,13 +226,14 @@ LINES_SQL = "SELECT doc_id, len(list_filter(string_split(zeile, ' '), lambda w:
 
 
 def layout_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OCR responses made of documents, read again: words, their extent in points and their confidence."""
+    """OCR responses made of documents, a page for each line, read again: words, their extent in points and their confidence."""
     word = lambda w, k: F.struct(w.alias("content"), F.when(k % 2 == 0, F.lit(0.5)).otherwise(F.lit(1.5)).alias("confidence"), F.array(k * 1.0, F.lit(1.0), k + 0.5, F.lit(1.0), k + 0.5, F.lit(1.25), k * 1.0, F.lit(1.25)).alias("polygon"))
-    page = F.struct((F.col("page") + 1).alias("pageNumber"), F.lit("inch").alias("unit"), F.lit(8.0).alias("width"), F.lit(11.0).alias("height"), F.transform(_words(F.col("zeile")), word).alias("words"))
-    answers = _lines(spark, sf_dir).select("doc_id", F.to_json(F.struct(F.struct(F.array(page).alias("pages")).alias("analyzeResult"))).alias("antwort"))
-    # words of other white space alone are trimmed away
-    words = ocr.words_from_layout(answers)
-    return words.groupBy("doc_id").agg(F.count("*").alias("woerter"), F.max("x1").alias("rechts"), F.min("top").alias("oben"), F.sum("conf").alias("konf"))
+    page = lambda line, z: F.struct((z + 1).alias("pageNumber"), F.lit("inch").alias("unit"), F.lit(8.0).alias("width"), F.lit(11.0).alias("height"), F.transform(_words(line), word).alias("words"))
+    pages = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), page)
+    answers = read(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.struct(pages.alias("pages")).alias("analyzeResult"))).alias("antwort"))
+    words = ocr.pages_from_layout(answers).select("doc_id", F.flatten(F.transform("seiten", lambda p: p["woerter"])).alias("w")).where("size(w) > 0")
+    of = lambda name: F.transform("w", lambda w: w[name])
+    return words.select("doc_id", F.size("w").cast("long").alias("woerter"), F.array_max(of("x1")).alias("rechts"), F.array_min(of("top")).alias("oben"), F.aggregate(of("conf"), F.lit(0.0), lambda a, c: a + c).alias("konf"))
 
 
 LAYOUT_SQL = f"""SELECT doc_id, sum(n) AS woerter, max((n - 1) * 72 + 36)::DOUBLE AS rechts, 72.0::DOUBLE AS oben, sum(ceil(n / 2) * 0.5 + floor(n / 2))::DOUBLE AS konf FROM ({LINES_SQL}) x WHERE n > 0 GROUP BY 1"""
@@ -345,60 +343,6 @@ XML_SQL = f"""SELECT o.akte_id, o.nummer, o.waehrung, round(coalesce(l.s, 0) + o
 LEFT JOIN (SELECT akte_id, sum(netto) AS s, count(*) AS n FROM ({INVOICE_LINES.format(said=plain(SAID, "lineitem"))}) x GROUP BY 1) l ON l.akte_id = o.akte_id"""
 
 
-def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declarations of origin that end every third document."""
-    said = F.array(F.lit("The exporter of the products covered by this document"), F.concat(F.lit("(customs authorization No DEREX"), F.col("doc_id").cast("string"), F.lit(") declares that")), F.lit("these products are of German preferential origin."))
-    lines = F.when(F.col("doc_id") % 3 == 0, F.concat(F.split(F.coalesce("text", F.lit("")), "\n"), said)).otherwise(F.split(F.coalesce("text", F.lit("")), "\n"))
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), F.posexplode(lines).alias("line_no", "text"))
-    return extraction.origin_declarations(rows).select("doc_id", "ursprung", "rex_nummer", "ermaechtigt")
-
-
-DECLARATION_SQL = "SELECT doc_id, 'DE' AS ursprung, 'DEREX' || CAST(doc_id AS VARCHAR) AS rex_nummer, FALSE AS ermaechtigt FROM documents WHERE doc_id % 3 = 0"
-
-
-def newest_unassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 latest mails that no case was found for."""
-    mails = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("mail_id"), F.col("text").alias("betreff"), F.lit("").alias("text"), F.lit(1).alias("anhaenge"), F.col("conv_id").alias("eingegangen_am"))
-    known = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("akte_id"))
-    return metrics.newest_unassigned(requests.route_mail(mails, known)).select("mail_id", "ergebnis")
-
-
-UNASSIGNED_SQL = r"SELECT conv_id * 1000 + turn AS mail_id, CASE WHEN regexp_matches(coalesce(text, ''), 'ZP-\d{4}-\d{4}') THEN 'unbekannte Akte' ELSE 'keine Vorgangsnummer' END AS ergebnis FROM conversations ORDER BY conv_id DESC, mail_id LIMIT 50"
-
-# an order as a page: labels in two columns with values below the right one, a table of its lines, a total
-def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = derived(spark, sf_dir, INVOICE_LINES.replace("{said}", SAID), "lineitem")
-    word = lambda text, x: F.struct((F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(float(x)).alias("x0"), F.lit(x + 28.0).alias("x1"))
-    s = lambda c: F.col(c).cast("string")
-    row = lambda k, *words: F.struct(k.alias("z"), F.array(*words).alias("w"))
-    body = lines.select("akte_id", F.explode(F.array(
-        row(F.col("nr") * 2 + 2, word(s("nr"), 0), word("Pumpe", 60), word(F.col("hs6"), 140), word("Germany", 220), word(F.format_string("%.2f", "menge"), 300), word(F.when(F.col("nr") % 3 == 0, "no charge").otherwise("2.50"), 380), word(F.format_string("%.2f", "netto"), 480)),
-        row(F.col("nr") * 2 + 3, word("rostfrei", 60)),
-    )).alias("r"))
-    head = derived(spark, sf_dir, INVOICES, "orders").select("akte_id", F.explode(F.array(
-        row(F.lit(0), word("Invoice", 0), word("No:", 30), word(F.col("nummer"), 60), word("Currency", 300)), row(F.lit(1), word("links", 0), word(F.col("waehrung"), 300), word("fern", 360)),
-        row(F.lit(2), word("Pos", 0), word("Description", 60), word("HS", 140), word("Origin", 220), word("Qty", 300), word("Unit", 380), word("Price", 410), word("Amount", 480)), row(F.lit(1000), word("Total", 0), word("1.00", 480)), row(F.lit(1001), word("9", 0), word("Rest", 60)),
-    )).alias("r"))
-    words = head.unionByName(body).select(F.col("akte_id").alias("doc_id"), F.lit(1).alias("page"), (F.col("r.z") * 12.0).alias("top"), F.explode("r.w").alias("w"))
-    return geometry.lines_by_anchor(words.select("doc_id", "page", "w.text", "w.x0", "top", "w.x1", (F.col("top") + 8).alias("bottom"), F.lit(0.9).alias("conf")))
-
-
-def labelled_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("handelsrechnung").alias("typ"))
-    found = extraction.extract_fields(_page(spark, sf_dir), kinds)
-    return found.where(F.col("pfad").isin("rechnung.nummer", "rechnung.waehrung")).select("doc_id", "pfad", "txt")
-
-
-def invoice_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extraction.table_fields(_page(spark, sf_dir), "rechnung.positionen")
-    return found.select("doc_id", "pfad", "txt", F.round("num", 2).alias("num"))
-
-
-TABLE_SQL = f"""WITH l AS (SELECT *, CAST(row_number() OVER (PARTITION BY akte_id ORDER BY nr) - 1 AS VARCHAR) AS z FROM ({INVOICE_LINES.format(said=plain(SAID, "lineitem"))}) x)
-""" + "\nUNION ALL ".join(f"SELECT akte_id AS doc_id, 'rechnung.positionen.' || z || '.{field}' AS pfad, {txt} AS txt, CAST({num} AS DOUBLE) AS num FROM l" for field, txt, num in (
-    ("nr", "NULL", "nr"), ("beschreibung", "'Pumpe rostfrei'", "NULL"), ("hs6", "hs6", "NULL"), ("ursprung", "'DE'", "NULL"), ("menge", "NULL", "round(menge, 2)"), ("einzelpreis", "NULL", "CASE WHEN nr % 3 = 0 THEN 0 ELSE 2.5 END"), ("netto", "NULL", "round(netto, 2)"),
-))
-
 RUNS = "SELECT user_id % 20 AS lauf, event_type AS ausgang, CAST(event_id % 90 AS DOUBLE) AS dauer FROM {events}"
 
 
@@ -410,69 +354,12 @@ def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 OUTCOME_SQL = f"""SELECT ausgang, count(*) AS anzahl, sum(dauer) AS dauer_summe, {" || ',' || ".join(f"CAST(count(*) FILTER (dauer <= {b}) AS VARCHAR)" for b in (0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0))} AS bis FROM ({plain(RUNS, "events")}) r GROUP BY 1"""
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, str]:
-    """The events as a stream, and a folder for the state of a run over them."""
-    path = f"{sf_dir}/events.parquet"
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        folder = "/tmp/wharfline-checkpoints"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet")  # a stream reads folders or patterns
-    return events.withColumn("ts", F.col("ts").cast("timestamp")), f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _seen(found: DataFrame, *columns: str) -> DataFrame:
-    return found.select(F.date_format("von", "yyyy-MM-dd HH:mm:ss").alias("von"), *columns)
-
-
-def error_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, folder = _stream(spark, sf_dir, "error-stream")
-    return _seen(conditions.finished(conditions.errors_in_window(events.where("event_type = 'error'"), "1 hour", None), folder), "fehler", "alarm")
-
-
-def reread_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, folder = _stream(spark, sf_dir, "reread-stream")
-    status = F.when(F.col("event_id") % 4 == 0, "re_extraction_required").otherwise("ok")
-    return _seen(conditions.finished(conditions.reread_share(events.withColumn("status", status), 0.25, "1 hour", None), folder), "nachzulesen", F.round("anteil", 6).alias("anteil"), "alarm")
-
-
-def used_override_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, folder = _stream(spark, sf_dir, "override-stream")
-    return _seen(conditions.finished(conditions.used_up_overrides(events.withColumn("gewirkt", F.col("event_id") % 3 > 0), "1 hour", None), folder), "verbraucht", "alarm")
-
-
-def slow_run_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, folder = _stream(spark, sf_dir, "slow-stream")
-    return _seen(conditions.finished(conditions.slow_runs(events.withColumn("dauer", F.col("event_id") % 2 * 100.0), 60.0, "1 hour", None), folder), F.col("p95").alias("p95"), "alarm")
-
-
-def quiet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of each kind of event that ten minutes without one close."""
-    events, folder = _stream(spark, sf_dir, "quiet-stream")
-    found = conditions.finished(conditions.quiet_sessions(events, "600 seconds", key=F.col("event_type")), folder)
-    return _seen(found, "key", "pruefungen")
-
-
-SESSION_SQL = """WITH g AS (SELECT {0} AS key, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 600 SECOND OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS neu FROM events {1} WINDOW w AS (PARTITION BY {0} ORDER BY ts)),
-s AS (SELECT *, sum(neu) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nr FROM g)"""
-STREAM_SQL = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS von, {0} FROM events {1} GROUP BY 1"
-
-
-def sustained_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of high values of a user with less than ten minutes between two of them."""
-    events, folder = _stream(spark, sf_dir, "sustained-stream")
-    found = conditions.finished(conditions.sustained_runs(events, F.col("value") >= 50, 300, "event_type", gap="600 seconds"), folder)
-    return _seen(found, "event_type", "proben", "alarm")
-
-
 QUERIES = {
     "case_facts": case_facts, "draft_assertions": draft_assertions, "orphan_assertions": orphan_assertions, "unclassified_by_status": final_packing_lists, "unclassified_documents": unclassified_documents,
     "document_numbers": document_numbers, "merged_documents": merged_documents, "merged_assertions": merged_assertions, "escalation_due": escalation_due, "dispatch_plan": dispatch_plan, "requests_after_run": requests_after_run,
     "last_requests": last_requests, "closed_retries": closed_retries, "checks_by_decision": checks_by_decision, "decision_quality": decision_quality, "quality_regressions": quality_regressions, "reading_methods": reading_methods,
     "page_methods": page_methods, "layout_words": layout_words, "token_words": token_words, "alarm_states": alarm_states, "workflow_errors": workflow_errors, "flattened_orders": flattened_orders, "extracted_codes": extracted_codes,
-    "incoterm_checks": incoterms, "compared_values": compared_values, "restored_texts": restored_texts, "invoice_xml": invoice_xml, "origin_declarations": declarations, "newest_unassigned_mails": newest_unassigned, "run_outcomes": run_outcomes, "labelled_fields": labelled_fields, "invoice_tables": invoice_tables,
-    "error_stream": error_stream, "reread_stream": reread_stream, "used_override_stream": used_override_stream, "slow_run_stream": slow_run_stream, "quiet_stream": quiet_stream, "sustained_stream": sustained_stream,
+    "incoterm_checks": incoterms, "compared_values": compared_values, "restored_texts": restored_texts, "invoice_xml": invoice_xml, "run_outcomes": run_outcomes, 
 }
 _S, _P = f"({plain(SAID, 'lineitem')}) s", f"({plain(PAPERS, 'orders')}) p"
 ORACLES = {
@@ -486,12 +373,5 @@ ORACLES = {
     "decision_quality": "SELECT o_orderkey % 5 > 0 AND o_orderkey % 7 > 0 AS korrekt, count(*) AS n FROM orders GROUP BY 1", "quality_regressions": REGRESSION_SQL, "reading_methods": METHOD_SQL,
     "page_methods": f"SELECT CASE WHEN n >= 8 THEN 'textebene' ELSE 'ocr' END AS methode, n = 0 AS leer, count(*) AS n FROM ({LINES_SQL}) x GROUP BY 1, 2", "layout_words": LAYOUT_SQL, "token_words": TOKEN_SQL, "alarm_states": ALARM_SQL, "workflow_errors": WORKFLOW_SQL,
     "flattened_orders": "SELECT o_orderkey, 'sachverhalt.kunde' AS pfad, CAST(o_custkey AS VARCHAR) AS wert FROM orders WHERE o_custkey IS NOT NULL UNION ALL SELECT o_orderkey, 'sachverhalt.prioritaet', o_orderpriority FROM orders WHERE o_orderpriority IS NOT NULL",
-    "extracted_codes": CODES_SQL, "incoterm_checks": INCOTERM_SQL, "compared_values": COMPARED_SQL, "restored_texts": RESTORED_SQL, "invoice_xml": XML_SQL, "origin_declarations": DECLARATION_SQL, "newest_unassigned_mails": UNASSIGNED_SQL, "run_outcomes": OUTCOME_SQL, "invoice_tables": TABLE_SQL,
-    "labelled_fields": f"SELECT akte_id AS doc_id, 'rechnung.nummer' AS pfad, nummer AS txt FROM ({plain(INVOICES, 'orders')}) o UNION ALL SELECT akte_id, 'rechnung.waehrung', waehrung FROM ({plain(INVOICES, 'orders')}) o",
-    "error_stream": STREAM_SQL.format("count(*) AS fehler, TRUE AS alarm", "WHERE event_type = 'error'"),
-    "reread_stream": STREAM_SQL.format("count(*) FILTER (event_id % 4 = 0) AS nachzulesen, round(count(*) FILTER (event_id % 4 = 0) / count(*), 6) AS anteil, count(*) FILTER (event_id % 4 = 0) / count(*) > 0.25 AS alarm", ""),
-    "used_override_stream": STREAM_SQL.format("count(*) AS verbraucht, TRUE AS alarm", "WHERE event_id % 3 = 0"),
-    "slow_run_stream": STREAM_SQL.format("quantile_disc(event_id % 2 * 100.0::DOUBLE, 0.95) AS p95, quantile_disc(event_id % 2 * 100.0::DOUBLE, 0.95) > 60 AS alarm", ""),
-    "quiet_stream": SESSION_SQL.format("event_type", "") + " SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS von, key, count(*) AS pruefungen FROM s GROUP BY key, nr",
-    "sustained_stream": SESSION_SQL.format("event_type", "WHERE value >= 50") + " SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS von, key AS event_type, count(*) AS proben, floor(epoch(max(ts))) - floor(epoch(min(ts))) >= 300 AS alarm FROM s GROUP BY key, nr",
+    "extracted_codes": CODES_SQL, "incoterm_checks": INCOTERM_SQL, "compared_values": COMPARED_SQL, "restored_texts": RESTORED_SQL, "invoice_xml": XML_SQL, "run_outcomes": OUTCOME_SQL,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wharfline.functions import identifiers, parsing
-from wharfline.operators import documents, geometry, metrics, requests
+from wharfline.operators import documents, metrics, requests, sheets
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -214,21 +214,36 @@ SELECT CASE WHEN conv_id % 3 <> 0 THEN 'keine Vorgangsnummer' WHEN anhaenge = 0
 FROM (""" + plain(MAILS, "conversations") + ") m LEFT JOIN (SELECT DISTINCT o_orderkey % 10000 AS k FROM orders) o ON o.k = m.conv_id % 10000 AND m.conv_id % 7 <> 0 GROUP BY 1"
 
 
-# words of documents, set on pages of 40 lines: a word every 30 points, a line every 12, tops that waver by 2
+# words of documents, set on pages of 40 lines: a word every 30 points, a line every 12. Tops waver: every fifth word stands too low for its line and makes one of its own
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and words that the page geometry finds in each document."""
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("z", "zeile"))
-    found = lines.select("doc_id", F.floor(F.col("z") / 40).cast("int").alias("page"), "z", F.posexplode(F.filter(F.split("zeile", " "), lambda w: w != "")).alias("k", "text"))
-    x0, top = F.col("k") * 30.0, (F.col("z") % 40) * 12.0 + F.col("k") % 3
-    words = found.select("doc_id", "page", "text", x0.alias("x0"), top.alias("top"), (x0 + 20).alias("x1"), (top + 8).alias("bottom"), F.lit(0.9).alias("conf"))
-    return geometry.lines_by_anchor(words).groupBy("doc_id").agg(F.count("*").alias("zeilen"), F.sum(F.size("words")).alias("woerter"))
+    words = lambda line, z: F.transform(F.filter(F.split(line, " "), lambda w: w != ""), lambda w, k: word(w, z, k))
+    top = lambda z, k: (z % 40) * 12.0 + k % 5
+    word = lambda w, z, k: F.struct(top(z, k).alias("top"), (k * 30.0).alias("x0"), (k * 30.0 + 20).alias("x1"), (top(z, k) + 8).alias("bottom"), w.alias("text"), F.lit(0.9).alias("conf"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    of_page = lambda p: F.flatten(F.transform(F.slice(lines, p * 40 + 1, F.lit(40)), lambda line, z: words(line, z)))
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 40).cast("int")), lambda p: F.struct((p + 1).alias("seite"), F.lit("textebene").alias("methode"), of_page(p).alias("woerter")))
+    found = sheets.with_lines(read(spark, sf_dir, "documents").select("doc_id", pages.alias("seiten"))).where("size(zeilen) > 0")
+    return found.select("doc_id", F.size("zeilen").cast("long").alias("zeilen"), F.aggregate("zeilen", F.lit(0), lambda a, z: a + F.size(z["woerter"])).cast("long").alias("woerter"))
 
 
 PAGE_SQL = """
-SELECT doc_id, count(*) AS zeilen, sum(n) AS woerter
+SELECT doc_id, sum(CASE WHEN n > 4 THEN 2 ELSE 1 END) AS zeilen, sum(n) AS woerter
 FROM (SELECT doc_id, len(list_filter(string_split(zeile, ' '), lambda w: w <> '')) AS n FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS zeile FROM documents) l) c
 WHERE n > 0 GROUP BY doc_id"""
 
+def newest_unassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 latest mails that no case was found for."""
+    mails = derived(spark, sf_dir, MAILS, "conversations").withColumn("eingegangen_am", F.col("conv_id"))
+    known = read(spark, sf_dir, "orders").select(F.concat(F.lit("ZP-2026-"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0")).alias("akte_id"))
+    return metrics.newest_unassigned(requests.route_mail(mails, known)).select("mail_id", "ergebnis")
+
+
+UNASSIGNED_SQL = """
+SELECT mail_id, ergebnis FROM (SELECT mail_id, conv_id, CASE WHEN conv_id % 3 <> 0 THEN 'keine Vorgangsnummer' WHEN anhaenge = 0 THEN 'keine Anhänge' WHEN k IS NULL THEN 'unbekannte Akte' ELSE 'zugeordnet' END AS ergebnis
+FROM (""" + plain(MAILS, "conversations") + """) m LEFT JOIN (SELECT DISTINCT o_orderkey % 10000 AS k FROM orders) o ON o.k = m.conv_id % 10000 AND m.conv_id % 7 <> 0) r
+WHERE ergebnis <> 'zugeordnet' ORDER BY conv_id DESC, mail_id LIMIT 50"""
+
 REQUESTS = "SELECT l_orderkey AS akte_id, CASE WHEN l_returnflag = 'R' THEN 'erledigt' ELSE 'offen' END AS status, CASE WHEN l_linestatus = 'F' THEN 'stufe' || CAST(l_linenumber AS STRING) END AS stufe, CAST(l_partkey AS BIGINT) * 100000 + CAST(l_suppkey AS BIGINT) AS letzter_versand_am FROM {lineitem}"
 CHECKS = "SELECT o_orderkey AS akte_id, CASE o_orderkey % 4 WHEN 0 THEN 'blockiert' WHEN 1 THEN 'freigabereif' ELSE 'freigabe_mit_warnungen' END AS freigabe, o_orderdate AS geprueft_am FROM {orders} WHERE o_orderkey % 5 <> 0"
 
@@ -277,14 +292,14 @@ def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
 RECONCILE_SQL = """SELECT o_orderpriority AS grund, CASE WHEN o_orderkey % 7 < 2 THEN 'schliessen' WHEN o_orderkey % 7 = 2 THEN 'behalten' ELSE 'eroeffnen' END AS aktion, count(*) AS n FROM orders GROUP BY 1, 2"""
 
 QUERIES = {
-    "page_lines": page_lines, "case_overview": overview, "overview_totals": overview_totals, "idempotent_append": append_once, "request_reconciliation": reconciled,
+    "page_lines": page_lines, "case_overview": overview, "overview_totals": overview_totals, "idempotent_append": append_once, "request_reconciliation": reconciled, "newest_unassigned_mails": newest_unassigned,
     "identifier_quality": identifier_quality, "amount_parsing": amounts, "date_parsing": dates, "country_parsing": countries, "company_names": companies,
     "document_classes": classes, "mail_pseudonyms": mail_addresses, "errors_by_workflow": errors_by_workflow, "retries_by_entrance": retries_by_entrance, "last_check_age": last_check_age,
     "latest_retry": latest_retry, "error_windows": error_windows, "value_histogram": value_histogram, "sustained_values": sustained_errors, "extraction_quality": extraction_quality, "mail_routes": mail_routes,
 }
 E_SQL = "(" + plain(EVENTS, "events") + ") e"
 ORACLES = {
-    "page_lines": PAGE_SQL, "case_overview": OVERVIEW_SQL, "idempotent_append": APPEND_SQL, "request_reconciliation": RECONCILE_SQL,
+    "page_lines": PAGE_SQL, "case_overview": OVERVIEW_SQL, "idempotent_append": APPEND_SQL, "request_reconciliation": RECONCILE_SQL, "newest_unassigned_mails": UNASSIGNED_SQL,
     "overview_totals": f"SELECT count(*) AS akten, count(*) FILTER (freigabe = 'blockiert') AS blockiert, count(*) FILTER (freigabe = 'freigabereif') AS freigabereif, sum(offene_faelle) AS offene_faelle FROM ({OVERVIEW_SQL}) o",
     "identifier_quality": IDENTIFIER_SQL, "amount_parsing": AMOUNT_SQL, "date_parsing": DATE_SQL, "country_parsing": COUNTRY_SQL, "company_names": COMPANY_SQL,
     "document_classes": CLASS_SQL, "mail_pseudonyms": MAIL_SQL,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wharfline.operators import facts
 
@@ -74,6 +75,9 @@ def flatten_record(frame: DataFrame, key: str, columns: dict[str, str]) -> DataF
     return frame.select(key, F.explode(pairs).alias("p")).select(key, "p.*").where("wert is not null")
 
 
+MASTER = "akte.json"
+
+
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
     """All files below a folder of cases: akte (its folder's name), datei, inhalt, sha256."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
@@ -81,6 +85,23 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(parts, -2).alias("akte"), F.element_at(parts, -1).alias("datei"), F.col("content").alias("inhalt"), F.sha2("content", 256).alias("sha256"))
 
 
+def read_case_folders(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each file of each case folder: ordner, akte_id and stammdaten (from the folder's akte.json), ord (by name), datei, pfad, laenge, sha256, hinweis.
+
+    A folder without master data, or with some that aren't JSON or name no case, keeps its files and says so; one with master data alone has a row without a
+    file. Contents are hashed where they are read and aren't shuffled with their folders: who reads a file opens it by its path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    folder, name = F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.element_at(F.split("path", "/"), -1)
+    rows = files.select(folder.alias("ordner"), name.alias("datei"), "path", "length", F.sha2("content", 256).alias("sha256"), F.when(name == MASTER, F.col("content").cast("string")).alias("_json"))
+    kept = SCHEMA.split("dokumente array")[0].rstrip().rstrip(",")
+    master = rows.where(F.col("datei") == MASTER).select("ordner", F.lit(True).alias("_da"), F.from_json("_json", kept).alias("stammdaten"))
+    papers = rows.where(F.col("datei") != MASTER).drop("_json")
+    both = papers.join(master.hint("merge"), "ordner", "full_outer")
+    note = F.when(F.col("_da").isNull(), "keine Stammdaten im Ordner").when(F.col("stammdaten.akte_id").isNull(), "Stammdaten nicht lesbar").when(F.col("datei").isNull(), "keine Dateien im Ordner")
+    turn = Window.partitionBy("ordner").orderBy("datei")
+    return both.select("ordner", F.col("stammdaten.akte_id").alias("akte_id"), "stammdaten", (F.row_number().over(turn) - 1).alias("ord"), "datei", F.col("path").alias("pfad"), F.col("length").alias("laenge"), "sha256", note.alias("hinweis"))
+
+
 def merge_reply(stored_documents: DataFrame, stored_assertions: DataFrame, new_documents: DataFrame, new_assertions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New documents of a reply into the stored case: known contents are left out, ids get the batch's suffix -E<n>
     (n: one more than the stored ids that have one), and assertions follow their documents."""

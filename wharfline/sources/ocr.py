@@ -2,29 +2,105 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType, StructField, StructType
+
+from wharfline.operators.sheets import PAGES as SHEETS
+from wharfline.operators.sheets import let
 
 POINTS_PER_INCH = 72.0
-GLUE_GAP, LINE_TOLERANCE = 6.0, 4.5
-#: Marks that make a word of punctuation.
-MARKS = r"^[.,:;!?)\]}%/'\"-]+$"
 PAGES = """struct<analyzeResult: struct<pages: array<struct<pageNumber: int, unit: string, width: double, height: double,
   words: array<struct<content: string, confidence: double, polygon: array<double>>>>>>>"""
 
 
+def pages_from_layout(responses: DataFrame, width: float = 595.0, height: float = 842.0) -> DataFrame:
+    """responses (..., antwort: JSON of pages with words and polygons) -> the same with `seiten`: pages with their words in points, in place of the
+    response. A response that isn't such JSON has null."""
+
+    def page(p: Column, k: Column) -> Column:
+        scale = F.struct(*[F.when(p["unit"] == "inch", POINTS_PER_INCH).when(p["unit"] == "pixel", F.lit(full) / F.nullif(p[side], F.lit(0.0))).alias(side) for full, side in ((width, "width"), (height, "height"))])
+        words = let(scale, lambda s: F.transform(p["words"], lambda w: word(w, s)))
+        return F.struct(F.coalesce(p["pageNumber"], k + 1).alias("seite"), F.lit("ocr").alias("methode"), F.filter(words, lambda w: w["text"] != "").alias("woerter"))
+
+    def word(w: Column, s: Column) -> Column:
+        corners = F.transform(F.array(F.lit(0), F.lit(1)), lambda odd: F.filter(w["polygon"], lambda _, i: i % 2 == odd))
+        at = lambda cs, k, least, side: F.round((F.array_min if least else F.array_max)(cs[k]) * s[side], 2)
+        sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(w["confidence"], F.lit(0.0))))
+        return let(corners, lambda cs: F.struct(
+            at(cs, 1, True, "height").alias("top"), at(cs, 0, True, "width").alias("x0"), at(cs, 0, False, "width").alias("x1"), at(cs, 1, False, "height").alias("bottom"), F.trim(w["content"]).alias("text"), sure.alias("conf"),
+        ))
+
+    return responses.withColumn("seiten", F.transform(F.from_json("antwort", PAGES)["analyzeResult"]["pages"], page)).drop("antwort")
+
+
 def words_from_layout(responses: DataFrame, width: float = 595.0, height: float = 842.0) -> DataFrame:
-    """responses (doc_id, antwort: JSON of pages with words and polygons) -> words in points: doc_id, page, word_no, text, x0, top, x1, bottom, conf."""
-    pages = responses.select("doc_id", F.posexplode(F.from_json("antwort", PAGES)["analyzeResult"]["pages"]).alias("_i", "p"))
-    inch = F.col("p.unit") == "inch"
-    fx, fy = (F.when(inch, POINTS_PER_INCH).when(F.col("p.unit") == "pixel", F.lit(full) / F.nullif(F.col(f"p.{side}"), F.lit(0.0))) for full, side in ((width, "width"), (height, "height")))
-    rows = pages.select("doc_id", F.coalesce("p.pageNumber", F.col("_i") + 1).alias("page"), fx.alias("fx"), fy.alias("fy"), F.posexplode("p.words").alias("word_no", "w"))
-    corner = lambda odd: F.filter("w.polygon", lambda x, i: i % 2 == odd)
-    return rows.select(
-        "doc_id", "page", "word_no", F.trim("w.content").alias("text"),
-        F.round(F.array_min(corner(0)) * F.col("fx"), 2).alias("x0"), F.round(F.array_min(corner(1)) * F.col("fy"), 2).alias("top"), F.round(F.array_max(corner(0)) * F.col("fx"), 2).alias("x1"), F.round(F.array_max(corner(1)) * F.col("fy"), 2).alias("bottom"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("w.confidence", F.lit(0.0)))).alias("conf"),
-    ).where("text <> ''")
+    """responses (doc_id, antwort) -> words in points: doc_id, page, word_no, text, x0, top, x1, bottom, conf."""
+    pages = pages_from_layout(responses, width, height).select("doc_id", F.explode("seiten").alias("p"))
+    return pages.select("doc_id", F.col("p.seite").alias("page"), F.posexplode("p.woerter").alias("word_no", "w")).select("doc_id", "page", "word_no", "w.text", "w.x0", "w.top", "w.x1", "w.bottom", "w.conf")
+
+
+SEGMENTS = """struct<text: string, pages: array<struct<pageNumber: int, tokens: array<struct<layout: struct<textAnchor: struct<textSegments: array<struct<startIndex: string, endIndex: string>>>, confidence: double,
+  boundingPoly: struct<normalizedVertices: array<struct<x: double, y: double>>>>, detectedBreak: struct<type: string>>>>>>"""
+TOKENS = "array<struct<seite: int, marken: array<struct<teile: array<struct<von: int, bis: int>>, top: double, x0: double, x1: double, bottom: double, conf: double, umbruch: boolean>>>>"
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Words of each page from tokens that are slices of the row's text: a token adds to the word until one ends it."""
+    for batch in batches:
+        pages = batch.column("_seiten")
+        page = pages.flatten()
+        token = page.field("marken").flatten()
+        of_page = np.repeat(np.arange(len(page)), page.field("marken").value_lengths().fill_null(0).to_numpy())
+        of_row = np.repeat(np.arange(len(batch)), pages.value_lengths().fill_null(0).to_numpy())[of_page] if len(page) else of_page
+        parts = token.field("teile")
+        bounds = zip(parts.flatten().field("von").to_pylist(), parts.flatten().field("bis").to_pylist(), strict=True)
+        texts, said = batch.column("_text").to_pylist(), []
+        for row, n in zip(of_row.tolist(), parts.value_lengths().fill_null(0).to_pylist(), strict=True):
+            said.append("".join([texts[row][a:b] for a, b in islice(bounds, n)]).strip())
+        ends = token.field("umbruch").fill_null(False).to_numpy(zero_copy_only=False).astype(np.int64)
+        word = np.cumsum(ends) - ends  # how many words have ended before
+        kept = np.array([bool(t) for t in said], bool)
+        new = np.flatnonzero(np.diff(of_page[kept], prepend=-1) + np.diff(word[kept], prepend=-1) * len(page) != 0) if kept.any() else np.zeros(0, np.int64)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(new, kept.sum()), pa.int32()), pa.array([t for t in said if t], pa.string())), "") if len(new) else pa.array([], pa.string())
+        least = lambda name, f: pa.array(f.reduceat(token.field(name).to_numpy(zero_copy_only=False)[kept], new) if len(new) else np.zeros(0))  # noqa: B023, E731
+        words = pa.StructArray.from_arrays([least("top", np.minimum), least("x0", np.minimum), least("x1", np.maximum), least("bottom", np.maximum), joined, least("conf", np.minimum)], ["top", "x0", "x1", "bottom", "text", "conf"])
+        starts = np.searchsorted(of_page[kept][new], np.arange(len(page) + 1))
+        lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words)
+        whole = pa.StructArray.from_arrays([page.field("seite"), pa.array(["ocr"] * len(page), pa.string()), lists], ["seite", "methode", "woerter"])
+        offsets = np.concatenate([[0], np.cumsum(pages.value_lengths().fill_null(0).to_numpy())])
+        out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), whole, mask=pages.is_null()).cast(schema.field("seiten").type)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-1]), out], schema=schema)
+
+
+def pages_from_segments(responses: DataFrame, width: float = 595.0, height: float = 842.0) -> DataFrame:
+    """responses (..., antwort: JSON of one text, and pages of tokens that are slices of it, with corners as shares of the page) -> the same with
+    `seiten` in place of the response. A slice without a start begins at 0, and a token can have several. A response without a text or pages, or
+    with a token that has no corners, has null."""
+    a = F.from_json("antwort", SEGMENTS)
+
+    def token(t: Column) -> Column:
+        box = lambda name, side, f: F.round(f(F.transform(t["layout"]["boundingPoly"]["normalizedVertices"], lambda v: F.coalesce(v[name], F.lit(0.0)) * side)), 2)
+        parts = F.transform(F.coalesce(t["layout"]["textAnchor"]["textSegments"], F.array()), lambda s: F.struct(F.coalesce(s["startIndex"].try_cast("int"), F.lit(0)).alias("von"), F.coalesce(s["endIndex"].try_cast("int"), F.lit(0)).alias("bis")))
+        return F.struct(
+            parts.alias("teile"), box("y", height, F.array_min).alias("top"), box("x", width, F.array_min).alias("x0"), box("x", width, F.array_max).alias("x1"), box("y", height, F.array_max).alias("bottom"),
+            F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(t["layout"]["confidence"], F.lit(0.0)))).alias("conf"), t["detectedBreak"].isNotNull().alias("umbruch"),
+        )
+
+    pages = lambda d: F.when(d["text"].isNotNull(), F.transform(d["pages"], lambda p, k: F.struct(F.coalesce(p["pageNumber"], k + 1).alias("seite"), F.transform(F.coalesce(p["tokens"], F.array()), token).alias("marken"))))
+    read = responses.withColumn("_d", let(a, lambda d: F.struct(d["text"].alias("text"), pages(d).alias("seiten")))).drop("antwort")
+    boxless = F.exists("_d.seiten", lambda p: F.exists(p["marken"], lambda m: (F.size(m["teile"]) > 0) & m["x0"].isNull()))
+    rows = read.select(*[c for c in read.columns if c != "_d"], F.col("_d.text").alias("_text"), F.when(~boxless, F.col("_d.seiten")).cast(TOKENS).alias("_seiten"))
+    schema = StructType([*rows.schema.fields, StructField("seiten", DataType.fromDDL(SHEETS))])
+    return rows.mapInArrow(partial(_sliced, schema=to_arrow_schema(schema)), schema).drop("_text", "_seiten")
 
 
 def words_from_tokens(tokens: DataFrame) -> DataFrame:
@@ -38,27 +114,6 @@ def words_from_tokens(tokens: DataFrame) -> DataFrame:
     return numbered.groupBy("doc_id", "page", "word_no").agg(text.alias("text"), *[f(c).alias(c) for c, f in (("x0", F.min), ("top", F.min), ("x1", F.max), ("bottom", F.max), ("conf", F.min))])
 
 
-WORD = "struct<word_no: int, text: string, x0: double, top: double, x1: double, bottom: double, conf: double>"
-
-
-def glue_marks(words: DataFrame) -> DataFrame:
-    """Words of punctuation join their left neighbour. The neighbour is the joined one, so a page's words are folded in order."""
-    item = F.struct("word_no", "text", "x0", "top", "x1", "bottom", "conf").cast(WORD)
-    pages = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(item)).alias("_w"))
-
-    def step(done: Column, w: Column) -> Column:
-        last = F.element_at(done, -1)
-        near = (w["x0"] - last["x1"]).between(-1.0, GLUE_GAP) & (F.abs(w["top"] - last["top"]) <= LINE_TOLERANCE)
-        joined = F.struct(
-            last["word_no"].alias("word_no"), F.concat(last["text"], w["text"]).alias("text"), last["x0"].alias("x0"), F.least(last["top"], w["top"]).alias("top"),
-            F.greatest(last["x1"], w["x1"]).alias("x1"), F.greatest(last["bottom"], w["bottom"]).alias("bottom"), F.least(last["conf"], w["conf"]).alias("conf"),
-        ).cast(WORD)
-        return F.when((F.size(done) > 0) & w["text"].rlike(MARKS) & near, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(w)))
-
-    folded = F.aggregate("_w", F.array().cast(f"array<{WORD}>"), lambda a, w: F.when(F.size(a) == 0, F.array(w)).otherwise(step(a, w)))
-    return pages.select("doc_id", "page", F.explode(folded).alias("w")).select("doc_id", "page", "w.*")
-
-
 ALERTS = "struct<alerts: array<struct<fingerprint: string, status: string, startsAt: string, endsAt: string, labels: map<string, string>, annotations: map<string, string>>>>"
 
 
