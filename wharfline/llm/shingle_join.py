@@ -19,7 +19,7 @@ for certain, and whole sets are built and shuffled for the other pairs alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -123,13 +123,35 @@ def star_pairs(shared: DataFrame) -> DataFrame:
     return shared.where((F.col("row") != F.col("least")) & near_in_size(F.col("n"), F.col("least_n"))).select(F.col("least").alias("u"), F.col("row").alias("v")).distinct()
 
 
-def crossing_pairs(shared: DataFrame, linked: DataFrame, tried: DataFrame) -> DataFrame:
-    """(u, v) of all rows that share a prefix shingle, can be similar by their sizes, aren't linked (node, component) and aren't in `tried`."""
+#: How often the rows of a shingle are dealt into twos before all of them are compared.
+DEALS = 12
+
+
+def _mixed(shared: DataFrame, linked: DataFrame) -> DataFrame:
+    """The rows, with their components, of shingles that rows of several components hold; `held`: how many rows hold it."""
     named = shared.join(linked.hint("merge"), F.col("row") == F.col("node"), "left").select("shingle", "row", "n", "place", F.coalesce("component", "row").alias("component"))
     named = stage(named, "named-prefixes")
-    mixed = named.groupBy("shingle").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("shingle")
+    mixed = named.groupBy("shingle").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("held")).where("_a < _b").select("shingle", "held")
     mixed = stage(named.join(mixed.hint("merge"), "shingle"), "mixed-prefixes")
     discard(named)
+    return mixed
+
+
+def dealt_pairs(shared: DataFrame, linked: DataFrame, tried: DataFrame) -> DataFrame:
+    """(u, v): the rows of each mixed shingle dealt into groups of about two, some times over: a few pairs for each row. What they link holds most of a large group
+    of copies together, whose pairs needn't all be compared then. A group's pair is a least and a greatest row, so nothing is gathered."""
+    mixed, deals = _mixed(shared, linked), []
+    for k in range(DEALS):
+        group = F.pmod(F.xxhash64("row", F.lit(k)), F.greatest(F.floor(F.col("held") / 2), F.lit(1)))
+        side = F.struct("row", "component", "n")
+        deals.append(mixed.groupBy("shingle", group.alias("_g")).agg(F.min(side).alias("a"), F.max(side).alias("b")).where((F.col("a.component") != F.col("b.component")) & near_in_size(F.col("a.n"), F.col("b.n"))))
+    pairs = reduce(DataFrame.unionByName, deals).select(F.col("a.row").alias("u"), F.col("b.row").alias("v")).distinct()
+    return pairs.join(tried.hint("merge"), ["u", "v"], "left_anti")
+
+
+def crossing_pairs(shared: DataFrame, linked: DataFrame, tried: DataFrame) -> DataFrame:
+    """(u, v) of all rows that share a prefix shingle, can be similar by their sizes, aren't linked (node, component) and aren't in `tried`."""
+    mixed = _mixed(shared, linked)
     a, b = mixed.alias("a"), mixed.alias("b")
     # at the first shingle two sets share, all they can have in common comes from there on
     common = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))

@@ -39,7 +39,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from wharfline.llm.common import chunks, discard, documents, join_per_key, stage, with_keys, wrapped
 from wharfline.llm.components import connected_components
-from wharfline.llm.shingle_join import crossing_pairs, shared_prefixes, similar, star_pairs, summaries
+from wharfline.llm.shingle_join import crossing_pairs, dealt_pairs, shared_prefixes, similar, star_pairs, summaries
 from wharfline.llm.shingles import majority, shingle_hashes
 
 SHINGLE = 3
@@ -131,7 +131,8 @@ def similar_rows(rows: DataFrame, text_col: str = "text", shingle: int = STAGE_S
 
     Fingerprints within the radius and the least row of each shared prefix shingle
     give first candidates, linear in the input. What they link isn't compared
-    again; all other pairs that share a prefix shingle are.
+    again; of all other pairs that share a prefix shingle a few for each row are
+    compared first, and then all that are still apart.
     """
     texts = rows.select(F.col("_row").alias("row"), F.col(text_col).alias("text"))
     prints, counts = summaries(texts, shingle)
@@ -141,14 +142,16 @@ def similar_rows(rows: DataFrame, text_col: str = "text", shingle: int = STAGE_S
     shared = shared_prefixes(texts, counts, shingle)
     first = stage(equal.unionByName(within).unionByName(star_pairs(shared)).distinct(), "first-pairs")
     links = similar(first, prints, texts, shingle)
-    rest = stage(crossing_pairs(shared, connected_components(links), first), "rest-pairs")
-    for used in (shared, first, reps):
+    dealt = stage(dealt_pairs(shared, connected_components(links), first), "dealt-pairs")
+    held = similar(dealt, prints, texts, shingle)
+    rest = stage(crossing_pairs(shared, connected_components(links.unionByName(held)), first.unionByName(dealt)), "rest-pairs")
+    for used in (shared, first, dealt, reps):
         discard(used)
     more = similar(rest, prints, texts, shingle)
     discard(rest)
-    found = connected_components(links.unionByName(more))
-    discard(links)
-    discard(more)
+    found = connected_components(links.unionByName(held).unionByName(more))
+    for used in (links, held, more):
+        discard(used)
     return found
 
 
