@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 import xxhash
@@ -101,6 +102,39 @@ def test_log_frequency_filter():
     assert (np.abs(np.log(values / counts[counts > 1])) < math.log(1.45)).all()
 
 
+@pytest.fixture(scope="module")
+def exact_scores():
+    """Scores of the small table's texts from a plain table of quantised pair counts."""
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    lists = {r["doc_id"]: [*(r["text"] or "").encode().lower().split(), b"\n"] for r in table}
+    n, pairs, mass = Counter(), Counter(), Counter()
+    for i, toks in lists.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            n.update(toks)
+            pairs.update(zip([b"\n", *toks], toks))
+    levels = lm_scoring.level_of(np.array(list(pairs.values())))
+    counts = lm_scoring.level_counts(int(levels.max()))[levels] - lm_scoring.DISCOUNT
+    held = dict(zip(pairs, counts.tolist(), strict=True))
+    for (a, _), c in held.items():
+        mass[a] += c
+    scale, scores = sum(n.values()) + 0.1 * (len(n) + 1), {}
+    for i, toks in lists.items():
+        total = 0.0
+        for a, b in zip([b"\n", *toks], toks):
+            base, history = (n[b] + 0.1) / scale, max(n[a], mass[a] / 0.999)
+            total += math.log10(held.get((a, b), 0.0) / history + (1 - mass[a] / history) * base if history else base)
+        scores[i] = total, len(toks)
+    return scores
+
+
+@pytest.mark.parametrize("filter_bits", [lm_scoring.FILTER_BITS, 1 << 22, 1 << 21])
+def test_lm_scores_are_those_of_a_table_of_counts(spark, exact_scores, filter_bits):
+    got = lm_scoring.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), filter_bits=filter_bits, hot=20_000).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: n for i, (_, n) in exact_scores.items()}
+    off = sum(abs(r.score - exact_scores[r.doc_id][0]) for r in got) / sum(r.n_tokens for r in got)
+    assert off < 1e-4, off
+
+
 def test_lm_probabilities_of_followers_sum_to_one(spark):
     texts = [("a b a c a b d a b " * 20, k) for k in range(40)]
     frame = spark.createDataFrame([(k, t) for t, k in texts], "doc_id long, text string")

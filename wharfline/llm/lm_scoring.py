@@ -1,21 +1,24 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 All training tokens are counted: words exactly, and pairs of neighbouring words by a
-64-bit key (32 bits of each word's hash). Pair counts are quantised on a log scale;
-level l of a pair is held as l members (pair, 1) to (pair, l) of a Bloom filter, and
-a count is read by probing level after level until one is missing. The filter is
-made of blocks; a pair's members share a block, so blocks are built by Spark's tasks
-apart and broadcast together.
+64-bit key (32 bits of each word's hash). Pair counts, from 1 on, are quantised on a log
+scale; level l of a pair is held as l members (pair, 1) to (pair, l) of a Bloom filter,
+and a count is read by probing level after level until one is missing. A member sets five
+bits in each of two 64-bit words of its block, at every level alike; with `BITS_A_MEMBER`
+bits a member about one probe in 10,000 finds a member that isn't there.
 
 P(word | previous) = (count - D) / c(previous) where the pair is in the filter, plus
 the mass left over times the base probability of the word. c and the mass of the
 frequent words are broadcast; those of all others come by a shuffled join.
 
-Bounds of what is broadcast: `HOT` frequent words, and `FILTER_BITS` of filter. The
-frequency a word is frequent from, and the count that a pair enters the filter from
-(2 at least), are the lowest with which all fits. Words that aren't frequent get
-their exact counts by a shuffled join; each of them has few training rows. Pairs
-below the filter's count get theirs by a shuffled join on the pair's key.
+The filter is made of blocks, and all members of a pair lie in one. Spark's tasks build
+blocks apart. A filter of more than `FILTER_BITS` is broadcast in ranges of blocks, one
+after the other: each range is a pass over the texts that scores the tokens whose pairs
+lie in it, so all pairs are in the filter and scores don't depend on the bound.
+
+Bounds of what is broadcast: `HOT` frequent words (the frequency a word is frequent from
+is the lowest with which all fit), and `FILTER_BITS` of filter at a time. Words that
+aren't frequent get their exact counts by a shuffled join; each of them has few training rows.
 
 Defined results: a null text is empty and scores its end token; a null id counts as
 the empty text for the fold; repeated rows are each counted and scored; very long texts
@@ -27,7 +30,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import repeat
 
 import numpy as np
@@ -44,15 +47,13 @@ from wharfline.llm.common import chunks, discard, documents, fold, stage
 END = b"\n"  # no word holds white space
 FOLDS = 10
 HOT = 1 << 18
-FILTER_BITS = 1 << 29
-BLOCK_BITS = 18
-BITS_A_MEMBER = 12
-#: Probes of a member of level 1, which decides whether a pair is held, and of those above it, where an error is one step of the scale.
-PROBES, MORE_PROBES = 7, 3
-#: Counts 2, 3, ... are quantised in steps of this factor.
+FILTER_BITS = 1 << 30
+BLOCK_BITS = 20
+BITS_A_MEMBER = 24
+#: Counts up to this have a level each; from there on levels go in steps of the factor.
+EXACT = 3
 STEP = 1.4
 DISCOUNT = 0.75
-MIN_COUNT = 2
 #: Pair keys that a task holds before it hands on their counts.
 HELD_KEYS = 1 << 22
 HELD_WORDS = 1 << 18
@@ -63,14 +64,15 @@ def tokens(text: str) -> list[bytes]:
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
-    return np.where(counts >= MIN_COUNT, np.floor(np.log(np.maximum(counts, MIN_COUNT) / MIN_COUNT) / np.log(STEP) + 1e-9).astype(np.int64) + 1, 0)
+    above = np.floor(np.log(np.maximum(counts, EXACT) / EXACT) / np.log(STEP) + 1e-9).astype(np.int64)
+    return np.minimum(counts, EXACT) + above
 
 
 def level_counts(levels: int) -> np.ndarray:
     """The count that each level stands for; 0 for none."""
-    low = np.ceil(MIN_COUNT * STEP ** np.arange(levels) - 1e-9)
-    high = np.maximum(low, np.ceil(MIN_COUNT * STEP ** np.arange(1, levels + 1) - 1e-9) - 1)
-    return np.concatenate([[0.0], np.sqrt(low * high)])
+    low = np.arange(1, levels + 2, dtype=float)
+    low[EXACT:] = np.ceil(EXACT * STEP ** np.arange(1, len(low) - EXACT + 1) - 1e-9)
+    return np.concatenate([[0.0], np.sqrt(low[:-1] * np.maximum(low[:-1], low[1:] - 1))])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -80,42 +82,59 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
-    return (_mix(keys) >> np.uint64(20)) % np.uint64(blocks)
+    """Both halves of a key are hashes; with an odd number of blocks both of them settle the remainder."""
+    return keys.view(np.int64) % blocks
 
 
-def _member(mixed: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """First place and step of a member's probes within its block; mixed: hashes of the keys."""
-    h = _mix(mixed + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
-    return h, (h >> np.uint64(32)) | np.uint64(1)
+def _masks() -> np.ndarray:
+    """2^16 words with five bits set."""
+    h, masks = _mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64)), np.zeros(1 << 16, np.uint64)
+    for k in range(12):
+        few = np.bitwise_count(masks) < 5
+        masks[few] |= np.uint64(1) << (_mix(h + np.uint64(k))[few] & np.uint64(63))
+    return masks
 
 
-PLACES = np.uint64((1 << BLOCK_BITS) - 1)
+MASKS = _masks()
+#: 64-bit words of a block.
+BLOCK_WORDS = 1 << (BLOCK_BITS - 6)
 
 
-def build_block(keys: np.ndarray, levels: np.ndarray) -> bytes:
-    bits, mixed = np.zeros(1 << BLOCK_BITS, np.uint8), _mix(keys)
-    for level in range(1, int(levels.max(initial=0)) + 1):
-        place, step = _member(mixed[levels >= level], level)
-        for _ in range(PROBES if level == 1 else MORE_PROBES):
-            bits[place & PLACES] = 1
-            place = place + step
-    return np.packbits(bits, bitorder="little").tobytes()
+def _member(mixed: np.ndarray, level: int) -> np.ndarray:
+    """30 bits of a member's hash say the first word and its mask, the next 30 the second; mixed: hashes of the keys."""
+    return _mix(mixed + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
+
+
+def _half(member: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word within the block, mask) of a member's first or second half."""
+    h = member >> np.uint64(30 * half)
+    return (h & np.uint64(BLOCK_WORDS - 1)).astype(np.int64), MASKS[(h >> np.uint64(BLOCK_BITS - 6)) & np.uint64(0xFFFF)]
 
 
-def read_levels(blocks: np.ndarray, keys: np.ndarray, most: int) -> np.ndarray:
-    """Levels of the keys: probes go on with level 1, 2, ... until a member is missing. blocks: bytes, a row each."""
+def build_block(keys: np.ndarray, levels: np.ndarray) -> bytes:
+    words, mixed = np.zeros(BLOCK_WORDS, np.uint64), _mix(keys)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        member = _member(mixed[levels >= level], level)
+        for half in (0, 1):
+            at, mask = _half(member, half)
+            order = np.argsort(at.astype(np.uint16), kind="stable")
+            at = at[order]
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            words[at[first]] |= np.bitwise_or.reduceat(mask[order], first)
+    return words.tobytes()
+
+
+def read_levels(bits: np.ndarray, keys: np.ndarray, most: int, blocks: int = 0, first: int = 0) -> np.ndarray:
+    """Levels of the keys: probes go on with level 1, 2, ... until a member is missing. bits: bytes of blocks, a row each, of `blocks` in all from the `first` on."""
     levels = np.zeros(len(keys), np.int64)
-    if not len(blocks):
-        return levels
-    mixed, flat, rows = _mix(keys), blocks.reshape(-1), np.arange(len(keys))
-    base = ((mixed >> np.uint64(20)) % np.uint64(len(blocks))) << np.uint64(BLOCK_BITS)
+    mixed, flat, rows = _mix(keys), bits.reshape(-1).view(np.uint64), np.arange(len(keys))
+    base = (block_of(keys, blocks or len(bits)) - first) * BLOCK_WORDS
     for level in range(1, most + 1):
-        place, step = _member(mixed[rows], level)
-        start = base[rows]
-        for _ in range(PROBES if level == 1 else MORE_PROBES):
-            at = start + (place & PLACES)
-            held = np.flatnonzero((flat[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
-            rows, place, step, start = rows[held], place[held] + step[held], step[held], start[held]
+        member = _member(mixed, level)
+        for half in (0, 1):
+            at, mask = _half(member, half)
+            held = np.flatnonzero((flat[base + at] & mask) == mask)
+            rows, base, mixed, member = rows[held], base[held], mixed[held], member[held]
         if not len(rows):
             break
         levels[rows] = level
@@ -136,8 +155,8 @@ class Words:
         """(index, -1 for others; hash) of each token."""
         index = np.fromiter(map(self.index.get, stream, repeat(-1)), np.int64, len(stream))
         hashes = self.hash[index] if len(self.hash) else np.zeros(len(stream), np.uint64)
-        for k in np.flatnonzero(index < 0).tolist():
-            hashes[k] = xxhash.xxh32_intdigest(stream[k])
+        cold = np.flatnonzero(index < 0)
+        hashes[cold] = np.fromiter(map(xxhash.xxh32_intdigest, map(stream.__getitem__, cold.tolist())), np.uint64, len(cold))
         return index, hashes
 
     def pairs(self, stream: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,41 +195,37 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], words: Broadcast) -> Iterato
         yield pack()
 
 
-def _levels(batches: Iterator[pa.RecordBatch], blocks: int, raised: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = batch.column("key").to_numpy().view(np.uint64)
-        levels = batch.column("level").to_numpy(zero_copy_only=False) - raised
-        yield pa.RecordBatch.from_arrays([pa.array(block_of(keys, blocks).astype(np.int64)), batch.column("key"), pa.array(levels.astype(np.int32))], ["block", "key", "level"])
-
-
 def _build(key: tuple, table: pa.Table) -> pa.Table:
     bits = build_block(table.column("key").to_numpy().view(np.uint64), table.column("level").to_numpy())
     return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([bits], pa.binary())})
 
 
 #: rare: tokens that a join has still to complete. A null token is frequent and has its count c; a null h (hash of
-#: the word before) stands for a frequent word, whose history and mass are given; held is the discounted pair count, to
-#: be looked up by key where that isn't null.
-SCORED = "n_tokens long, known long, base double, score double, rare array<struct<token: binary, c: double, h: long, history: double, mass: double, held: double, key: long>>"
+#: the word before) stands for a frequent word, whose history and mass are given; held is the discounted pair count.
+SCORED = "n_tokens long, known long, base double, score double, rare array<struct<token: binary, c: double, h: long, history: double, mass: double, held: double>>"
 
 
-def _score(batches: Iterator[pa.RecordBatch], words: Broadcast, blocks: Broadcast, most: int, raised: int, scale: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    table, bits = words.value, blocks.value
-    values = level_counts(most + raised)
+def _score(batches: Iterator[pa.RecordBatch], words: Broadcast, part: Broadcast, first: int, blocks: int, most: int, scale: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Sums over the tokens whose pairs lie in this part of the filter."""
+    table, bits = words.value, part.value
+    values = level_counts(most)
     log_base = np.log10((table.count + 0.1) / scale)
     for ids, texts in chunks(batches):
         lists = [tokens(text) for text in texts]
         stream = [t for x in lists for t in x]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        doc = np.repeat(np.arange(len(lists)), np.fromiter(map(len, lists), np.int64, len(lists)))
         index, before, keys = table.pairs(stream)
-        levels = read_levels(bits, keys, most)
-        held = np.where(levels > 0, values[np.where(levels > 0, levels + raised, 0)] - DISCOUNT, 0.0)
+        names = np.arange(len(stream))
+        if len(bits) < blocks:
+            names = np.flatnonzero((block_of(keys, blocks) - first).view(np.uint64) < np.uint64(len(bits)))
+            index, before, keys, doc = index[names], before[names], keys[names], doc[names]
+        levels = read_levels(bits, keys, most, blocks, first)
+        held = np.where(levels > 0, values[levels] - DISCOUNT, 0.0)
         hot, after = index >= 0, before >= 0
-        doc = np.repeat(np.arange(len(lists)), sizes)
         total = lambda x, at: np.bincount(doc[at], x, len(lists)).astype(np.float64)  # noqa: B023, E731
         base = total(log_base[index[hot]], hot)
         known = np.bincount(doc[hot], minlength=len(lists))
-        done = hot & after & (levels > 0) if raised else hot & after
+        done = hot & after
         history, mass = table.history[before[done]], table.mass[before[done]]
         score = total(np.log10(held[done] / history + (1 - mass / history) * 10.0 ** log_base[index[done]]), done)
         rare = np.flatnonzero(~done)
@@ -218,12 +233,13 @@ def _score(batches: Iterator[pa.RecordBatch], words: Broadcast, blocks: Broadcas
         cold, lone = hot[rare], ~after[rare]
         of = lambda x, at, none: pa.array(x[at[rare]] if len(x) else np.zeros(len(rare)), mask=none)  # noqa: B023, E731
         fields = {
-            "token": pa.array([None if hot[k] else stream[k] for k in rare.tolist()], pa.binary()), "c": of(table.count, index, ~cold),
+            "token": pa.array([None if h else stream[k] for k, h in zip(names[rare].tolist(), cold.tolist(), strict=True)], pa.binary()), "c": of(table.count, index, ~cold),
             "h": pa.array((keys[rare] >> np.uint64(32)).astype(np.int64), mask=~lone), "history": of(table.history, before, lone), "mass": of(table.mass, before, lone),
-            "held": pa.array(held[rare]), "key": pa.array(keys[rare].view(np.int64), mask=(levels[rare] > 0) | (raised == 0)),
+            "held": pa.array(held[rare]),
         }
         inner = pa.StructArray.from_arrays(list(fields.values()), list(fields))
         column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)
+        sizes = np.bincount(doc, minlength=len(lists))
         columns = [pa.array(ids, schema.field("id").type), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), column.cast(schema.field("rare").type)]
         yield pa.RecordBatch.from_arrays(columns, schema.names)
 
@@ -255,16 +271,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     del found
 
     sent = spark.sparkContext.broadcast(words)
-    pairs = train.mapInArrow(partial(_count_pairs, words=sent), "key long, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("c")).where(F.col("c") >= MIN_COUNT)
-    level = (F.floor(F.ln(F.col("c") / MIN_COUNT) / float(np.log(STEP)) + 1e-9) + 1).cast("int")
+    pairs = train.mapInArrow(partial(_count_pairs, words=sent), "key long, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("c"))
+    level = (F.least("c", F.lit(EXACT)) + F.floor(F.ln(F.greatest("c", F.lit(EXACT)) / EXACT) / float(np.log(STEP)) + 1e-9)).cast("int")
     pairs = stage(pairs.select("key", level.alias("level")), "lm-pairs")
     sizes = {r[0]: r[1] for r in pairs.groupBy("level").count().collect()}
-    top, raised = max(sizes, default=0), 0
-    members = lambda raised: sum(m * max(0, k - raised) for k, m in sizes.items())
-    while members(raised) * BITS_A_MEMBER > filter_bits:
-        raised += 1
-    blocks = max(1, -(-members(raised) * BITS_A_MEMBER // (1 << BLOCK_BITS)))
-    kept = pairs.where(F.col("level") > raised)
+    top = max(sizes, default=0)
+    blocks = -(-sum(m * k for k, m in sizes.items()) * BITS_A_MEMBER // (1 << BLOCK_BITS)) | 1
     values = level_counts(top)
     value = F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.col("level") + 1)
     mass = pairs.groupBy(F.shiftrightunsigned("key", 32).alias("h")).agg(F.sum(value - DISCOUNT).alias("mass"))
@@ -278,24 +290,33 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if len(hashes):
         there = hashes[at] == words.hash
         words.history, words.mass = (np.where(there, found.column(c).to_numpy()[at], other) for c, other in (("history", words.count), ("mass", 0.0)))
-    built = kept.mapInArrow(partial(_levels, blocks=blocks, raised=raised), "block long, key long, level int").groupBy("block").applyInArrow(_build, "block long, bits binary")
-    bits = np.zeros((blocks, 1 << (BLOCK_BITS - 3)), np.uint8)
-    for block, part in zip(*(c.to_pylist() for c in built.toArrow().columns), strict=True):  # `filter_bits` at most
-        bits[block] = np.frombuffer(part, np.uint8)
-    if not raised:
-        discard(pairs)
-    table, filter_ = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(bits)
-
+    built = pairs.select(F.pmod("key", F.lit(blocks)).alias("block"), "key", "level").groupBy("block").applyInArrow(_build, "block long, bits binary")
+    built = stage(built, "lm-filter")
+    discard(pairs)
+    table = spark.sparkContext.broadcast(words)
+
+    # a row is known by its number: ids may repeat
+    rows = rows.select(F.struct("id", F.monotonically_increasing_id().alias("row")).alias("id"), "text")
+    size = max(1, filter_bits >> BLOCK_BITS)
+    if blocks > size:
+        rows = stage(rows, "lm-texts")  # so that a row has the same number in each pass
     schema = StructType([StructField("id", rows.schema["id"].dataType), *_parse_datatype_string(SCORED).fields])
-    scored = rows.mapInArrow(partial(_score, words=table, blocks=filter_, most=top - raised, raised=raised, scale=scale, schema=to_arrow_schema(schema)), schema)
-    scored = stage(scored.withColumn("_row", F.monotonically_increasing_id()), "lm-scores")
-    for used in (sent, table, filter_):  # no later plan reads them
+    passes = []
+    for first in range(0, blocks, size):
+        bits = np.zeros((min(size, blocks - first), 8 * BLOCK_WORDS), np.uint8)
+        found = built.where((F.col("block") >= first) & (F.col("block") < first + size)).toArrow()  # `filter_bits` at most
+        for block, part in zip(found.column("block").to_pylist(), found.column("bits"), strict=True):
+            bits[block - first] = np.frombuffer(part.as_buffer(), np.uint8)
+        del found
+        sent_bits = spark.sparkContext.broadcast(bits)
+        passes.append(stage(rows.mapInArrow(partial(_score, words=table, part=sent_bits, first=first, blocks=blocks, most=top, scale=scale, schema=to_arrow_schema(schema)), schema), "lm-scores"))
+        sent_bits.destroy()  # no later plan reads it
+    for used in (sent, table):
         used.destroy()
-    rare = scored.select("_row", F.explode("rare").alias("r")).select("_row", "r.*")
-    if raised:
-        low = pairs.where(F.col("level") <= raised).select("key", (value - DISCOUNT).alias("_held"))
-        sought = rare.where(F.col("key").isNotNull()).join(low.hint("merge"), "key", "left").withColumn("held", F.coalesce("_held", "held"))
-        rare = rare.where(F.col("key").isNull()).unionByName(sought.select(rare.columns))
+    scored = reduce(DataFrame.unionByName, passes)
+    rare = scored.select(F.col("id.row").alias("_row"), F.explode("rare").alias("r")).select("_row", "r.*")
+    scored = scored.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "score")]) if len(passes) > 1 else scored.drop("rare")
+    scored = scored.select("id.id", F.col("id.row").alias("_row"), "n_tokens", "known", "base", "score")
     # what needs no join on a column is spread by keys that meet nothing: no word starts with white space, no hash is negative
     rare = rare.withColumns({"_rare": F.col("token").isNotNull(), "token": F.coalesce("token", F.concat(F.lit("\n "), F.col("_row").cast("string")).cast("binary")), "h": F.coalesce("h", -1 - F.col("_row"))})
     rare = rare.join(counts.select("token", F.col("c").alias("_c")).hint("merge"), "token", "left")
