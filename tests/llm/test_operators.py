@@ -168,6 +168,15 @@ def test_exact_dedup(docs, empty, heavy_rows):
     assert exact_dedup.mark_duplicates(empty).count() == 0 and exact_dedup.drop_duplicates(empty).count() == 0
 
 
+def test_exact_dedup_of_many_groups_beyond_the_heavy_ones(spark):
+    """More frequent digests than winners; the hottest of the rest are broadcast."""
+    frame = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text  "), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 300).cast("string")).alias("text"))
+    want = frame.groupBy("text").agg(F.min("doc_id").alias("k"), F.count("*").alias("n")).collect()
+    got = exact_dedup.mark_duplicates(frame, heavy=1, hot_rows=100)
+    assert sorted((r.keep_id, r.group_size, r.c, r.s) for r in got.groupBy("keep_id", "group_size").agg(F.count("*").alias("c"), F.sum(F.col("kept").cast("int")).alias("s")).collect()) == sorted((r.k, r.n, r.n, 1) for r in want)
+    assert sorted(r.doc_id for r in exact_dedup.drop_duplicates(frame, heavy=1).collect()) == sorted(r.k for r in want)
+
+
 # 3
 @pytest.fixture(scope="module")
 def ranks():
