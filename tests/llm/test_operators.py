@@ -93,10 +93,11 @@ def test_log_frequency_filter():
     keys = np.arange(1, 5001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.tile([1, 2, 3, 9, 200], 1000)
     levels = lm_scoring.level_of(counts)
-    blocks = 40
-    of = lm_scoring.block_of(keys, blocks)
-    bits = np.stack([np.frombuffer(lm_scoring.build_block(keys[of == b], levels[of == b]), np.uint8) for b in range(blocks)])
-    read = lm_scoring.read_levels(bits, keys, int(levels.max()))
+    buckets = 41
+    of = lm_scoring.bucket_of(keys, buckets)
+    words = [lm_scoring.build_bucket(keys[of == b], levels[of == b]) for b in range(buckets)]
+    starts = np.cumsum([0, *map(len, words)]).astype(np.uint64)
+    read = lm_scoring.read_levels(np.concatenate(words), starts, of, keys, int(levels.max()))
     assert (read >= levels).all() and (read != levels).mean() < 0.02
     values = lm_scoring.level_counts(int(levels.max()))[levels[counts > 1]]
     assert (np.abs(np.log(values / counts[counts > 1])) < math.log(1.45)).all()

@@ -4,17 +4,17 @@ All training tokens are counted: words exactly, and pairs of neighbouring words
 64-bit key (32 bits of each word's hash). Pair counts, from 1 on, are quantised on a log
 scale; level l of a pair is held as l members (pair, 1) to (pair, l) of a Bloom filter,
 and a count is read by probing level after level until one is missing. A member sets five
-bits in each of two 64-bit words of its block, at every level alike; with `BITS_A_MEMBER`
+bits in each of two 64-bit words of its bucket, at every level alike; with `BITS_A_MEMBER`
 bits a member about one probe in 10,000 finds a member that isn't there.
 
 P(word | previous) = (count - D) / c(previous) where the pair is in the filter, plus
 the mass left over times the base probability of the word. c and the mass of the
 frequent words are broadcast; those of all others come by a shuffled join.
 
-The filter is made of blocks, and all members of a pair lie in one. Spark's tasks build
-blocks apart. A filter of more than `FILTER_BITS` is broadcast in ranges of blocks, one
-after the other: each range is a pass over the texts that scores the tokens whose pairs
-lie in it, so all pairs are in the filter and scores don't depend on the bound.
+Pairs are dealt into buckets of about `BUCKET_TOKENS` training tokens. A bucket's task adds up
+its pairs and builds its part of the filter. A filter of more than `FILTER_BITS` is broadcast
+in ranges of buckets, one after the other: each range is a pass over the texts that scores the
+tokens whose pairs lie in it, so all pairs are in the filter and scores don't depend on the bound.
 
 Bounds of what is broadcast: `HOT` frequent words (the frequency a word is frequent from
 is the lowest with which all fit), and `FILTER_BITS` of filter at a time. Words that
@@ -35,6 +35,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -42,13 +43,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from wharfline.llm.common import chunks, discard, documents, fold, stage
+from wharfline.llm.common import chunks, documents, fold, stage
 
 END = b"\n"  # no word holds white space
 FOLDS = 10
 HOT = 1 << 18
 FILTER_BITS = 1 << 30
-BLOCK_BITS = 20
+BUCKET_TOKENS = 1 << 18
 BITS_A_MEMBER = 24
 #: Counts up to this have a level each; from there on levels go in steps of the factor.
 EXACT = 3
@@ -81,9 +82,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
-    """Both halves of a key are hashes; with an odd number of blocks both of them settle the remainder."""
-    return keys.view(np.int64) % blocks
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Both halves of a key are hashes; with an odd number of buckets both of them settle the remainder."""
+    return keys.view(np.int64) % buckets
 
 
 def _masks() -> np.ndarray:
@@ -96,45 +97,46 @@ def _masks() -> np.ndarray:
 
 
 MASKS = _masks()
-#: 64-bit words of a block.
-BLOCK_WORDS = 1 << (BLOCK_BITS - 6)
 
 
 def _member(mixed: np.ndarray, level: int) -> np.ndarray:
-    """30 bits of a member's hash say the first word and its mask, the next 30 the second; mixed: hashes of the keys."""
+    """Hash of a member; mixed: hashes of the keys."""
     return _mix(mixed + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
 
 
-def _half(member: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word within the block, mask) of a member's first or second half."""
-    h = member >> np.uint64(30 * half)
-    return (h & np.uint64(BLOCK_WORDS - 1)).astype(np.int64), MASKS[(h >> np.uint64(BLOCK_BITS - 6)) & np.uint64(0xFFFF)]
+def _places(member: np.ndarray, width: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(word, mask) of a member among `width` words: the upper half of its hash says the word, 16 bits of the lower the mask."""
+    return ((member >> np.uint64(32)) * width) >> np.uint64(32), MASKS[member & np.uint64(0xFFFF)]
 
 
-def build_block(keys: np.ndarray, levels: np.ndarray) -> bytes:
-    words, mixed = np.zeros(BLOCK_WORDS, np.uint64), _mix(keys)
+def build_bucket(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The 64-bit words of a bucket's filter."""
+    width = max(1, -(-int(levels.sum()) * BITS_A_MEMBER // 64))
+    words, mixed = np.zeros(width, np.uint64), _mix(keys)
     for level in range(1, int(levels.max(initial=0)) + 1):
         member = _member(mixed[levels >= level], level)
-        for half in (0, 1):
-            at, mask = _half(member, half)
-            order = np.argsort(at.astype(np.uint16), kind="stable")
-            at = at[order]
+        for _ in range(2):
+            at, mask = _places(member, np.uint64(width))
+            order = np.argsort(at)
+            at = at[order].view(np.int64)
             first = np.flatnonzero(np.diff(at, prepend=-1))
             words[at[first]] |= np.bitwise_or.reduceat(mask[order], first)
-    return words.tobytes()
+            member = _mix(member)
+    return words
 
 
-def read_levels(bits: np.ndarray, keys: np.ndarray, most: int, blocks: int = 0, first: int = 0) -> np.ndarray:
-    """Levels of the keys: probes go on with level 1, 2, ... until a member is missing. bits: bytes of blocks, a row each, of `blocks` in all from the `first` on."""
+def read_levels(words: np.ndarray, starts: np.ndarray, buckets: np.ndarray, keys: np.ndarray, most: int) -> np.ndarray:
+    """Levels of the keys: probes go on with level 1, 2, ... until a member is missing. words: those of some buckets; starts: where each begins, and the end; buckets: of the keys, counted from the first."""
     levels = np.zeros(len(keys), np.int64)
-    mixed, flat, rows = _mix(keys), bits.reshape(-1).view(np.uint64), np.arange(len(keys))
-    base = (block_of(keys, blocks or len(bits)) - first) * BLOCK_WORDS
+    mixed, rows, base, width = _mix(keys), np.arange(len(keys)), starts[buckets], np.diff(starts)[buckets]
     for level in range(1, most + 1):
+        filled = np.flatnonzero(width) if level == 1 else slice(None)
+        rows, base, width, mixed = rows[filled], base[filled], width[filled], mixed[filled]
         member = _member(mixed, level)
-        for half in (0, 1):
-            at, mask = _half(member, half)
-            held = np.flatnonzero((flat[base + at] & mask) == mask)
-            rows, base, mixed, member = rows[held], base[held], mixed[held], member[held]
+        for _ in range(2):
+            at, mask = _places(member, width)
+            held = np.flatnonzero((words[base + at] & mask) == mask)
+            rows, base, width, mixed, member = rows[held], base[held], width[held], mixed[held], _mix(member[held])
         if not len(rows):
             break
         levels[rows] = level
@@ -196,8 +198,16 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], words: Broadcast) -> Iterato
 
 
 def _build(key: tuple, table: pa.Table) -> pa.Table:
-    bits = build_block(table.column("key").to_numpy().view(np.uint64), table.column("level").to_numpy())
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([bits], pa.binary())})
+    """A bucket's filter, and the discounted mass of its pairs for each word they begin with."""
+    keys, at = np.unique(table.column("key").to_numpy().view(np.uint64), return_inverse=True)
+    levels = level_of(np.bincount(at, table.column("n").to_numpy()).astype(np.int64))
+    bits = build_bucket(keys, levels).tobytes()
+    before = (keys >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.diff(before, prepend=-1))
+    mass = np.add.reduceat(level_counts(int(levels.max()))[levels] - DISCOUNT, first)
+    own = pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([bits], pa.binary()), "h": pa.nulls(1, pa.int64()), "mass": pa.nulls(1, pa.float64())})
+    n = len(first)
+    return pa.concat_tables([own, pa.table({"bucket": pa.nulls(n, pa.int64()), "bits": pa.nulls(n, pa.binary()), "h": pa.array(before[first]), "mass": pa.array(mass)})])
 
 
 #: rare: tokens that a join has still to complete. A null token is frequent and has its count c; a null h (hash of
@@ -205,21 +215,21 @@ def _build(key: tuple, table: pa.Table) -> pa.Table:
 SCORED = "n_tokens long, known long, base double, score double, rare array<struct<token: binary, c: double, h: long, history: double, mass: double, held: double>>"
 
 
-def _score(batches: Iterator[pa.RecordBatch], words: Broadcast, part: Broadcast, first: int, blocks: int, most: int, scale: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], words: Broadcast, part: Broadcast, first: int, buckets: int, most: int, scale: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Sums over the tokens whose pairs lie in this part of the filter."""
-    table, bits = words.value, part.value
+    table, (bits, starts) = words.value, part.value
     values = level_counts(most)
     log_base = np.log10((table.count + 0.1) / scale)
-    for ids, texts in chunks(batches):
+    for ids, texts in chunks(batches, 1 << 20):
         lists = [tokens(text) for text in texts]
         stream = [t for x in lists for t in x]
         doc = np.repeat(np.arange(len(lists)), np.fromiter(map(len, lists), np.int64, len(lists)))
         index, before, keys = table.pairs(stream)
-        names = np.arange(len(stream))
-        if len(bits) < blocks:
-            names = np.flatnonzero((block_of(keys, blocks) - first).view(np.uint64) < np.uint64(len(bits)))
-            index, before, keys, doc = index[names], before[names], keys[names], doc[names]
-        levels = read_levels(bits, keys, most, blocks, first)
+        names, bucket = np.arange(len(stream)), bucket_of(keys, buckets) - first
+        if len(starts) <= buckets:
+            names = np.flatnonzero((bucket >= 0) & (bucket < len(starts) - 1))
+            index, before, keys, doc, bucket = index[names], before[names], keys[names], doc[names], bucket[names]
+        levels = read_levels(bits, starts, bucket, keys, most)
         held = np.where(levels > 0, values[levels] - DISCOUNT, 0.0)
         hot, after = index >= 0, before >= 0
         total = lambda x, at: np.bincount(doc[at], x, len(lists)).astype(np.float64)  # noqa: B023, E731
@@ -271,15 +281,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     del found
 
     sent = spark.sparkContext.broadcast(words)
-    pairs = train.mapInArrow(partial(_count_pairs, words=sent), "key long, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("c"))
-    level = (F.least("c", F.lit(EXACT)) + F.floor(F.ln(F.greatest("c", F.lit(EXACT)) / EXACT) / float(np.log(STEP)) + 1e-9)).cast("int")
-    pairs = stage(pairs.select("key", level.alias("level")), "lm-pairs")
-    sizes = {r[0]: r[1] for r in pairs.groupBy("level").count().collect()}
-    top = max(sizes, default=0)
-    blocks = -(-sum(m * k for k, m in sizes.items()) * BITS_A_MEMBER // (1 << BLOCK_BITS)) | 1
-    values = level_counts(top)
-    value = F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.col("level") + 1)
-    mass = pairs.groupBy(F.shiftrightunsigned("key", 32).alias("h")).agg(F.sum(value - DISCOUNT).alias("mass"))
+    buckets, top = n // BUCKET_TOKENS | 1, int(level_of(np.array([n]))[0])
+    pairs = train.mapInArrow(partial(_count_pairs, words=sent), "key long, n long").withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    built = stage(pairs.groupBy("bucket").applyInArrow(_build, "bucket long, bits binary, h long, mass double"), "lm-filter")
+    mass = built.where("h is not null").groupBy("h").agg(F.sum("mass").alias("mass"))
+    built = built.where("bits is not null").select("bucket", "bits")
     # quantised counts may add up to more than the word's own count; words whose hashes meet have one history
     histories = counts.groupBy("h").agg(F.sum("c").cast("double").alias("c")).join(mass.hint("merge"), "h")
     histories = stage(histories.select("h", F.greatest("c", F.col("mass") / 0.999).alias("history"), "mass"), "lm-histories")
@@ -290,26 +296,23 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if len(hashes):
         there = hashes[at] == words.hash
         words.history, words.mass = (np.where(there, found.column(c).to_numpy()[at], other) for c, other in (("history", words.count), ("mass", 0.0)))
-    built = pairs.select(F.pmod("key", F.lit(blocks)).alias("block"), "key", "level").groupBy("block").applyInArrow(_build, "block long, bits binary")
-    built = stage(built, "lm-filter")
-    discard(pairs)
     table = spark.sparkContext.broadcast(words)
 
     # a row is known by its number: ids may repeat
     rows = rows.select(F.struct("id", F.monotonically_increasing_id().alias("row")).alias("id"), "text")
-    size = max(1, filter_bits >> BLOCK_BITS)
-    if blocks > size:
+    size = max(1, filter_bits // (8 * (built.agg(F.max(F.length("bits"))).first()[0] or 1)))
+    if buckets > size:
         rows = stage(rows, "lm-texts")  # so that a row has the same number in each pass
     schema = StructType([StructField("id", rows.schema["id"].dataType), *_parse_datatype_string(SCORED).fields])
     passes = []
-    for first in range(0, blocks, size):
-        bits = np.zeros((min(size, blocks - first), 8 * BLOCK_WORDS), np.uint8)
-        found = built.where((F.col("block") >= first) & (F.col("block") < first + size)).toArrow()  # `filter_bits` at most
-        for block, part in zip(found.column("block").to_pylist(), found.column("bits"), strict=True):
-            bits[block - first] = np.frombuffer(part.as_buffer(), np.uint8)
+    for first in range(0, buckets, size):
+        found = built.where((F.col("bucket") >= first) & (F.col("bucket") < first + size)).orderBy("bucket").toArrow()  # `filter_bits` at most
+        widths = np.zeros(min(size, buckets - first), np.int64)
+        widths[found.column("bucket").to_numpy() - first] = pc.binary_length(found.column("bits")).to_numpy() // 8
+        bits = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x.as_buffer(), np.uint64) for x in found.column("bits")]])
         del found
-        sent_bits = spark.sparkContext.broadcast(bits)
-        passes.append(stage(rows.mapInArrow(partial(_score, words=table, part=sent_bits, first=first, blocks=blocks, most=top, scale=scale, schema=to_arrow_schema(schema)), schema), "lm-scores"))
+        sent_bits = spark.sparkContext.broadcast((bits, np.concatenate([[0], np.cumsum(widths)]).astype(np.uint64)))
+        passes.append(stage(rows.mapInArrow(partial(_score, words=table, part=sent_bits, first=first, buckets=buckets, most=top, scale=scale, schema=to_arrow_schema(schema)), schema), "lm-scores"))
         sent_bits.destroy()  # no later plan reads it
     for used in (sent, table):
         used.destroy()
