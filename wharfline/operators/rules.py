@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wharfline.functions.identifiers import FORMATS, commodity_code, container_id, container_ok, country_code
+from wharfline.functions.steps import let
 from wharfline.operators.facts import FINAL, column_of, list_type
 from wharfline.sources.catalog import Catalog
 
@@ -124,14 +125,14 @@ def origin_covers_goods(catalog: Catalog, rule: dict) -> Check:
     proof = country_code(fact("praeferenznachweis.ursprung"))
     scope = F.transform(rows("praeferenznachweis.warenkreis"), lambda w: commodity_code(w["hs6"]["v"], digits))
 
-    def of_line(p: Column) -> Column:
-        other = F.when(~country_code(p["ursprung"]["v"]).eqNullSafe(proof), F.array(item_involved("rechnung.positionen", p, "ursprung"), head_involved("praeferenznachweis.ursprung")))
-        code = commodity_code(p["hs6"]["v"], digits)
-        outside = F.when(~F.exists(scope, lambda s: s.eqNullSafe(code)), F.array(item_involved("rechnung.positionen", p, "hs6")))
+    def of_line(p: Column, covered: Column) -> Column:
+        other = F.when(~country_code(p["ursprung"]["v"]).eqNullSafe(covered["ursprung"]), F.array(item_involved("rechnung.positionen", p, "ursprung"), head_involved("praeferenznachweis.ursprung")))
+        outside = F.when(~let(commodity_code(p["hs6"]["v"], digits), lambda code: F.exists(covered["codes"], lambda s: s.eqNullSafe(code))), F.array(item_involved("rechnung.positionen", p, "hs6")))
         none = F.array().cast(INVOLVED)
         return F.concat(F.coalesce(other, none), F.coalesce(outside, none))
 
-    rests_on = F.flatten(F.transform(rows("rechnung.positionen"), of_line))
+    # the proof is read once a case, not once a line
+    rests_on = let(F.struct(proof.alias("ursprung"), scope.alias("codes")), lambda covered: F.flatten(F.transform(rows("rechnung.positionen"), lambda p: of_line(p, covered))))
     gaps = missing(
         ("rechnung.positionen", items("rechnung.positionen").isNull()),
         ("praeferenznachweis.ursprung", fact("praeferenznachweis.ursprung").isNull()),
@@ -171,19 +172,18 @@ def commodity_codes_agree(catalog: Catalog, rule: dict) -> Check:
     digits = rule["parameters"]["digits"]
     none = F.array().cast(INVOLVED)
 
-    def of_line(p: Column) -> Column:
-        code = commodity_code(p["hs6"]["v"], digits)
-
-        def against(path: str, key: str) -> Column:
-            other = first(rows(path), lambda q: q[key]["v"].eqNullSafe(p["nr"]["v"]))
+    def of_line(p: Column, code: Column) -> Column:
+        def compared(path: str, other: Column) -> Column:
             has = F.coalesce(other["hs6"]["v"] != "", F.lit(False))
             differs = has & ~commodity_code(other["hs6"]["v"], digits).eqNullSafe(code)
             return F.when(differs, F.array(item_involved("rechnung.positionen", p, "hs6"), item_involved(path, other, "hs6"))).otherwise(none)
 
+        # a line's counterpart is looked for once
+        against = lambda path, key: let(first(rows(path), lambda q: q[key]["v"].eqNullSafe(p["nr"]["v"])), lambda q: compared(path, q))
         both = F.concat(against("packliste.positionen", "nr"), against("praeferenznachweis.warenkreis", "pos"))
         return F.when(code.isNull(), F.array(item_involved("rechnung.positionen", p, "hs6"))).otherwise(both)
 
-    rests_on = F.flatten(F.transform(rows("rechnung.positionen"), of_line))
+    rests_on = F.flatten(F.transform(rows("rechnung.positionen"), lambda p: let(commodity_code(p["hs6"]["v"], digits), lambda code: of_line(p, code))))
     return Check(missing(("rechnung.positionen", items("rechnung.positionen").isNull())), rests_on)
 
 
@@ -205,8 +205,10 @@ def quantities_agree(catalog: Catalog, rule: dict) -> Check:
 
     def of_line(p: Column) -> Column:
         same = lambda q: q["nr"]["v"].eqNullSafe(p["nr"]["v"])
-        pack = first(rows("packliste.positionen"), same)
         open_ = F.coalesce(first(rows("packliste.backorders"), same)["menge"]["v"], F.lit(0.0))
+        return let(F.struct(first(rows("packliste.positionen"), same).alias("pack"), open_.alias("offen")), lambda d: compared(p, d["pack"], d["offen"]))
+
+    def compared(p: Column, pack: Column, open_: Column) -> Column:
         equal = F.coalesce(p["menge"]["v"] == pack["menge"]["v"] - open_, F.lit(False))
         rests_on = F.array(item_involved("rechnung.positionen", p, "menge"), item_involved("packliste.positionen", pack, "menge"))
         return F.struct((pack.isNull() | ~equal).alias("bad"), F.when(pack.isNull() | equal, none).otherwise(rests_on).alias("on"))
@@ -279,7 +281,9 @@ def export_document_covers(catalog: Catalog, rule: dict) -> Check:
     declared, invoiced = rows("abd.positionen"), rows("rechnung.positionen")
 
     def of_declared(p: Column) -> Column:
-        line = first(invoiced, lambda q: q["nr"]["v"].eqNullSafe(p["nr"]["v"]))
+        return let(first(invoiced, lambda q: q["nr"]["v"].eqNullSafe(p["nr"]["v"])), lambda line: compared(p, line))
+
+    def compared(p: Column, line: Column) -> Column:
         code, other = commodity_code(p["warennummer"]["v"], digits), commodity_code(line["hs6"]["v"], digits)
         return (
             F.when(line.isNull(), F.array(item_involved("abd.positionen", p, "nr")))
@@ -308,7 +312,7 @@ def results(cases: DataFrame, catalog: Catalog, wanted: list[dict]) -> tuple[Dat
         check, k = RULES[r["id"]](catalog, r), r["id"]
         none, no, on = F.lit(None), F.lit(False), f"_on_{k}"
         parts[on] = no_items() if check.on is None else check.on
-        parts[f"_gaps_{k}"] = (none if check.gaps is None else F.when(F.size(check.gaps) > 0, check.gaps)).cast(PATHS)
+        parts[f"_gaps_{k}"] = (none if check.gaps is None else let(check.gaps, lambda g: F.when(F.size(g) > 0, g))).cast(PATHS)
         if check.bad is not None:
             parts[f"_bad_{k}"] = F.coalesce(check.bad, no)
         fine = no if check.fine is None else check.fine

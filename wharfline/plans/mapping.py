@@ -143,8 +143,8 @@ def _list(path: str, keep: str | None, values: dict[str, tuple[str, str | None]]
         fields = {f: (x[v], x[k] if k else F.lit(0.99)) for f, (v, k) in values.items()}
         return F.struct(i.cast("int").alias("idx"), *[_fact(kind, *fields[f], dok).alias(f) for f, kind in kinds.items()])
 
-    made = F.transform(rows, item)
-    return F.when(F.size(made) > 0, made).cast(list_type(path))
+    # the size is that of the rows: asked of what is made of them, the list would be made twice
+    return F.when(F.size(rows) > 0, F.transform(rows, item)).cast(list_type(path))
 
 
 def case_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
