@@ -115,11 +115,12 @@ def rechecked_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases checked again as their documents arrive in three batches, one of them twice."""
     folder = _folder(spark, "rechecked")
     replies = derived(spark, sf_dir, REPLIES, "lineitem")
-    for n, delivery in enumerate((0, 1, 1)):
-        replies.where(F.col("lieferung") == delivery).drop("lieferung").coalesce(1).write.mode("append").parquet(f"{folder}/in/{n}")
-    stream = spark.readStream.schema(replies.drop("lieferung").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
     take = conditions.recheck(f"{folder}/documents", f"{folder}/results", _checked)
-    stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    # a delivery is a batch of as many files as tasks wrote: the stream goes on from its state each time one has come
+    for n, delivery in enumerate((0, 1, 1)):
+        replies.where(F.col("lieferung") == delivery).drop("lieferung").write.parquet(f"{folder}/in/{n}")
+        stream = spark.readStream.schema(replies.drop("lieferung").schema).parquet(f"{folder}/in/*")
+        stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/results").select("akte_id", "dokumente", "freigabe")
 
 
