@@ -479,3 +479,12 @@ def test_statistics_of_odd_texts():
     for t in [t or "" for t in TEXTS]:
         counts, ratios = text_stats.text_stats(t)
         assert tuple(counts) == brute_counts(t) and all(math.isfinite(x) for x in ratios)
+
+
+def test_pieces_are_packed_and_states_share_their_numbers():
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257}
+    encoder = bpe.Encoder(ranks, r"\w+|\s")
+    assert encoder("abcab x abcab").tolist() == [257, 256, 32, 120, 32, 257, 256]
+    assert {piece: np.frombuffer(ids, "<u4").tolist() for piece, ids in encoder.pieces.items()} == {"abcab": [257, 256], " ": [32], "x": [120]}
+    numbers = {id(n) for n in encoder.transducer.number.values()}
+    assert all(id(state) in numbers for state in encoder.transducer.arcs.values() if state >> 8)

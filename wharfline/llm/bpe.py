@@ -29,7 +29,6 @@ import gc
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, partial
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -40,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from wharfline.llm.common import chunks, documents
+from wharfline.llm.common import chunks, documents, give_back
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: States and pieces that a worker keeps, and the longest piece of these.
@@ -104,7 +103,7 @@ class Transducer:
     def _empty(self) -> None:
         """Forgets all states but the first, whose one guess stands at the root after no token."""
         first = array("q", [0]).tobytes()
-        self.number: dict[bytes, int] = {first: 0}
+        self.number: dict[bytes, int] = {first: 0}  # a state's number, in steps of 256: arcs share these integers
         self.members: list[bytes] = [first]
         self.ends: list[int] = [-1]  # the token that ends where the state is, if one does
         self.arcs.clear()
@@ -195,17 +194,18 @@ class Transducer:
         if len(self.members) > self.max_states:
             raise Dropped
         after, ended = self._step(memoryview(self.members[key >> 8]).cast("q"), key & 0xFF)
-        return self._numbered(array("q", after).tobytes(), ended) << 8
+        return self._numbered(array("q", after).tobytes(), ended)
 
     def _again(self, path: list[int]) -> list[int]:
         """Drops all states but those of the path and the first, which get new numbers."""
         kept = [(self.members[state >> 8], self.ends[state >> 8]) for state in path]
         self._empty()
-        return [self._numbered(packed, ended) << 8 for packed, ended in kept]
+        return [self._numbered(packed, ended) for packed, ended in kept]
 
     def _numbered(self, packed: bytes, ended: int) -> int:
-        found = self.number.setdefault(packed, len(self.members))
-        if found == len(self.members):
+        found = self.number.get(packed)
+        if found is None:
+            found = self.number[packed] = len(self.members) << 8
             self.members.append(packed)
             self.ends.append(ended)
         return found
@@ -263,7 +263,7 @@ class Pieces(dict):
         self.clear()
         self.older.clear()
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str):  # noqa: ANN204
         if len(piece) > KEPT_CHARS:
             return self.encode(piece.encode())
         ids = self.older.get(piece)
@@ -280,14 +280,14 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.find = regex.compile(pattern).findall
         self.transducer = Transducer(ranks)
-        self.pieces = Pieces(self.transducer.encode)
+        self.pieces = Pieces(lambda piece: array("I", self.transducer.encode(piece)).tobytes())  # packed ids take half of a tuple's memory
 
     def forget(self) -> None:
         self.transducer.forget()
         self.pieces.forget()
 
     def __call__(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))), "<u4")
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.find(text))), "<u4")
 
 
 def utf8_table() -> np.ndarray:
@@ -369,9 +369,10 @@ def _vocabulary(name: str) -> Vocabulary:
 def _encode(batches: Iterator[pa.RecordBatch], name: str, pattern: str, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(name, pattern)
     gc.set_threshold(200_000, 50, 50)  # the encoder's many small objects live long and hold no garbage
-    for ids, texts in chunks(batches):
+    for ids, texts in chunks(batches, 1 << 20):
         yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array([encoder(x).tobytes() for x in texts], pa.binary())], ["id", "ids"])
     encoder.forget()  # workers outlive their tasks: what this one's texts needed goes, the tree of tokens stays
+    give_back()
 
 
 def _decode(batches: Iterable[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import uuid
 from collections.abc import Iterator
@@ -120,6 +122,15 @@ def prefix_sum(df: DataFrame, group: str, key: str, value: str, out: str, rows:
     )
 
 
+def give_back() -> None:
+    """Workers are kept between tasks: what a task no longer holds goes back to the system, from Arrow's pool, Python's free lists and, where there is one, glibc's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches: Iterator, limit: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of some rows of two-column Arrow batches, about `limit`
     characters at a time; null texts are empty. A longer text comes alone."""
@@ -132,9 +143,11 @@ def chunks(batches: Iterator, limit: int = 4 << 20) -> Iterator[tuple[list, list
             if held and held + len(text) > limit:
                 yield ids, texts
                 ids, texts, held = [], [], 0
+                pa.default_memory_pool().release_unused()
             ids.append(key)
             texts.append(text)
             held += len(text) + 64
     if ids:
         yield ids, texts
-    pa.default_memory_pool().release_unused()  # workers are kept; what this task's batches took goes back
+    del ids, texts
+    give_back()
