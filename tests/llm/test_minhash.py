@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wharfline.llm import minhash
+from wharfline.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, id string, n int, d1 long, key string, component string"
 EXTRA = ("i", 1, 2, "k", "c")
@@ -105,3 +106,14 @@ def test_query_reads_whole_table(spark, tmp_path):
     got = minhash.op12_minhash(spark, str(tmp_path))
     assert sorted(map(tuple, got.collect()), key=str) == brute(list(enumerate(corpus(5))))
     assert got.where(F.col("kept") != (F.col("doc_id") == F.col("component_id"))).count() == 0
+
+
+def test_pairs_of_one_hash_grow_with_its_sets(spark):
+    met = spark.createDataFrame([(1, k, 10, 0, k, 400) for k in range(400)] + [(2, 1000, 10, 0, 1000, 2), (2, 2000, 5, 0, 2000, 2)], "hash long, node long, n int, place int, component long, held long")
+    dealt = minhash.dealt_pairs(met, spark.createDataFrame([(0, 1)], "u long, v long"))
+    pairs = {tuple(r) for r in dealt.collect()}
+    assert 400 < len(pairs) < 12 * 400 and (0, 1) not in pairs and all(u < v < 400 for u, v in pairs)  # sets that differ in size aren't compared
+    rest = minhash.crossing_pairs(met, connected_components(dealt), dealt)  # as if all dealt pairs were similar
+    assert rest.count() < 400  # 79,400 where all pairs are met
+    apart = minhash.crossing_pairs(met, dealt.limit(0).select(F.col("u").alias("node"), F.col("v").alias("component")), dealt)
+    assert {tuple(r) for r in apart.collect()} | pairs == {(u, v) for v in range(400) for u in range(v)}  # no pair is lost where none is

@@ -20,8 +20,9 @@ is compared with two centres, one that it shares most bands with and the most ce
 and what those pairs link isn't compared again. Buckets that still hold different
 components are compared in full, by a prefix filter that is exact: of two sets that
 similar, the rarest fifth of each holds a hash of the other's, and enough can follow it.
-Edits are rare, so heavily edited copies of one text don't meet there. Keys with very many
-rows are broadcast, not shuffled.
+Edits are rare, so few heavily edited copies of one text meet there; those that share a hash
+are dealt into twos first, some times over, and what that links isn't compared again. Keys
+with very many rows are broadcast, not shuffled.
 
 Defined results: fewer words than a shingle make one shingle; null and wordless texts have
 an empty set and are linked with nothing, not even each other; equal ids or rows repeat in
@@ -204,8 +205,8 @@ def centre_pairs(shared: DataFrame, total: int, hot_rows: int) -> DataFrame:
     return chosen.select("node", F.explode(F.array_distinct("c")).alias("c")).select(F.least("c", "node").alias("u"), F.greatest("c", "node").alias("v")).distinct()
 
 
-def crossing_pairs(shared: DataFrame, found: DataFrame, full: DataFrame, tried: DataFrame) -> DataFrame:
-    """(u, v) of all sets of mixed buckets that aren't linked (node, component), pass the prefix filter and aren't in `tried`; staged."""
+def mixed_prefixes(shared: DataFrame, found: DataFrame, full: DataFrame) -> DataFrame:
+    """(hash, node, n, place, component, held) of the prefixes of all sets of mixed buckets, for the hashes that sets of several components (node, component) hold; `held`: how many do. Staged."""
     spark = full.sparkSession
     named = stage(shared.select("key", "node").join(found.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "minhash-components")
     mixed = named.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("key")
@@ -217,19 +218,50 @@ def crossing_pairs(shared: DataFrame, found: DataFrame, full: DataFrame, tried:
     counts = spark.sparkContext.broadcast(table)
     held = stage(sets.mapInArrow(partial(_prefixes, counts=counts), "hash long, node long, n int, place int").join(nodes.hint("merge"), "node"), "minhash-prefixes")
     counts.destroy()
-    several = held.groupBy("hash").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("hash")
-    met = stage(held.join(several.hint("merge"), "hash"), "minhash-met")
-    a, b = met.alias("a"), met.alias("b")
-    # where two sets share their first hash, all they can have in common comes from there on
-    common = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    pairs = a.join(
-        b.hint("merge"),
-        (F.col("a.hash") == F.col("b.hash")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
-        & _near_in_size("a.n", "b.n") & (common * 9 >= (F.col("a.n") + F.col("b.n")) * 4),
-    )
-    out = stage(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(tried.hint("merge"), ["u", "v"], "left_anti"), "minhash-rest")
-    for used in (named, nodes, sets, held, met):
+    met = stage(_of_several(held), "minhash-met")
+    for used in (named, nodes, sets, held):
         discard(used)
+    return met
+
+
+def _of_several(held: DataFrame) -> DataFrame:
+    """The rows of hashes that sets of several components hold, with `held`."""
+    several = held.groupBy("hash").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("held")).where("_a < _b").select("hash", "held")
+    return held.join(several.hint("merge"), "hash")
+
+
+def _can_be_near(a: str, b: str) -> F.Column:
+    """Where two sets share their first hash, all they can have in common comes from there on."""
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    common = F.least(n_a - F.col(f"{a}.place"), n_b - F.col(f"{b}.place"))
+    return (F.col(f"{a}.component") != F.col(f"{b}.component")) & _near_in_size(n_a, n_b) & (common * 9 >= (n_a + n_b) * 4)
+
+
+#: How often the sets of a hash are dealt into twos before all of them are compared.
+DEALS = 12
+
+
+def dealt_pairs(met: DataFrame, tried: DataFrame) -> DataFrame:
+    """(u, v): the sets of each hash of mixed_prefixes dealt into groups of about two, some times over: a few pairs for each set. What they link holds most of a
+    large group of edited copies together, whose pairs needn't all be compared then. A group's pair is its least and its greatest set, so nothing is gathered."""
+    side = F.struct("node", "component", "n", "place")
+    turns = met.select("hash", "held", side.alias("side"), F.explode(F.sequence(F.lit(1), F.lit(DEALS))).alias("turn"))
+    group = F.pmod(F.xxhash64("side.node", "turn"), F.greatest(F.floor(F.col("held") / 2), F.lit(1)))
+    met_two = turns.groupBy("hash", "turn", group.alias("group")).agg(F.min("side").alias("a"), F.max("side").alias("b")).where(_can_be_near("a", "b"))
+    pairs = met_two.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    return stage(pairs.join(tried.hint("merge"), ["u", "v"], "left_anti"), "minhash-dealt")
+
+
+def crossing_pairs(met: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
+    """(u, v) of all sets of mixed_prefixes that aren't linked (node, component), pass the prefix filter and aren't in `tried`; staged."""
+    named = met.drop("component", "held").join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = stage(named, "minhash-met-named")
+    mixed = stage(_of_several(named), "minhash-met-mixed")
+    a, b = mixed.alias("a"), mixed.alias("b")
+    pairs = a.join(b.hint("merge"), (F.col("a.hash") == F.col("b.hash")) & (F.col("a.node") < F.col("b.node")) & _can_be_near("a", "b"))
+    out = stage(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(tried.hint("merge"), ["u", "v"], "left_anti"), "minhash-rest")
+    discard(named)
+    discard(mixed)
     return out
 
 
@@ -243,10 +275,13 @@ def linked_sets(sets: DataFrame, texts: DataFrame, shingle: int = SHINGLE, hot_r
     full = full_sets(sets, nodes, texts, shingle)
     first = stage(centre_pairs(shared, total, hot_rows), "minhash-first")
     links = confirmed(first, sets, full)
-    rest = crossing_pairs(shared, connected_components(links), full, first)
+    met = mixed_prefixes(shared, connected_components(links), full)
+    dealt = dealt_pairs(met, first)
+    held = confirmed(dealt, sets, full)
+    rest = crossing_pairs(met, connected_components(links.unionByName(held)), first.unionByName(dealt))
     more = confirmed(rest, sets, full)
-    out = connected_components(links.unionByName(more))
-    for used in (buckets, shared, nodes, full, first, rest, links, more):
+    out = connected_components(links.unionByName(held).unionByName(more))
+    for used in (buckets, shared, nodes, full, first, met, dealt, rest, links, held, more):
         discard(used)
     return out
 
