@@ -40,6 +40,26 @@ def _offsets(lists: pa.ListArray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
 
 
+#: Words or tokens that are worked on at a time: a worker's memory doesn't grow with those of a whole batch.
+PART_ITEMS = 1 << 16
+
+
+def sizes_within(lists: pa.ListArray, name: str) -> np.ndarray:
+    """How many items the lists `name` of each row's structs hold."""
+    inner = lists.flatten().field(name).value_lengths().fill_null(0).to_numpy()
+    return np.diff(np.concatenate([[0], np.cumsum(inner)])[_offsets(lists)])
+
+
+def in_parts(batch: pa.RecordBatch, sizes: np.ndarray, limit: int = PART_ITEMS) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose rows hold `limit` items at most, or one row that holds more."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, limit + (ends[at - 1] if at else 0), "right")))
+        yield batch.slice(at, to - at)
+        at = to
+    pa.default_memory_pool().release_unused()
+
+
 def _numbers(words: pa.StructArray, name: str) -> np.ndarray:
     return words.field(name).to_numpy(zero_copy_only=False)
 
@@ -103,7 +123,7 @@ def glued(words: pa.ListArray) -> pa.ListArray:
 
 
 def _lined_documents(batches: Iterator[pa.RecordBatch], schema: pa.Schema, tolerance: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in in_parts(whole, sizes_within(whole.column("seiten"), "woerter"))):
         pages = batch.column("seiten")
         flat = pages.flatten()
         line_starts, lines = lines_of(flat.field("woerter"), tolerance)
