@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType, StructField, StructType
 
 from wharfline.operators.sheets import PAGES as SHEETS
-from wharfline.operators.sheets import let
+from wharfline.operators.sheets import in_parts, let, sizes_within
 
 POINTS_PER_INCH = 72.0
 PAGES = """struct<analyzeResult: struct<pages: array<struct<pageNumber: int, unit: string, width: double, height: double,
@@ -55,7 +55,7 @@ TOKENS = "array<struct<seite: int, marken: array<struct<teile: array<struct<von:
 
 def _sliced(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Words of each page from tokens that are slices of the row's text: a token adds to the word until one ends it."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in in_parts(whole, sizes_within(whole.column("_seiten"), "marken"))):
         pages = batch.column("_seiten")
         page = pages.flatten()
         token = page.field("marken").flatten()
