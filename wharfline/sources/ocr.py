@@ -103,15 +103,39 @@ def pages_from_segments(responses: DataFrame, width: float = 595.0, height: floa
     return rows.mapInArrow(partial(_sliced, schema=to_arrow_schema(schema)), schema).drop("_text", "_seiten")
 
 
+TOKEN = "struct<text: string, umbruch: boolean, x0: double, top: double, x1: double, bottom: double, conf: double>"
+JOINED = "array<struct<text: string, x0: double, top: double, x1: double, bottom: double, conf: double>>"
+
+
+def _joined(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Words of each page from its tokens in order: a word ends after a token that breaks, and with the page."""
+    for batch in (part for whole in batches for part in in_parts(whole, whole.column("marken").value_lengths().fill_null(0).to_numpy())):
+        pages = batch.column("marken")
+        token, of = pages.flatten(), np.repeat(np.arange(len(batch)), pages.value_lengths().fill_null(0).to_numpy())
+        ends = token.field("umbruch").fill_null(False).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero((np.diff(of, prepend=-1) > 0) | np.append(True, ends[:-1])) if len(of) else np.zeros(0, np.int64)
+        texts = pa.ListArray.from_arrays(pa.array(np.append(new, len(of)), pa.int32()), token.field("text").fill_null(""))
+        # fmin and fmax pass over what is null
+        edge = lambda name, f: pa.array(f.reduceat(token.field(name).to_numpy(zero_copy_only=False), new) if len(new) else np.zeros(0), from_pandas=True)  # noqa: B023, E731
+        words = pa.StructArray.from_arrays([pc.binary_join(texts, ""), edge("x0", np.fmin), edge("top", np.fmin), edge("x1", np.fmax), edge("bottom", np.fmax), edge("conf", np.fmin)], ["text", "x0", "top", "x1", "bottom", "conf"])
+        out = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[new], np.arange(len(batch) + 1)), pa.int32()), words)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-1]), out.cast(schema.field("woerter").type)], schema=schema)
+
+
+def pages_from_tokens(pages: DataFrame) -> DataFrame:
+    """pages (..., marken: the page's tokens in order) -> the same with `woerter` in place of the tokens. A page is a row, so nothing is shuffled."""
+    rows = pages.withColumn("marken", F.col("marken").cast(f"array<{TOKEN}>"))
+    schema = StructType([*[f for f in rows.schema.fields if f.name != "marken"], StructField("woerter", DataType.fromDDL(JOINED))])
+    return rows.select(*schema.names[:-1], "marken").mapInArrow(partial(_joined, schema=to_arrow_schema(schema)), schema)
+
+
 def words_from_tokens(tokens: DataFrame) -> DataFrame:
-    """tokens (doc_id, page, pos, text, umbruch: a word ends after it, x0, top, x1, bottom, conf) -> words: a running count of
-    breaks before a token numbers the words of a page, so a page is one window and a document many."""
-    from pyspark.sql.window import Window
-
-    before = Window.partitionBy("doc_id", "page").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = tokens.withColumn("word_no", F.coalesce(F.sum(F.when(F.col("umbruch"), 1).otherwise(0)).over(before), F.lit(0)))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "")
-    return numbered.groupBy("doc_id", "page", "word_no").agg(text.alias("text"), *[f(c).alias(c) for c, f in (("x0", F.min), ("top", F.min), ("x1", F.max), ("bottom", F.max), ("conf", F.min))])
+    """tokens (doc_id, page, pos, text, umbruch: a word ends after it, x0, top, x1, bottom, conf) -> words, numbered on their page. A page's tokens
+    are gathered by one shuffle; where they stand in a row already, pages_from_tokens needs none."""
+    token = ["text", "umbruch", "x0", "top", "x1", "bottom", "conf"]
+    pages = tokens.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*token).alias("t")))).alias("_m"))
+    words = pages_from_tokens(pages.select("doc_id", "page", F.transform("_m", lambda m: m["t"]).alias("marken")))
+    return words.select("doc_id", "page", F.posexplode("woerter").alias("word_no", "w")).select("doc_id", "page", F.col("word_no").cast("long").alias("word_no"), "w.*")
 
 
 ALERTS = "struct<alerts: array<struct<fingerprint: string, status: string, startsAt: string, endsAt: string, labels: map<string, string>, annotations: map<string, string>>>>"
