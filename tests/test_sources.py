@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from wharfline.operators import geometry, sheets
 from wharfline.sources import cases, ocr, xml_invoices
 
@@ -90,3 +93,35 @@ def test_payloads(spark):
     assert (a.fingerprint, a.name, a.zustand, a.beendet_am) == ("f", "X", "firing", None) and a.begonnen_am.year == 2024
     e = ocr.error_rows(spark.createDataFrame([('{"workflow": {"name": "w"}, "secret": 1}',)], "ereignis string")).first()
     assert e.workflow_name == "w" and e.meldung == "unbekannt" and len(e) == 7
+
+
+def test_layout_edges(spark):
+    """Halves in decimal, a page in pixels, an unknown unit, words without a polygon, text or confidence; null where there is nothing."""
+    word = lambda t, p, **c: {"content": t, "polygon": p} | c
+    pages = [
+        {"pageNumber": 3, "unit": "pixel", "width": 595, "height": 842, "words": [word(" a ", [1.005, 2.675, -1.005, None, 0.125, 8.0], confidence=-2), word("  ", [1.0, 1.0]), None, word("b", None), word("c", []), word("d", [1.0])]},
+        {"unit": "pixel", "width": 0, "words": [word("e", [1.0, 2.0])]}, {"unit": "ell"}, None, {"words": []},
+    ]
+    rows = [("x", json.dumps({"analyzeResult": {"pages": pages}})), ("none", "{}"), ("bad", "no json"), ("null", None), ("empty", '{"analyzeResult": {"pages": []}}')]
+    got = {r.doc_id: r.seiten for r in ocr.pages_from_layout(spark.createDataFrame(rows, "doc_id string, antwort string")).collect()}
+    assert [(p.seite, p.woerter if p.woerter is None else [tuple(w) for w in p.woerter]) for p in got["x"]] == [
+        (3, [(2.68, -1.01, 1.01, 8.0, "a", 0.0), (None, None, None, None, "b", 0.0), (None, None, None, None, "c", 0.0), (None, 1.0, 1.0, None, "d", 0.0)]),
+        (2, [(None, None, None, None, "e", 0.0)]), (3, None), (4, None), (5, []),
+    ]
+    assert got["empty"] == [] and all(got[k] is None for k in ("none", "bad", "null"))
+
+
+def test_batches_are_worked_on_in_parts(spark):
+    words = pa.array([[{"w": [1] * n} for n in sizes] for sizes in ([3, 2], [], [9], [1], [1, 1])], pa.list_(pa.struct([("w", pa.list_(pa.int64()))])))
+    batch = pa.RecordBatch.from_arrays([words], ["p"])
+    assert sheets.sizes_within(words, "w").tolist() == [5, 0, 9, 1, 2] and sheets.sizes_within(words[1:4], "w").tolist() == [0, 9, 1]
+    parts = list(sheets.in_parts(batch, sheets.sizes_within(words, "w"), 6))
+    assert [p.num_rows for p in parts] == [2, 1, 2] and pa.Table.from_batches(parts).column("p").to_pylist() == words.to_pylist()
+
+
+def test_pages_from_tokens(spark):
+    rows = [(1, [("a", False, 2.0), ("b", None, 1.0), (None, True, None), ("c", False, 5.0)]), (2, []), (3, None), (4, [("", True, None), ("d", True, 7.0)])]
+    pages = spark.createDataFrame(rows, "page int, m array<struct<t: string, u: boolean, x: double>>")
+    marks = F.transform("m", lambda t: F.struct(t["t"].alias("text"), t["u"].alias("umbruch"), *[t["x"].alias(c) for c in ("x0", "top", "x1", "bottom", "conf")]))
+    got = {r.page: [(w.text, w.x0, w.x1) for w in r.woerter] for r in ocr.pages_from_tokens(pages.select("page", marks.alias("marken"))).collect()}
+    assert got == {1: [("ab", 1.0, 2.0), ("c", 5.0, 5.0)], 2: [], 3: [], 4: [("", None, None), ("d", 7.0, 7.0)]}
