@@ -117,3 +117,16 @@ def test_pairs_of_one_hash_grow_with_its_sets(spark):
     assert rest.count() < 400  # 79,400 where all pairs are met
     apart = minhash.crossing_pairs(met, dealt.limit(0).select(F.col("u").alias("node"), F.col("v").alias("component")), dealt)
     assert {tuple(r) for r in apart.collect()} | pairs == {(u, v) for v in range(400) for u in range(v)}  # no pair is lost where none is
+
+
+def test_heavily_edited_sets_meet_the_least_edited_ones(spark):
+    # an origin, 300 sets linked to it and 100 that no deal has linked: only the least edited of the hash are near all of them
+    met = spark.createDataFrame([(1, k, 100, min(k, 11), k, 401) for k in range(401)], "hash long, node long, n int, place int, component long, held long")
+    found = spark.createDataFrame([(k, 0) for k in range(301)], "node long, component long")
+    none = spark.createDataFrame([], "u long, v long")
+    central = minhash.central_pairs(met, found, none)
+    pairs = {tuple(r) for r in central.collect()}
+    assert {(0, k) for k in range(301, 401)} <= pairs and len(pairs) <= minhash.CENTRES * 100
+    assert minhash.central_pairs(met, found, none, 3).exceptAll(central).count() == 0  # hot hashes are broadcast
+    assert minhash.crossing_pairs(met, found, none).count() == 35_050
+    assert minhash.crossing_pairs(met, connected_components(found.toDF("v", "u").unionByName(central)), central).count() == 0

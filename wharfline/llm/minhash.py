@@ -21,8 +21,9 @@ and what those pairs link isn't compared again. Buckets that still hold differen
 components are compared in full, by a prefix filter that is exact: of two sets that
 similar, the rarest fifth of each holds a hash of the other's, and enough can follow it.
 Edits are rare, so few heavily edited copies of one text meet there; those that share a hash
-are dealt into twos first, some times over, and what that links isn't compared again. Keys
-with very many rows are broadcast, not shuffled.
+are dealt into twos first, some times over; then each meets some sets of its hash that have fewest
+rarer hashes, the least edited ones, and what that links isn't compared again. Keys with very
+many rows are broadcast, not shuffled.
 
 Defined results: fewer words than a shingle make one shingle; null and wordless texts have
 an empty set and are linked with nothing, not even each other; equal ids or rows repeat in
@@ -252,15 +253,41 @@ def dealt_pairs(met: DataFrame, tried: DataFrame) -> DataFrame:
     return stage(pairs.join(tried.hint("merge"), ["u", "v"], "left_anti"), "minhash-dealt")
 
 
-def crossing_pairs(met: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
-    """(u, v) of all sets of mixed_prefixes that aren't linked (node, component), pass the prefix filter and aren't in `tried`; staged."""
+def still_mixed(met: DataFrame, found: DataFrame) -> DataFrame:
+    """mixed_prefixes again, by the components (node, component) of the links so far. Staged."""
     named = met.drop("component", "held").join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = stage(named, "minhash-met-named")
     mixed = stage(_of_several(named), "minhash-met-mixed")
+    discard(named)
+    return mixed
+
+
+#: Least edited sets of a hash that the others meet before all of them are compared.
+CENTRES = 8
+
+
+def central_pairs(met: DataFrame, found: DataFrame, tried: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(u, v): each set of mixed_prefixes with those of its hash that have fewest rarer hashes, one for each of `CENTRES` parts of the sets, where they aren't linked
+    (node, component): edits make rare hashes, so these are closest to what all are copies of. Few pairs for each set, whatever the size of the group; staged."""
+    mixed = still_mixed(met, found)
+    rows = mixed.select("hash", F.struct("place", "node", "component", "n").alias("a"))
+    part = F.pmod(F.xxhash64("a.node"), F.lit(CENTRES))
+    centres = rows.groupBy("hash", part.alias("part")).agg(F.min("a").alias("b"), F.count("*").alias("held")).groupBy("hash").agg(F.collect_list("b").alias("b"), F.sum("held").alias("held"))
+    centres = stage(centres, "minhash-least-edited")
+    near = join_per_key(rows, centres, ["hash"], "held", mixed.count(), hot_rows).select("a", F.explode("b").alias("b")).where(_can_be_near("a", "b"))
+    pairs = near.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+    out = stage(pairs.join(tried.hint("merge"), ["u", "v"], "left_anti"), "minhash-central")
+    discard(mixed)
+    discard(centres)
+    return out
+
+
+def crossing_pairs(met: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
+    """(u, v) of all sets of mixed_prefixes that aren't linked (node, component), pass the prefix filter and aren't in `tried`; staged."""
+    mixed = still_mixed(met, found)
     a, b = mixed.alias("a"), mixed.alias("b")
     pairs = a.join(b.hint("merge"), (F.col("a.hash") == F.col("b.hash")) & (F.col("a.node") < F.col("b.node")) & _can_be_near("a", "b"))
     out = stage(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(tried.hint("merge"), ["u", "v"], "left_anti"), "minhash-rest")
-    discard(named)
     discard(mixed)
     return out
 
@@ -278,10 +305,13 @@ def linked_sets(sets: DataFrame, texts: DataFrame, shingle: int = SHINGLE, hot_r
     met = mixed_prefixes(shared, connected_components(links), full)
     dealt = dealt_pairs(met, first)
     held = confirmed(dealt, sets, full)
-    rest = crossing_pairs(met, connected_components(links.unionByName(held)), first.unionByName(dealt))
+    linked, tried = links.unionByName(held), first.unionByName(dealt)
+    central = central_pairs(met, connected_components(linked), tried, hot_rows)
+    again = confirmed(central, sets, full)
+    rest = crossing_pairs(met, connected_components(linked.unionByName(again)), tried.unionByName(central))
     more = confirmed(rest, sets, full)
-    out = connected_components(links.unionByName(held).unionByName(more))
-    for used in (buckets, shared, nodes, full, first, met, dealt, rest, links, held, more):
+    out = connected_components(linked.unionByName(again).unionByName(more))
+    for used in (buckets, shared, nodes, full, first, met, dealt, central, rest, links, held, again, more):
         discard(used)
     return out
 
