@@ -134,3 +134,18 @@ def test_stages_carry_columns_whose_names_clash(spark):
         if step is not corpus_pipeline.quality:
             docs = after
     assert corpus_pipeline.encoding(spark, docs, SF).count() == docs.count() > 0
+
+
+def test_rows_of_a_shingle_meet_the_least_edited_one(spark):
+    shared = spark.createDataFrame([(1, k, 100, 0 if k == 7 else 5, 7, 100) for k in range(40)], "shingle long, row long, n int, place int, least long, least_n int")
+    assert {tuple(r) for r in shingle_join.star_pairs(shared).collect()} == {(min(k, 7), max(k, 7)) for k in range(40) if k != 7}
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:k] + [f"x{j}" for j in range(k)] + base[2 * k :]) for k in (3, 2, 1, 0)]  # the last is the origin
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    held = {}
+    for r in shingle_join.shared_prefixes(rows, shingle_join.summaries(rows, 5)[1], 5).collect():
+        held.setdefault(r.shingle, []).append((r.place, r.row, r.least))
+    assert len(held) > 3 and all({least for _, _, least in rows} == {min(rows)[1]} for rows in held.values())
+    nothing = spark.createDataFrame([], "node long, component long")
+    dealt = shingle_join.dealt_pairs(shared, nothing, spark.createDataFrame([], "u long, v long"))
+    assert str(dealt._jdf.queryExecution().optimizedPlan()).count("Generate") == 1 and dealt.count() < 12 * 40  # all deals are one shuffle

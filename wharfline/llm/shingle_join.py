@@ -7,8 +7,9 @@ is read from counts of 2^17 hash ranges: a fixed size to broadcast, and since it
 settles the order, its errors cost time and no pair.
 
 A set whose shingles are nearly all frequent still meets many others. Hot shingles are
-joined to their least row by a broadcast; the join of what isn't linked yet is a sort-merge
-join, which Spark splits where one shingle is hot.
+joined to their centre by a broadcast: the row that has fewest rarer shingles, as edits make
+rare ones. The join of what isn't linked yet is a sort-merge join, which Spark splits where
+one shingle is hot.
 
 Candidates are first compared by sketches: for each of 2^11 hash values whether the set
 holds an odd number of shingles there. Bits that differ are at most as many as shingles that
@@ -19,7 +20,7 @@ for certain, and whole sets are built and shuffled for the other pairs alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -89,9 +90,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, counts: Broadcast
 
 
 def shared_prefixes(texts: DataFrame, ranges: DataFrame, shingle: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """texts (row, text) -> (shingle, row, n, place, least, least_n) of the prefix shingles that two rows or more hold.
+    """texts (row, text) -> (shingle, row, n, place, least, least_n) of the prefix shingles that two rows or more hold; `least`: the row with the least place.
 
-    A shingle of a hash range with few shingles is held by few rows, so a window finds its least row with one shuffle.
+    A shingle of a hash range with few shingles is held by few rows, so a window finds that row with one shuffle.
     Those of busy ranges are aggregated with map-side combination first, and the hot ones among them broadcast.
     """
     found = ranges.toArrow()  # 2^17 rows of 12 bytes at most
@@ -100,7 +101,7 @@ def shared_prefixes(texts: DataFrame, ranges: DataFrame, shingle: int, hot_rows:
     counts = texts.sparkSession.sparkContext.broadcast(table)
     many = max(hot_rows, int(table.sum()) // 5 // HOT_PART)  # a prefix is a fifth of a set
     held = stage(texts.mapInArrow(partial(_prefixes, shingle=shingle, counts=counts, many=many), "shingle long, row long, n int, place int, busy boolean"), "prefixes")
-    own, least_of = ["shingle", "row", "n", "place"], F.min(F.struct("row", "n"))
+    own, least_of = ["shingle", "row", "n", "place"], F.min(F.struct("place", "row", "n"))
     group = Window.partitionBy("shingle")
     calm = held.where("not busy").select(*own, least_of.over(group).alias("_l"), F.count("*").over(group).alias("_c")).where("_c > 1")
     calm = calm.select(*own, F.col("_l.row").alias("least"), F.col("_l.n").alias("least_n"))
@@ -119,8 +120,9 @@ def near_in_size(a: Column, b: Column) -> Column:
 
 
 def star_pairs(shared: DataFrame) -> DataFrame:
-    """(u, v): each row with the least row of each of its shingles."""
-    return shared.where((F.col("row") != F.col("least")) & near_in_size(F.col("n"), F.col("least_n"))).select(F.col("least").alias("u"), F.col("row").alias("v")).distinct()
+    """(u, v): each row with the least edited row of each of its shingles."""
+    pairs = shared.where((F.col("row") != F.col("least")) & near_in_size(F.col("n"), F.col("least_n")))
+    return pairs.select(F.least("least", "row").alias("u"), F.greatest("least", "row").alias("v")).distinct()
 
 
 #: How often the rows of a shingle are dealt into twos before all of them are compared.
@@ -140,12 +142,13 @@ def _mixed(shared: DataFrame, linked: DataFrame) -> DataFrame:
 def dealt_pairs(shared: DataFrame, linked: DataFrame, tried: DataFrame) -> DataFrame:
     """(u, v): the rows of each mixed shingle dealt into groups of about two, some times over: a few pairs for each row. What they link holds most of a large group
     of copies together, whose pairs needn't all be compared then. A group's pair is a least and a greatest row, so nothing is gathered."""
-    mixed, deals = _mixed(shared, linked), []
-    for k in range(DEALS):
-        group = F.pmod(F.xxhash64("row", F.lit(k)), F.greatest(F.floor(F.col("held") / 2), F.lit(1)))
-        side = F.struct("row", "component", "n")
-        deals.append(mixed.groupBy("shingle", group.alias("_g")).agg(F.min(side).alias("a"), F.max(side).alias("b")).where((F.col("a.component") != F.col("b.component")) & near_in_size(F.col("a.n"), F.col("b.n"))))
-    pairs = reduce(DataFrame.unionByName, deals).select(F.col("a.row").alias("u"), F.col("b.row").alias("v")).distinct()
+    mixed = _mixed(shared, linked)
+    side = F.struct("row", "component", "n")
+    turns = mixed.select("shingle", "held", side.alias("side"), F.explode(F.sequence(F.lit(1), F.lit(DEALS))).alias("turn"))
+    group = F.pmod(F.xxhash64("side.row", "turn"), F.greatest(F.floor(F.col("held") / 2), F.lit(1)))
+    met = turns.groupBy("shingle", "turn", group.alias("_g")).agg(F.min("side").alias("a"), F.max("side").alias("b"))
+    met = met.where((F.col("a.component") != F.col("b.component")) & near_in_size(F.col("a.n"), F.col("b.n")))
+    pairs = met.select(F.col("a.row").alias("u"), F.col("b.row").alias("v")).distinct()
     return pairs.join(tried.hint("merge"), ["u", "v"], "left_anti")
 
 
