@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wharfline.operators.rules import OK, REREAD
+from wharfline.operators.sheets import spread
 from wharfline.sources.catalog import Catalog
 
 OPEN, KEEP, CLOSE = "eroeffnen", "behalten", "schliessen"
@@ -89,7 +90,8 @@ def due_stage(requests: DataFrame, deadlines: DataFrame, catalog: Catalog, as_of
     last = F.broadcast(stages.select(F.col("stufe_nr").alias("_nr"), F.col("stufe").alias("_stufe")))
     following = F.broadcast(stages.withColumnRenamed("stufe", "neue_stufe"))
     known = requests.join(last, F.col("stufe") == F.col("_stufe"), "left").withColumn("_next", F.when(F.col("stufe").isNull(), 0).otherwise(F.col("_nr") + 1))
-    planned = known.join(following, F.col("_next") == F.col("stufe_nr"), "left").join(deadlines, "akte_id", "left")
+    # rows of requests and deadlines shrink to few bytes, so adaptive execution would sort very many of them in one task
+    planned = spread(known.join(following, F.col("_next") == F.col("stufe_nr"), "left"), "akte_id").join(spread(deadlines, "akte_id"), "akte_id", "left")
     gap = catalog.owners["dispatch"]["min_gap_hours"]
     seconds = lambda c: F.unix_timestamp(c)
     cutoff = F.when(F.col("bezug") == "customs_cutoff", F.col("customs_cutoff")).when(F.col("bezug") == "carrier_cutoff", F.col("carrier_cutoff")).when(F.col("bezug") == "eta", F.col("eta"))
