@@ -209,3 +209,16 @@ def test_append_with_two_unique_keys(spark, tmp_path):
     got = metrics.append_unique(spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame(stored, schema), keys, ["ord"], str(tmp_path / "rounds"))
     assert sorted(map(tuple, got.collect()), key=lambda r: r[3]) == want
     assert metrics.append_unique(spark.createDataFrame([], schema), spark.createDataFrame(stored, schema), keys, ["ord"], str(tmp_path / "none")).count() == 0
+
+
+def test_joins_of_facts_and_deadlines_stay_spread_over_all_cores(spark):
+    ids = spark.range(40).select(F.col("id").alias("akte_id"))
+    asked = ids.select("akte_id", F.lit(None).cast("string").alias("stufe"), F.lit(None).cast("timestamp").alias("letzter_versand_am"))
+    deadlines = ids.select("akte_id", *[F.lit("2026-09-13 10:00:00").cast("timestamp").alias(c) for c in ("customs_cutoff", "carrier_cutoff", "eta")])
+    due = requests.due_stage(asked, deadlines, load_catalog(), F.lit("2026-09-13 10:00:00").cast("timestamp"))
+    value = {"txt": F.lit(None).cast("string"), "num": F.lit(1.0), "bool": F.lit(None).cast("boolean"), "kind": F.lit("num"), "konfidenz": F.lit(0.9), "seite": F.lit(1), "methode": F.lit("m"), "ord": F.lit(1)}
+    said = ids.select("akte_id", F.concat(F.lit("A"), "akte_id").alias("dokument"), F.concat(F.lit("abd."), "akte_id").alias("pfad")).withColumns(value)
+    papers = ids.select("akte_id", F.concat(F.lit("A"), "akte_id").alias("dokument_id"), F.lit("abd").alias("typ"), F.lit("final").alias("status"))
+    least = 4 * spark.sparkContext.defaultParallelism  # adaptive execution leaves one task of so few rows
+    for found in (due, facts.facts_long(said, papers)):
+        assert found.count() == 40 and found.rdd.getNumPartitions() >= least

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wharfline.operators.sheets import spread
+
 FINAL = "final"
 
 #: Header facts and their types. Paths are fixed values.
@@ -51,12 +53,13 @@ def list_type(path: str) -> str:
 def assertion_document(assertions: DataFrame, documents: DataFrame) -> DataFrame:
     """Assertions with their document's status and type (null: unknown document)."""
     docs = documents.select("akte_id", F.col("dokument_id").alias("dokument"), F.col("typ").alias("dok_typ"), F.col("status").alias("dok_status"), F.lit(True).alias("dok_bekannt"))
-    return assertions.join(docs, ["akte_id", "dokument"], "left")
+    # rows of documents shrink to few bytes, so adaptive execution would sort very many of them in one task
+    return spread(assertions, "akte_id", "dokument").join(spread(docs, "akte_id", "dokument"), ["akte_id", "dokument"], "left")
 
 
 def facts_long(assertions: DataFrame, documents: DataFrame) -> DataFrame:
     """One row for each case and path: the last assertion of a final document, with its provenance."""
-    final = assertion_document(assertions, documents).where(F.col("dok_status") == FINAL)
+    final = spread(assertion_document(assertions, documents).where(F.col("dok_status") == FINAL), "akte_id", "pfad")
     last = F.max_by(F.struct("txt", "num", "bool", "kind", F.coalesce("konfidenz", F.lit(1.0)).alias("konf"), "dokument", "dok_typ", "seite", "methode"), F.col("ord"))
     return final.groupBy("akte_id", "pfad").agg(last.alias("f")).select("akte_id", "pfad", "f.*")
 
