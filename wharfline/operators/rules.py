@@ -305,8 +305,10 @@ def export_document_covers(catalog: Catalog, rule: dict) -> Check:
     return Check(gaps, rests_on)
 
 
-def results(cases: DataFrame, catalog: Catalog, wanted: list[dict]) -> tuple[DataFrame, list[Column]]:
-    """cases with each rule's parts as columns, worked out once, and an expression of each rule's finding over them."""
+def results(cases: DataFrame, catalog: Catalog, wanted: list[dict], asked: Callable[[str], Column] | None = None) -> tuple[DataFrame, list[Column]]:
+    """cases with each rule's parts as columns, worked out once, and an expression of each rule's finding over them.
+
+    asked: whether a case asks for a rule by its id; its parts are null and not worked out where it doesn't."""
     parts, found = {}, []
     for r in wanted:
         check, k = RULES[r["id"]](catalog, r), r["id"]
@@ -333,6 +335,8 @@ def results(cases: DataFrame, catalog: Catalog, wanted: list[dict]) -> tuple[Dat
         )
     status = {c: e for c, e in parts.items() if c.startswith("_s_")}
     rest = {c: e for c, e in parts.items() if c not in status}
+    if asked is not None:
+        status, rest = ({c: F.when(asked(c.rpartition("_")[2]), e) for c, e in of.items()} for of in (status, rest))
     return cases.withColumns(rest).withColumns(status), found
 
 

@@ -142,8 +142,8 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judged(spark, sf_dir).select("akte_id", F.inline("befunde"))
-    return decision.override_audit(found).groupBy("wirkung", "kennung").agg(F.count("*").alias("n"))
+    judged_ones = decision.judge(mapping.case_rows(spark, sf_dir), load_catalog(), overrides(spark, sf_dir), overridden=True)
+    return decision.override_audit(decision.overridden_findings(judged_ones)).groupBy("wirkung", "kennung").agg(F.count("*").alias("n"))
 
 
 AUDIT_SQL = f"""{FOUND_SQL}
