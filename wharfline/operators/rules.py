@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wharfline.functions.identifiers import FORMATS, commodity_code, container_id, container_ok, country_code
-from wharfline.functions.steps import let
+from wharfline.functions.steps import let, numbered_path
 from wharfline.operators.facts import FINAL, column_of, list_type
 from wharfline.sources.catalog import Catalog
 
@@ -61,7 +61,7 @@ def head_involved(path: str) -> Column:
 
 
 def item_involved(path: str, item: Column, field: str) -> Column:
-    return involved(F.concat(F.lit(f"{path}."), item["idx"].cast("string"), F.lit(f".{field}")), item[field]["konf"])
+    return involved(numbered_path(f"{path}.#.{field}", item["idx"]), item[field]["konf"])
 
 
 @dataclass
@@ -129,7 +129,7 @@ def origin_covers_goods(catalog: Catalog, rule: dict) -> Check:
         other = F.when(~country_code(p["ursprung"]["v"]).eqNullSafe(covered["ursprung"]), F.array(item_involved("rechnung.positionen", p, "ursprung"), head_involved("praeferenznachweis.ursprung")))
         outside = F.when(~let(commodity_code(p["hs6"]["v"], digits), lambda code: F.exists(covered["codes"], lambda s: s.eqNullSafe(code))), F.array(item_involved("rechnung.positionen", p, "hs6")))
         none = F.array().cast(INVOLVED)
-        return F.concat(F.coalesce(other, none), F.coalesce(outside, none))
+        return F.flatten(F.array(F.coalesce(other, none), F.coalesce(outside, none)))
 
     # the proof is read once a case, not once a line
     rests_on = let(F.struct(proof.alias("ursprung"), scope.alias("codes")), lambda covered: F.flatten(F.transform(rows("rechnung.positionen"), lambda p: of_line(p, covered))))
@@ -180,7 +180,7 @@ def commodity_codes_agree(catalog: Catalog, rule: dict) -> Check:
 
         # a line's counterpart is looked for once
         against = lambda path, key: let(first(rows(path), lambda q: q[key]["v"].eqNullSafe(p["nr"]["v"])), lambda q: compared(path, q))
-        both = F.concat(against("packliste.positionen", "nr"), against("praeferenznachweis.warenkreis", "pos"))
+        both = F.flatten(F.array(against("packliste.positionen", "nr"), against("praeferenznachweis.warenkreis", "pos")))
         return F.when(code.isNull(), F.array(item_involved("rechnung.positionen", p, "hs6"))).otherwise(both)
 
     rests_on = F.flatten(F.transform(rows("rechnung.positionen"), lambda p: let(commodity_code(p["hs6"]["v"], digits), lambda code: of_line(p, code))))
